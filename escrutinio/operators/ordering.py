@@ -167,7 +167,7 @@ def previous_row(
     sorted inside a bucket, and the first row of a bucket takes the last row of the one before.
     """
     keyed = df.withColumn("_bk", bucket)
-    kept = F.struct(F.col(order), *[F.col(v) for v in values])
+    kept = F.struct(*[F.col(v) for v in values])
     lasts = keyed.groupBy(*by, "_bk").agg(F.max_by(kept, F.col(order)).alias("_last"))
     across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bk")
     lasts = lasts.select(*by, "_bk", F.lag("_last").over(across).alias("_carry"))

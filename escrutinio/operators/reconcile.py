@@ -292,3 +292,38 @@ def line_control(parsed: DataFrame, raw_lines: DataFrame, files: int = 1) -> Dat
         F.count(F.lit(1)).alias("linhas_lidas"),
         F.count_if(F.col("nr_turno") == 2).alias("linhas_turno2_ignoradas"),
     ).withColumn("linhas_origem", lines)
+
+
+def published_blocks(
+    totals: DataFrame, candidates: DataFrame, parties: DataFrame, our_totals: DataFrame,
+    our_candidates: DataFrame, our_parties: DataFrame, membership: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """DQ-17. The comparisons of a published election against official result documents.
+
+    Totals by state and office, the national total of each office, all candidates, groups by office
+    (when `membership` is given), and party-list votes.
+    """
+    scope = ["sg_uf", "cd_cargo"]
+    measures = [c for c in totals.columns if c not in scope]
+
+    def national(df: DataFrame) -> DataFrame:
+        return df.groupBy("cd_cargo").agg(*[F.sum(m).alias(m) for m in measures])
+
+    key = [*scope, "sq_candidato"]
+    blocks = {
+        "totais": compare(our_totals.select(*scope, *measures), totals, scope),
+        "totais_nacionais": compare(national(our_totals), national(totals), ["cd_cargo"]),
+        "candidatos": compare(our_candidates.select(*key, "votos"), candidates.select(*key, "votos"), key),
+        "legenda": compare(
+            our_parties.select(*scope, "nr_partido", "votos_legenda"),
+            parties.select(*scope, "nr_partido", "votos_legenda"),
+            [*scope, "nr_partido"],
+        ),
+    }
+    if membership is not None:
+        def grouped(df: DataFrame) -> DataFrame:
+            pairs = membership.select("grupo", "sq_candidato").distinct()
+            return df.join(pairs, "sq_candidato").groupBy("grupo", "cd_cargo").agg(F.sum("votos").alias("votos"))
+
+        blocks["grupos"] = compare(grouped(our_candidates), grouped(candidates), ["grupo", "cd_cargo"])
+    return blocks

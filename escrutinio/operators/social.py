@@ -422,21 +422,27 @@ def pace_by_period(
 
 
 def social_totals(candidates: DataFrame) -> DataFrame:
-    """AGG-37. One row: candidates, those with numbers, followers, and medians of the metrics."""
+    """AGG-37. One row: candidates, those with numbers, followers, and medians of the metrics.
+
+    The metrics become rows, so their medians are one quantile job instead of four.
+    """
+    metrics = ("seguidores", "posts_semana_campanha", "pct_video", "engajamento_mediano")
     sums = candidates.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("tem_dados").alias("n_com_dados"),
         F.sum("seguidores").alias("seguidores_total"),
     )
-    for source, name in (
-        ("seguidores", "mediana_seguidores"),
-        ("posts_semana_campanha", "mediana_posts_semana_campanha"),
-        ("pct_video", "mediana_pct_video"),
-        ("engajamento_mediano", "mediana_engajamento_mediano"),
-    ):
-        with_data = candidates.filter("tem_dados")
-        sums = sums.withColumn(name, exact_quantiles(with_data, [], source, {"m": 0.5}).scalar())
-    return sums
+    long = (
+        candidates.filter("tem_dados")
+        .select(*[F.col(m).cast("double").alias(m) for m in metrics])
+        .unpivot([], list(metrics), "metrica", "valor")
+    )
+    medians = exact_quantiles(long, ["metrica"], "valor", {"m": 0.5}).agg(
+        F.struct(
+            *[F.max(F.when(F.col("metrica") == m, F.col("m"))).alias(f"mediana_{m}") for m in metrics]
+        ).alias("x")
+    )
+    return sums.withColumn("_x", medians.scalar()).select(*sums.columns, "_x.*")
 
 
 def exclusion_reason(status: Column, has_data: Column, votes: Column) -> Column:

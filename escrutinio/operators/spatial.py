@@ -433,7 +433,7 @@ BREAK_DIGITS = 2  # fixed value: significant digits of a class break
 BREAK_DIGITS_MAX = 6  # fixed value: digits used when rounding would merge breaks
 
 
-def _significant(value: Column, digits: int) -> Column:
+def _significant(value: Column, digits: Column) -> Column:
     """Round half up to `digits` significant digits, in decimal arithmetic.
 
     The shortest decimal text of the double is split into mantissa and exponent, so the rounding
@@ -479,42 +479,46 @@ def class_breaks(
         )
     )
     pool = pool.select(finite.alias("v"))
-    names = {f"q{j}": j / k for j in range(1, k)}
-    quantiles = exact_quantiles(pool, [], "v", names)
-    ends = pool.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).alias("e"))
-
-    def to_digits(digits: int) -> Column:
-        return F.transform(F.col("raw"), lambda x: _significant(x, digits))
-
-    rounded = {d: to_digits(d) for d in range(BREAK_DIGITS, BREAK_DIGITS_MAX + 1)}
-    apart = F.size(F.array_distinct(F.col("raw")))
-    chosen = rounded[BREAK_DIGITS_MAX]
-    for d in range(BREAK_DIGITS_MAX - 1, BREAK_DIGITS - 1, -1):
-        chosen = F.when(F.size(F.array_distinct(rounded[d])) == apart, rounded[d]).otherwise(chosen)
-    one = (
-        ends.withColumn("_q", quantiles.select(F.struct(*names).alias("q")).scalar())
-        .withColumn("raw", F.array(*[F.col(f"_q.{name}") for name in names]))
-        .withColumn("b", F.array_sort(F.array_distinct(chosen)))
-        .withColumn("b", F.filter("b", lambda x: (x > F.col("e.lo")) & (x <= F.col("e.hi"))))
-        .withColumn(
-            "b",
-            F.when(F.col("e.n") < 2 * k, fail("class_breaks: too few values", F.col("e.n")))
-            .when(F.size("b") == 0, fail("class_breaks: no variation"))
-            .otherwise(F.col("b")),
+    inner = {f"q{j}": j / k for j in range(1, k)}
+    # The ends are quantiles too, so one pass gives breaks, range and count.
+    found = exact_quantiles(pool, [], "v", {**inner, "lo": 0.0, "hi": 1.0}, count="n")
+
+    whole = found.agg(F.max(F.struct(*found.columns)).alias("e")).withColumn(
+        "n", F.coalesce(F.col("e.n"), F.lit(0))
+    )
+    raw = F.when(F.col("n") < 2 * k, fail("class_breaks: too few values", F.col("n"))).otherwise(
+        F.array(*[F.col(f"e.{name}") for name in inner])
+    )
+    # Each precision rounds every quantile; the lowest one that keeps distinct quantiles apart wins.
+    digits = F.explode(F.sequence(F.lit(BREAK_DIGITS), F.lit(BREAK_DIGITS_MAX))).alias("d")
+    tried = (
+        whole.select("e", raw.alias("raw"), digits)
+        .select("e", "d", F.explode("raw").alias("q"))
+        .groupBy("d", "e")
+        .agg(
+            F.collect_set(_significant(F.col("q"), F.col("d"))).alias("b"),
+            F.count_distinct("q").alias("apart"),
         )
     )
-    return one.select(F.posexplode("b").alias("ordem", "quebra"))
+    rank = F.when(F.size("b") == F.col("apart"), F.col("d")).otherwise(
+        F.lit(2 * BREAK_DIGITS_MAX) - F.col("d") + BREAK_DIGITS_MAX
+    )
+    best = tried.agg(F.min_by(F.struct("b", "e"), rank).alias("w"))
+    inside = F.array_sort(
+        F.filter("w.b", lambda x: (x > F.col("w.e.lo")) & (x <= F.col("w.e.hi")))
+    )
+    kept = best.select(inside.alias("b")).select(
+        F.when(F.size("b") == 0, fail("class_breaks: no variation")).otherwise(F.col("b")).alias("b")
+    )
+    return kept.select(F.posexplode("b").alias("ordem", "quebra"))
 
 
 def quantile_scale(values: DataFrame, classes: int, column: str = "valor") -> DataFrame:
     """STA-06. Own-data quantile breaks; repeated breaks and breaks not above the minimum go."""
     names = {f"q{j}": j / classes for j in range(1, classes)}
-    pool = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    lowest = pool.agg(F.min("v").alias("lo")).scalar()
-    breaks = exact_quantiles(pool, [], "v", names).select(
-        F.explode(F.array(*[F.col(n) for n in names])).alias("quebra")
-    )
-    return breaks.distinct().filter(F.col("quebra") > lowest)
+    found = exact_quantiles(values, [], column, {**names, "lo": 0.0})
+    breaks = found.select("lo", F.explode(F.array(*[F.col(n) for n in names])).alias("quebra"))
+    return breaks.filter(F.col("quebra") > F.col("lo")).select("quebra").distinct()
 
 
 def assign_class(value: Column, breaks: Column) -> Column:

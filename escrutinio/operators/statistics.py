@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from escrutinio.functions.checks import checked, require_columns
 from escrutinio.functions.rates import ratio
 from escrutinio.operators.ordering import average_ranks, dense_index, exact_quantiles
+from escrutinio.session import cut_lineage
 
 MIN_PAIRS = 10  # fixed value: pairs below which a correlation is not reported
 BOOTSTRAP = 2000  # fixed value: resamples
@@ -77,17 +78,24 @@ def correlation(
         raise ValueError(f"correlation: level must be between 0 and 1, got {level}")
     if resamples < 1:
         raise ValueError("correlation: resamples must be positive")
-    complete = F.col(x).isNotNull() & F.col(y).isNotNull()
-    sizes = df.groupBy(*by).agg(
+    # Everything below reads the pairs several times, so what they come from is computed once.
+    base = cut_lineage(
+        df.select(
+            *by,
+            F.col(id_column).alias("_id"),
+            F.col(x).cast("double").alias("_x"),
+            F.col(y).cast("double").alias("_y"),
+        )
+    )
+    complete = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    sizes = base.groupBy(*by).agg(
         F.count_if(complete).alias("n"), F.count_if(~complete).alias("n_excluidos")
     )
-    point = spearman(df, x, y, by).drop("n")
-    pairs = df.filter(complete).select(
-        *by, F.col(id_column).alias("_id"), F.col(x).cast("double").alias("_x"),
-        F.col(y).cast("double").alias("_y"),
-    )
+    point = spearman(base, "_x", "_y", by).drop("n")
     large = sizes.filter(F.col("n") >= minimum).select(*by, F.col("n").alias("_n"))
-    indexed = dense_index(pairs, by, "_id", "_i").join(large, list(by))
+    indexed = cut_lineage(
+        dense_index(base.filter(complete), by, "_id", "_i").join(large, list(by)).drop("_id")
+    )
     draws = (
         indexed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
         .select(
@@ -98,7 +106,8 @@ def correlation(
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     sampled = draws.join(indexed.select(*by, "_i", "_x", "_y"), [*by, "_i"])
-    replicas = _rank_pearson(_pair_counts(sampled, [*by, "_b"], "_x", "_y", "_w"), [*by, "_b"])
+    drawn = cut_lineage(_pair_counts(sampled, [*by, "_b"], "_x", "_y", "_w"))
+    replicas = _rank_pearson(drawn, [*by, "_b"])
     tail = (1 - level) / 2
     interval = exact_quantiles(
         replicas, by, "rho", {"ic_inf": tail, "ic_sup": 1 - tail}, count="n_bootstrap_validos"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Planner settings every job here relies on. None of them fixes a partition count: AQE sizes
@@ -43,13 +45,20 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df`, so that a lost executor never restarts an iterative plan.
+    """`df` written once as a reliable checkpoint and read back by everything built on it.
 
-    The folder comes from `spark.checkpoint.dir`; a session without it must have called
-    `SparkContext.setCheckpointDir` itself (the tests do).
+    For tables that one plan uses many times: the plan stays small, and a lost executor repeats a
+    read, not the whole history. The folder is the one the cluster names in `spark.checkpoint.dir`.
+    A local session without it gets a folder of its own. On a cluster without it the plan goes on
+    uncut: the result is the same.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = shared_folder(spark)
+        if folder is None:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="escrutinio-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
