@@ -131,8 +131,9 @@ DENSE = (
 )
 
 
-def with_sql(body: str, select: str) -> str:
-    return f"WITH {body} {select}"
+def with_sql(*parts: str) -> str:
+    """Common table expressions followed by the final select."""
+    return "WITH " + " ".join(parts)
 
 
 # --- candidacies ----------------------------------------------------------------------------------

@@ -38,9 +38,6 @@ def candidate_accounts(
     ids = members.select("sq_candidato").distinct()
     mine_r = revenue.join(ids, "sq_candidato", "left_semi")
     mine_e = expenses.join(ids, "sq_candidato", "left_semi")
-    if prices is not None:
-        mine_r = deflate(mine_r, ["vr_receita"], prices, origin, base)
-        mine_e = deflate(mine_e, list(EXPENSES), prices, origin, base)
     revenue_rows = revenue_summary(classify_revenue(mine_r))
     expense_rows = expense_split(mine_e, EXPENSES)
     summed_votes = votes.groupBy("sq_candidato").agg(F.sum("votos").alias("votos"))
@@ -56,6 +53,9 @@ def candidate_accounts(
              "votos": F.coalesce("votos", F.lit(0).cast("bigint"))}
         )
     )
+    if prices is not None:
+        # Sums are exact in nominal cents; the factor is applied once to each sum.
+        joined = deflate(joined, [*_money_columns(revenue_rows), *money], prices, origin, base)
     costed = revenue_per_vote(cost_per_vote(joined))
     # Balance and alert use the expense with transfers.
     whole = costed.select(
@@ -70,6 +70,10 @@ def candidate_accounts(
     return costed.join(balances, "sq_candidato")
 
 
+def _money_columns(summary: DataFrame) -> list[str]:
+    return [c for c in summary.columns if c.startswith("receita_")]
+
+
 def group_accounts(
     members: DataFrame, votes: DataFrame, revenue: DataFrame, expenses: DataFrame,
     electors: DataFrame | None = None, **prices,
@@ -80,8 +84,9 @@ def group_accounts(
     group, each counted once.
     """
     rows = candidate_accounts(members, votes, revenue, expenses, **prices)
-    source = deflate(revenue, ["vr_receita"], prices["prices"], prices["origin"], prices["base"]) if prices.get("prices") is not None else revenue
-    net = group_revenue(classify_revenue(source), members.select("sq_candidato"))
+    net = group_revenue(classify_revenue(revenue), members.select("sq_candidato"))
+    if prices.get("prices") is not None:
+        net = deflate(net, _money_columns(net), prices["prices"], prices["origin"], prices["base"])
     parts = [
         rows.agg(
             F.sum("despesa_contratada").alias("despesa_contratada"),
