@@ -18,6 +18,7 @@ from escrutinio.catalogue.roles import (
     YEAR_BEFORE,
     ballots,
     candidates,
+    counted,
     electorate,
     expense_entries,
     price_series,
@@ -30,7 +31,7 @@ from escrutinio.catalogue.roles import (
 from escrutinio.functions.rates import penetration, share_of_valid
 from escrutinio.operators import finance as fi
 from escrutinio.operators import reference as rf
-from escrutinio.plans import accounts, catalog, comparison, lists, maps, references, screens
+from escrutinio.plans import accounts, comparison, lists, maps, references, screens
 
 INDICATORS = ("votos", "penetracao", "pct_maiores", "n_efetivo_municipios", "pct_publico")
 
@@ -44,10 +45,12 @@ def _list_inputs(spark, d):
         F.when(k % 11 == 0, "BR").otherwise(F.col("sg_uf")).alias("sg_uf"), "nr_partido",
         "ds_situacao_candidatura", "ds_sit_tot_turno", (k % 13 != 0).alias("foi_as_urnas"),
     )
-    rows = ballots(spark, d).filter(F.col("ano") == 1997)
-    v = catalog.votes_by_zone(rows)
-    e = catalog.electorate_by_zone(
-        rows.withColumnsRenamed({"qt_votos_nominais": "qt_aptos", "qt_votos_nominais_validos": "qt_total_votos_validos"})
+    # Votes and electorate share one shuffled aggregate of the year.
+    base = counted(spark, d, "ano", "sq_candidato", "sg_uf", "cd_mun_ibge", "nr_zona").filter(F.col("ano") == 1997)
+    v = base.select("ano", "sq_candidato", "sg_uf", "cd_mun_ibge", "nr_zona", F.col("validos").alias("votos"))
+    e = (
+        base.groupBy("ano", "sg_uf", F.lit("DEPUTADO FEDERAL").alias("ds_cargo"), "cd_mun_ibge", "nr_zona")
+        .agg(F.sum("aptos").alias("aptos"), F.sum("validos").alias("votos_validos"))
     )
     return c, v, e
 
@@ -232,7 +235,7 @@ def _profiles(spark, d):
                 F.col("_t.a").alias("aptos"), F.col("_t.v").alias("validos"))
         .withColumns({"penetracao": penetration(), "pct_validos": share_of_valid()})
     )
-    money = fi.revenue_summary(fi.classify_revenue(revenue(spark, d))).select("sq_candidato", "receita_total", "pct_publico", "pct_pessoa_fisica", "pct_autofinanciamento")
+    money = fi.revenue_summary(revenue(spark, d)).select("sq_candidato", "receita_total", "pct_publico", "pct_pessoa_fisica", "pct_autofinanciamento")
     acc = (
         money_accounts(spark, d).filter("sq_candidato % 9 <> 0").drop("receita_total").join(money, "sq_candidato", "left")
     )

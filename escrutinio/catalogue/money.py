@@ -38,15 +38,15 @@ def revenue_classified(spark, d):
 
 
 def revenue_summary(spark, d):
-    return _money(fi.revenue_summary(fi.classify_revenue(revenue(spark, d))))
+    return _money(fi.revenue_summary(revenue(spark, d)))
 
 
 def revenue_summary_year(spark, d):
-    return _money(fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=["ano"]))
+    return _money(fi.revenue_summary(revenue(spark, d), by=["ano"]))
 
 
 def revenue_grand_summary(spark, d):
-    return _money(fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=[]))
+    return _money(fi.revenue_summary(revenue(spark, d), by=[]))
 
 
 def group_revenue(spark, d):
@@ -85,7 +85,7 @@ def _accounts(spark, d):
         expense_entries(spark, d).filter(F.col("sq_candidato") % 5 != 0), "vr_despesa_paga", include_transfers=True,
         name="despesa_paga",
     )
-    r = fi.revenue_summary(fi.classify_revenue(revenue(spark, d))).select(
+    r = fi.revenue_summary(revenue(spark, d)).select(
         "sq_candidato", "receita_total", "receita_financeira"
     )
     v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sq_candidato")).agg(
@@ -125,7 +125,7 @@ def revenue_per_vote_total(spark, d):
 
 
 def revenue_per_thousand(spark, d):
-    t = fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=["ano"]).select("ano", "receita_total")
+    t = fi.revenue_summary(revenue(spark, d), by=["ano"]).select("ano", "receita_total")
     base = table(spark, d, "lineitem").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("a")).scalar()
     return rounded(fi.revenue_per_thousand(t.withColumn("aptos", base)), money=("receita_total",))
 
@@ -208,12 +208,12 @@ def price_factor(spark, d):
 
 
 def deflated(spark, d):
-    t = fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=["ano"]).select("ano", "receita_total")
+    t = fi.revenue_summary(revenue(spark, d), by=["ano"]).select("ano", "receita_total")
     return rounded(fi.deflate(t, ["receita_total"], price_series(spark, d), "1996-09", "1998-09"), 2)
 
 
 def compare_revenue(spark, d):
-    t = fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=["sq_candidato", "ano"])
+    t = fi.revenue_summary(revenue(spark, d), by=["sq_candidato", "ano"])
     names = ("receita_total", "receita_fefc", "pct_publico")
     wide = t.filter(F.col("ano").isin(1996, 1998)).groupBy("sq_candidato").agg(
         *[
@@ -230,7 +230,7 @@ def compare_revenue(spark, d):
 
 def stacked_revenue(spark, d):
     return rounded(
-        screens.stacked_revenue(fi.revenue_summary(fi.classify_revenue(revenue(spark, d)), by=[])), money=("valor",)
+        screens.stacked_revenue(fi.revenue_summary(revenue(spark, d), by=[])), money=("valor",)
     )
 
 

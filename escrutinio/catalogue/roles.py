@@ -19,9 +19,31 @@ YEAR_BEFORE, YEAR_AFTER = 1996, 1998
 Case = Callable[[SparkSession, str], DataFrame]
 
 
+# Layout of the tables: giving it saves a job that reads file footers for every table of a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. The planner defaults are set here, once per query."""
-    return apply_defaults(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder, in a session that has the planner defaults."""
+    return apply_defaults(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def r6(value: Column | str) -> Column:
@@ -90,23 +112,43 @@ votacao AS (
 """
 
 
+def counted(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """All and valid votes per key, from one aggregate.
+
+    Votes and electorate both start here with the same aggregate list, so Spark computes the
+    shuffled result once and reuses it in every branch of a plan.
+    """
+    return (
+        ballots(spark, sf_dir)
+        .groupBy(*keys)
+        .agg(
+            F.sum("qt_votos_nominais").alias("aptos"),
+            F.sum("qt_votos_nominais_validos").alias("validos"),
+        )
+        .filter((F.col("aptos") > 0) & (F.col("validos") >= 0))
+    )
+
+
+UNIT_KEYS = ("sq_candidato", "cd_mun_ibge")
+
+
 def votes(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Valid votes per key (candidacy and municipality by default)."""
-    keys = keys or ("sq_candidato", "cd_mun_ibge")
-    rows = ballots(spark, sf_dir).filter(F.col("nm_tipo_destinacao_votos") == "Válido")
-    return rows.groupBy(*keys).agg(F.sum("qt_votos_nominais").alias("votos"))
+    keys = keys or UNIT_KEYS
+    base = counted(spark, sf_dir, *dict.fromkeys((*UNIT_KEYS, *keys))).filter(F.col("validos") > 0)
+    named = base.select("sq_candidato", "cd_mun_ibge", *[k for k in keys if k not in UNIT_KEYS], F.col("validos").alias("votos"))
+    if set(UNIT_KEYS) <= set(keys):
+        return named.select(*keys, "votos")
+    return named.groupBy(*keys).agg(F.sum("votos").alias("votos"))
 
 
 def electorate(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Electors and valid votes per key (municipality by default)."""
     keys = keys or ("cd_mun_ibge",)
     return (
-        ballots(spark, sf_dir)
+        counted(spark, sf_dir, *dict.fromkeys((*UNIT_KEYS, *keys)))
         .groupBy(*keys)
-        .agg(
-            F.sum("qt_votos_nominais").alias("aptos"),
-            F.sum("qt_votos_nominais_validos").alias("validos"),
-        )
+        .agg(F.sum("aptos").alias("aptos"), F.sum("validos").alias("validos"))
     )
 
 

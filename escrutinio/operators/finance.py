@@ -66,19 +66,23 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def _category(source: Column, origin: Column, raw_source: Column, raw_origin: Column) -> Column:
+    """Category from normalised labels; the raw ones are for the message of an unknown label."""
+    by_source, by_origin = _lookup(SOURCE_CATEGORY, source), _lookup(ORIGIN_CATEGORY, origin)
+    return (
+        F.when(by_source.isNull(), fail("unknown ds_fonte_receita", raw_source))
+        .when(by_origin.isNull(), fail("unknown ds_origem_receita", raw_origin))
+        .when(by_source == "", by_origin)
+        .otherwise(by_source)
+    )
+
+
 def revenue_category(source: Column, origin: Column) -> Column:
     """JOI-11. Category of a revenue entry: the source decides, `OUTROS RECURSOS` defers to the origin.
 
     The closed dictionaries are literals of the plan, so no join and no pass over distinct labels.
     """
-    by_source = _lookup(SOURCE_CATEGORY, normalize_label(source))
-    by_origin = _lookup(ORIGIN_CATEGORY, normalize_label(origin))
-    return (
-        F.when(by_source.isNull(), fail("unknown ds_fonte_receita", source))
-        .when(by_origin.isNull(), fail("unknown ds_origem_receita", origin))
-        .when(by_source == "", by_origin)
-        .otherwise(by_source)
-    )
+    return _category(normalize_label(source), normalize_label(origin), source, origin)
 
 
 def classify_revenue(revenue: DataFrame) -> DataFrame:
@@ -94,42 +98,67 @@ def is_transfer(origin: Column) -> Column:
     return F.coalesce(normalize_label(origin).isin(*TRANSFER_ORIGINS), F.lit(False))
 
 
-def revenue_summary(revenue: DataFrame, by: Sequence[str] = ("sq_candidato",)) -> DataFrame:
-    """AGG-24. Totals by nature and category, shares, and concentration of the sources.
+def _summed_labels(revenue: DataFrame, by: Sequence[str], context: str) -> DataFrame:
+    """Entries summed per raw label, then classified.
 
-    One conditional aggregate. Negative amounts and unknown natures raise; a zero total gives null
-    shares. With no `by` the result is one row.
+    Labels are normalised once per (scope, label) instead of once per entry, and map-side combine
+    sees the long list of entries. Sums stay exact decimals. A negative entry raises.
     """
-    require_columns(
-        revenue,
-        [*by, "categoria", "ds_origem_receita", "ds_natureza_receita", "vr_receita"],
-        "revenue_summary",
-    )
-    nature = normalize_label(F.col("ds_natureza_receita"))
-    value = checked(
-        F.col("vr_receita"), F.col("vr_receita") >= 0, "revenue_summary: negative amount",
-        F.col("vr_receita"),
-    )
+    labels = [c for c in LABEL_COLUMNS if c in revenue.columns]
+    require_columns(revenue, [*by, "ds_origem_receita", "ds_natureza_receita", "vr_receita"], context)
+    if "categoria" not in labels:
+        require_columns(revenue, ["ds_fonte_receita"], context)
+    value = F.col("vr_receita").cast("decimal(18,4)")
+    summed = revenue.groupBy(*by, *labels).agg(
+        F.sum(value).alias("_sum"), F.min("vr_receita").alias("_least")
+    )
+    # One normalisation per label, in a projection of its own.
+    clean = summed.withColumns({f"_{c}": normalize_label(F.col(c)) for c in labels if c != "categoria"})
+    nature, origin = F.col("_ds_natureza_receita"), F.col("_ds_origem_receita")
     financial = checked(
         nature.isin(*FINANCIAL_NATURES),
         nature.isin(*FINANCIAL_NATURES, *IN_KIND_NATURES),
         "unknown ds_natureza_receita",
         F.col("ds_natureza_receita"),
     )
-    rows = revenue.select(
-        *by, "categoria", value.alias("_v"), financial.alias("_fin"),
-        is_transfer(F.col("ds_origem_receita")).alias("_rep"),
-    )
-    v = F.col("_v")
+    category = (
+        F.col("categoria")
+        if "categoria" in labels
+        else _category(
+            F.col("_ds_fonte_receita"), origin, F.col("ds_fonte_receita"), F.col("ds_origem_receita")
+        )
+    )
+    present = F.coalesce(F.col("_least"), F.lit(0.0))
+    return clean.select(
+        *by,
+        category.alias("categoria"),
+        checked(F.col("_sum"), present >= 0, f"{context}: negative amount", present).alias("_v"),
+        financial.alias("_fin"),
+        F.coalesce(origin.isin(*TRANSFER_ORIGINS), F.lit(False)).alias("_rep"),
+    )
+
+
+LABEL_COLUMNS = ("categoria", "ds_fonte_receita", "ds_origem_receita", "ds_natureza_receita")
+
+
+def revenue_summary(revenue: DataFrame, by: Sequence[str] = ("sq_candidato",)) -> DataFrame:
+    """AGG-24. Totals by nature and category, shares, and concentration of the sources.
+
+    Takes entries with their raw labels, or already classified ones. Negative amounts and unknown
+    labels raise; a zero total gives null shares. With no `by` the result is one row.
+    """
+    rows = _summed_labels(revenue, by, "revenue_summary")
+
+    def total(condition: Column | None = None) -> Column:
+        v = F.col("_v") if condition is None else F.when(condition, F.col("_v"))
+        return F.coalesce(F.sum(v).cast("double"), F.lit(0.0))
+
     sums = [
-        F.coalesce(money_sum(v), F.lit(0.0)).alias("receita_total"),
-        money_sum_where(v, F.col("_fin")).alias("receita_financeira"),
-        money_sum_where(v, ~F.col("_fin")).alias("receita_estimavel"),
-        money_sum_where(v, F.col("_rep")).alias("receita_repasses_candidatos"),
-        *[
-            money_sum_where(v, F.col("categoria") == c).alias(f"receita_{c}")
-            for c in REVENUE_CATEGORIES
-        ],
+        total().alias("receita_total"),
+        total(F.col("_fin")).alias("receita_financeira"),
+        total(~F.col("_fin")).alias("receita_estimavel"),
+        total(F.col("_rep")).alias("receita_repasses_candidatos"),
+        *[total(F.col("categoria") == c).alias(f"receita_{c}") for c in REVENUE_CATEGORIES],
     ]
     return revenue_shares(rows.groupBy(*by).agg(*sums) if by else rows.agg(*sums))
 
@@ -171,7 +200,7 @@ def group_revenue(
     """
     donor = "sq_candidato_doador"
     require_columns(
-        revenue, [entity, "categoria", "ds_origem_receita", "vr_receita", donor], "group_revenue"
+        revenue, [entity, "ds_origem_receita", "vr_receita", donor], "group_revenue"
     )
     ids = members.select(F.col(entity)).distinct()
     mine = revenue.join(ids, entity, "left_semi")

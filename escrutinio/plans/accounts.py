@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from escrutinio.functions.rates import ratio
 from escrutinio.operators.finance import (
     campaign_balance,
-    classify_revenue,
     cost_per_vote,
     deflate,
     expense_split,
@@ -38,7 +37,7 @@ def candidate_accounts(
     ids = members.select("sq_candidato").distinct()
     mine_r = revenue.join(ids, "sq_candidato", "left_semi")
     mine_e = expenses.join(ids, "sq_candidato", "left_semi")
-    revenue_rows = revenue_summary(classify_revenue(mine_r))
+    revenue_rows = revenue_summary(mine_r)
     expense_rows = expense_split(mine_e, EXPENSES)
     summed_votes = votes.groupBy("sq_candidato").agg(F.sum("votos").alias("votos"))
     zero = F.lit(0.0)
@@ -84,7 +83,7 @@ def group_accounts(
     group, each counted once.
     """
     rows = candidate_accounts(members, votes, revenue, expenses, **prices)
-    net = group_revenue(classify_revenue(revenue), members.select("sq_candidato"))
+    net = group_revenue(revenue, members.select("sq_candidato"))
     if prices.get("prices") is not None:
         net = deflate(net, _money_columns(net), prices["prices"], prices["origin"], prices["base"])
     parts = [

@@ -17,12 +17,17 @@ PLANNER_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # File sizes are compressed: scale them before comparing with the broadcast threshold, so that
+    # the planner broadcasts only what is small in memory. AQE checks measured sizes later.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
 def build_session(app: str = "escrutinio", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the planner defaults; `extra` keys use `__` for the dots of a setting name."""
     builder = SparkSession.builder.appName(app)
+    # Call sites of column expressions are a debugging aid that slows the building of plans.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master is not None:
         builder = builder.master(master)
     for key, value in PLANNER_DEFAULTS.items():
@@ -32,10 +37,15 @@ def build_session(app: str = "escrutinio", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+_MARK = "spark.escrutinio.defaults"
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Set the planner defaults on a session somebody else created."""
-    for key, value in PLANNER_DEFAULTS.items():
-        spark.conf.set(key, value)
+    """Set the planner defaults, once, on a session somebody else created."""
+    if spark.conf.get(_MARK, None) is None:
+        for key, value in PLANNER_DEFAULTS.items():
+            spark.conf.set(key, value)
+        spark.conf.set(_MARK, "set")
     return spark
 
 
