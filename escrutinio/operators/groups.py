@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escrutinio.functions.checks import fail, require_columns, single_value
+from escrutinio.functions.checks import require_columns, single_value
 
 ELIGIBLE_STATUS = "APTO"  # fixed value: registration status of an eligible candidacy
 IN_LIST_LIMIT = 1000  # ids that still travel as a pushed `IN` filter
 
+
 def members_filter(df: DataFrame, ids: Sequence[int] | DataFrame, column: str = "sq_candidato") -> DataFrame:
     """FIL-05. Rows of the listed entities.
 
@@ -53,19 +54,17 @@ def aggregate_group(
 ) -> DataFrame:
     """AGG-21. Votes of the members summed by `keys`, as the entity `grupo`.
 
-    Mixed offices or rounds and an empty member list raise.
+    Mixed offices or rounds raise while the job runs. An empty member list raises at once: it is
+    looked up here, as an empty result would hide it.
     """
     require_columns(votes, [entity, *keys, "votos"], "aggregate_group")
+    if members.isEmpty():
+        raise ValueError(f"aggregate_group: no members in {group!r}")
     ids = members.select(entity).distinct()
     mine = votes.join(ids, entity, "left_semi")
-    some = ids.agg(
-        F.when(F.count(F.lit(1)) == 0, fail("aggregate_group: no members in", F.lit(group)))
-        .otherwise(F.lit(True))
-        .alias("ok")
-    ).scalar()
     one = single_value(mine, ["cd_cargo", "nr_turno"], "aggregate_group")
     return (
-        mine.filter(one & some)
+        mine.filter(one)
         .groupBy(*keys)
         .agg(F.sum("votos").alias("votos"))
         .select(F.lit(group).alias("grupo"), *keys, "votos")

@@ -5,6 +5,8 @@ collapsed to (value, count) pairs with map-side combine, then cut into ordered b
 function of the value alone. Bucket totals are few, so the running count over them is cheap; only
 the inside of a bucket is sorted. Equal values always share a bucket, so ties stay exact, and no
 sampling is involved, so a recomputed stage gives the same answer.
+
+Internal columns start with `_ord_`; callers must not use that prefix.
 """
 
 from __future__ import annotations
@@ -31,44 +33,44 @@ def order_bucket(value: Column) -> Column:
 
 
 def _counts(df: DataFrame, by: Sequence[str], value: Column, bucket, weight: Column | None):
-    n = F.count(F.lit(1)) if weight is None else F.sum("_w")
-    columns = [*by, value.alias("_v")]
+    n = F.count(F.lit(1)) if weight is None else F.sum("_ord_w")
+    columns = [*by, value.alias("_ord_v")]
     if weight is not None:
-        columns.append(weight.alias("_w"))
+        columns.append(weight.alias("_ord_w"))
     return (
         df.filter(value.isNotNull())
         .select(*columns)
-        .groupBy(*by, "_v")
-        .agg(n.alias("_n"))
-        .withColumn("_b", bucket(F.col("_v")))
+        .groupBy(*by, "_ord_v")
+        .agg(n.alias("_ord_n"))
+        .withColumn("_ord_b", bucket(F.col("_ord_v")))
     )
 
 
 def _bucket_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per bucket: rows of the group in earlier buckets, and rows of the whole group."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_ord_b").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.groupBy(*by, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_before", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(group))
+        counts.groupBy(*by, "_ord_b")
+        .agg(F.sum("_ord_n").alias("_ord_bn"))
+        .withColumn("_ord_before", F.coalesce(F.sum("_ord_bn").over(earlier), F.lit(0)))
+        .withColumn("_ord_total", F.sum("_ord_bn").over(group))
     )
 
 
 def _inside(by: Sequence[str]):
     return (
-        Window.partitionBy(*by, "_b")
-        .orderBy("_v")
+        Window.partitionBy(*by, "_ord_b")
+        .orderBy("_ord_v")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
 def _ranked(df, by, value, bucket, weight) -> DataFrame:
     counts = _counts(df, by, value, bucket, weight)
-    totals = _bucket_totals(counts, by).drop("_bn")
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(_inside(by)), F.lit(0))
-    return counts.join(totals, [*by, "_b"]).select(*by, "_v", "_n", "_total", start.alias("_start"))
+    totals = _bucket_totals(counts, by).drop("_ord_bn")
+    start = F.col("_ord_before") + F.coalesce(F.sum("_ord_n").over(_inside(by)), F.lit(0))
+    return counts.join(totals, [*by, "_ord_b"]).select(*by, "_ord_v", "_ord_n", "_ord_total", start.alias("_ord_start"))
 
 
 def average_ranks(
@@ -83,9 +85,9 @@ def average_ranks(
     )
     return ranked.select(
         *by,
-        F.col("_v").alias(value),
-        (F.col("_start") + (F.col("_n") + 1) / F.lit(2.0)).alias(rank),
-        F.col("_total").alias("n_grupo"),
+        F.col("_ord_v").alias(value),
+        (F.col("_ord_start") + (F.col("_ord_n") + 1) / F.lit(2.0)).alias(rank),
+        F.col("_ord_total").alias("n_grupo"),
     )
 
 
@@ -94,10 +96,10 @@ def dense_index(df: DataFrame, by: Sequence[str], key: str, index: str = "indice
 
     The order is that of a hash of the key: stable, spread evenly, and not an ordering of the data.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key)))
-    ranked = _ranked(hashed, by, F.col("_h"), lambda v: F.shiftright(v, 48), None)
-    positions = ranked.select(*by, F.col("_v").alias("_h"), F.col("_start").alias(index))
-    return hashed.join(positions, [*by, "_h"]).drop("_h")
+    hashed = df.withColumn("_ord_h", F.xxhash64(F.col(key)))
+    ranked = _ranked(hashed, by, F.col("_ord_h"), lambda v: F.shiftright(v, 48), None)
+    positions = ranked.select(*by, F.col("_ord_v").alias("_ord_h"), F.col("_ord_start").alias(index))
+    return hashed.join(positions, [*by, "_ord_h"]).drop("_ord_h")
 
 
 def exact_quantiles(
@@ -110,13 +112,13 @@ def exact_quantiles(
     """STA-03. Linearly interpolated quantiles of the non-null values of each group.
 
     One row per group that has a value: `by`, one column per entry of `quantiles`, and the number
-    of values as `count` when asked. With no `by` the result has at most one row.
+    of values as `count` when asked. With no `by` there is one row, null without values.
     """
     counts = _counts(df, by, F.col(value).cast("double"), order_bucket, None)
     totals = _bucket_totals(counts, by)
     wanted = []
     for i, (_, q) in enumerate(quantiles.items()):
-        place = (F.col("_total") - 1) * F.lit(float(q))
+        place = (F.col("_ord_total") - 1) * F.lit(float(q))
         low = F.floor(place)
         wanted += [
             F.struct(F.lit(2 * i).alias("k"), low.alias("p"), (place - low).alias("f")),
@@ -124,19 +126,19 @@ def exact_quantiles(
         ]
     in_bucket = F.filter(
         F.array(*wanted),
-        lambda s: (s["p"] >= F.col("_before")) & (s["p"] < F.col("_before") + F.col("_bn")),
+        lambda s: (s["p"] >= F.col("_ord_before")) & (s["p"] < F.col("_ord_before") + F.col("_ord_bn")),
     )
-    targets = totals.withColumn("_wanted", in_bucket).filter(F.size("_wanted") > 0)
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(_inside(by)), F.lit(0))
+    targets = totals.withColumn("_ord_wanted", in_bucket).filter(F.size("_ord_wanted") > 0)
+    start = F.col("_ord_before") + F.coalesce(F.sum("_ord_n").over(_inside(by)), F.lit(0))
     hits = (
-        counts.join(targets, [*by, "_b"])
-        .withColumn("_start", start)
+        counts.join(targets, [*by, "_ord_b"])
+        .withColumn("_ord_start", start)
         .withColumn(
-            "_hit",
+            "_ord_hit",
             F.explode(
                 F.filter(
-                    F.col("_wanted"),
-                    lambda s: (s["p"] >= F.col("_start")) & (s["p"] < F.col("_start") + F.col("_n")),
+                    F.col("_ord_wanted"),
+                    lambda s: (s["p"] >= F.col("_ord_start")) & (s["p"] < F.col("_ord_start") + F.col("_ord_n")),
                 )
             ),
         )
@@ -144,17 +146,17 @@ def exact_quantiles(
     picks = []
     for i in range(len(quantiles)):
         for k in (2 * i, 2 * i + 1):
-            picks.append(F.max(F.when(F.col("_hit.k") == k, F.col("_v"))).alias(f"_q{k}"))
-        picks.append(F.max(F.when(F.col("_hit.k") == 2 * i, F.col("_hit.f"))).alias(f"_f{i}"))
-    rows = hits.groupBy(*by).agg(*picks, F.max("_total").alias("_total"))
+            picks.append(F.max(F.when(F.col("_ord_hit.k") == k, F.col("_ord_v"))).alias(f"_ord_q{k}"))
+        picks.append(F.max(F.when(F.col("_ord_hit.k") == 2 * i, F.col("_ord_hit.f"))).alias(f"_ord_f{i}"))
+    rows = hits.groupBy(*by).agg(*picks, F.max("_ord_total").alias("_ord_total"))
     out = [
-        (F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * F.col(f"_f{i}")).alias(
+        (F.col(f"_ord_q{2 * i}") + (F.col(f"_ord_q{2 * i + 1}") - F.col(f"_ord_q{2 * i}")) * F.col(f"_ord_f{i}")).alias(
             name
         )
         for i, name in enumerate(quantiles)
     ]
     if count is not None:
-        out.append(F.col("_total").alias(count))
+        out.append(F.col("_ord_total").alias(count))
     return rows.select(*by, *out)
 
 
@@ -166,15 +168,15 @@ def previous_row(
     `bucket` must not decrease with `order` (the calendar month of an instant, say): rows are
     sorted inside a bucket, and the first row of a bucket takes the last row of the one before.
     """
-    keyed = df.withColumn("_bk", bucket)
+    keyed = df.withColumn("_ord_bk", bucket)
     kept = F.struct(*[F.col(v) for v in values])
-    lasts = keyed.groupBy(*by, "_bk").agg(F.max_by(kept, F.col(order)).alias("_last"))
-    across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bk")
-    lasts = lasts.select(*by, "_bk", F.lag("_last").over(across).alias("_carry"))
-    inside = Window.partitionBy(*by, "_bk").orderBy(order)
-    before = F.coalesce(F.lag(kept).over(inside), F.col("_carry"))
+    lasts = keyed.groupBy(*by, "_ord_bk").agg(F.max_by(kept, F.col(order)).alias("_ord_last"))
+    across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_ord_bk")
+    lasts = lasts.select(*by, "_ord_bk", F.lag("_ord_last").over(across).alias("_ord_carry"))
+    inside = Window.partitionBy(*by, "_ord_bk").orderBy(order)
+    before = F.coalesce(F.lag(kept).over(inside), F.col("_ord_carry"))
     return (
-        keyed.join(lasts, [*by, "_bk"])
-        .withColumn("_prev", before)
-        .select(*df.columns, *[F.col(f"_prev.{v}").alias(f"{v}_anterior") for v in values])
+        keyed.join(lasts, [*by, "_ord_bk"])
+        .withColumn("_ord_prev", before)
+        .select(*df.columns, *[F.col(f"_ord_prev.{v}").alias(f"{v}_anterior") for v in values])
     )

@@ -97,17 +97,17 @@ def correlation(
         dense_index(base.filter(complete), by, "_id", "_i").join(large, list(by)).drop("_id")
     )
     draws = (
-        indexed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
+        indexed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_rep"))
         .select(
-            *by, "_b",
-            F.pmod(F.xxhash64(F.lit(seed), F.lit("bootstrap"), "_b", "_i"), F.col("_n")).alias("_i"),
+            *by, "_rep",
+            F.pmod(F.xxhash64(F.lit(seed), F.lit("bootstrap"), "_rep", "_i"), F.col("_n")).alias("_i"),
         )
-        .groupBy(*by, "_b", "_i")
+        .groupBy(*by, "_rep", "_i")
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     sampled = draws.join(indexed.select(*by, "_i", "_x", "_y"), [*by, "_i"])
-    drawn = cut_lineage(_pair_counts(sampled, [*by, "_b"], "_x", "_y", "_w"))
-    replicas = _rank_pearson(drawn, [*by, "_b"])
+    drawn = cut_lineage(_pair_counts(sampled, [*by, "_rep"], "_x", "_y", "_w"))
+    replicas = _rank_pearson(drawn, [*by, "_rep"])
     tail = (1 - level) / 2
     interval = exact_quantiles(
         replicas, by, "rho", {"ic_inf": tail, "ic_sup": 1 - tail}, count="n_bootstrap_validos"
@@ -148,14 +148,14 @@ def log_residual(
     fit = (
         rows.groupBy(*by)
         .agg(
-            F.regr_slope("_ly", "_lx").alias("_b"),
+            F.regr_slope("_ly", "_lx").alias("_slope"),
             F.avg("_lx").alias("_mx"),
             F.avg("_ly").alias("_my"),
             F.count("_lx").alias("_k"),
             (F.max("_lx") > F.min("_lx")).alias("_varied"),
         )
         .withColumn(
-            "inclinacao", F.when((F.col("_k") >= minimum) & F.col("_varied"), F.col("_b"))
+            "inclinacao", F.when((F.col("_k") >= minimum) & F.col("_varied"), F.col("_slope"))
         )
         .withColumn("intercepto", F.col("_my") - F.col("inclinacao") * F.col("_mx"))
         .select(*by, "inclinacao", "intercepto")

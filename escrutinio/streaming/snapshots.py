@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from escrutinio.operators.social import latest_snapshot
 
@@ -58,7 +58,7 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = Non
 
 def current(spark: SparkSession, root: str, schema: StructType, key: Sequence[str], order: Column) -> DataFrame:
     """Last version per key: the newest `order`, then the newest batch. A mergeable aggregate."""
-    log_schema = StructType(schema.fields).add("lote", "bigint")
+    log_schema = StructType(schema.fields).add("lote", LongType())
     log = spark.read.schema(log_schema).option("basePath", root).parquet(root)
     others = [c for c in schema.fieldNames() if c not in key]
     rank = F.struct(order, F.col("lote"))
