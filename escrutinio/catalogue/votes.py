@@ -209,7 +209,9 @@ def eligible_count(spark, d):
     c = candidates(spark, d)
     strict = groups.eligible_count(c, by=["sg_uf"])
     wide = groups.eligible_count(c, by=["sg_uf"], include_undecided=True)
-    return strict.join(wide.withColumnRenamed("n_candidatos", "n_em_disputa"), "sg_uf")
+    return wide.withColumnRenamed("n_candidatos", "n_em_disputa").join(strict, "sg_uf", "left").select(
+        "sg_uf", F.coalesce("n_candidatos", F.lit(0).cast("bigint")).alias("n_candidatos"), "n_em_disputa"
+    )
 
 
 def group_kpis(spark, d):
@@ -474,7 +476,7 @@ ORACLE = {
         CANDIDATES,
         """SELECT sg_uf, count(*) FILTER (WHERE ds_situacao_candidatura = 'APTO') AS n_candidatos,
         count(*) FILTER (WHERE ds_situacao_candidatura = 'APTO' OR ds_situacao_candidatura IS NULL) AS n_em_disputa
-        FROM candidatos GROUP BY ALL""",
+        FROM candidatos GROUP BY ALL HAVING n_em_disputa > 0""",
     ),
     "group_kpis": with_sql(
         BALLOTS,

@@ -168,14 +168,20 @@ def omitted_candidates(section: DataFrame, published: DataFrame, candidates: Dat
 
 
 def null_vote_bridge(totals: DataFrame, omitted: DataFrame) -> DataFrame:
-    """DQ-18. Null votes of the section file plus the votes of omitted candidates, per office."""
-    extra = omitted.groupBy("cd_cargo").agg(F.sum("votos").alias("votos_omitidos"))
-    return totals.join(extra, "cd_cargo", "left").withColumns(
-        {
-            "votos_omitidos": F.coalesce("votos_omitidos", F.lit(0).cast("bigint")),
-            "votos_nulos_reconciliados": F.col("votos_nulos")
-            + F.coalesce("votos_omitidos", F.lit(0).cast("bigint")),
-        }
+    """DQ-18. Null votes of the section file plus the votes of omitted candidates, per office.
+
+    Both sides are stacked and summed; offices come from `totals`.
+    """
+    none = F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    stacked = totals.select("cd_cargo", "votos_nulos", none.alias("_o")).unionByName(
+        omitted.select("cd_cargo", none.alias("votos_nulos"), F.col("votos").alias("_o"))
+    )
+    return (
+        stacked.groupBy("cd_cargo")
+        .agg(F.sum("votos_nulos").alias("votos_nulos"), F.coalesce(F.sum("_o"), zero).alias("votos_omitidos"))
+        .filter(F.col("votos_nulos").isNotNull())
+        .withColumn("votos_nulos_reconciliados", F.col("votos_nulos") + F.col("votos_omitidos"))
     )
 
 
