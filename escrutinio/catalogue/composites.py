@@ -350,6 +350,28 @@ def _group_totals(year: int) -> str:
     )
 
 
+COMPARED = (*comparison.MONEY, *[f"receita_{c}" for c in fi.REVENUE_CATEGORIES], *comparison.SHARES)
+
+
+def _side_row(year: int) -> str:
+    """One row with the compared indicators of a year, nominal."""
+    sums = ", ".join(f"liq.receita_{c}" for c in fi.REVENUE_CATEGORIES)
+    return f"""(WITH {_group_totals(year)}, ap AS (SELECT sum(qt) AS aptos FROM votacao WHERE ano = {year})
+      SELECT liq.receita_total, tot.receita_por_voto, 1000.0 * liq.receita_total / aptos::DOUBLE AS receita_por_mil_aptos, tot.media, tot.mediana, {sums},
+      100.0 * (receita_fefc + receita_fundo_partidario) / liq.receita_total AS pct_publico, 100.0 * receita_recursos_proprios / liq.receita_total AS pct_autofinanciamento,
+      100.0 * (receita_pessoa_fisica + receita_financiamento_coletivo) / liq.receita_total AS pct_pessoa_fisica, 100.0 * receita_estimavel / liq.receita_total AS pct_estimavel
+      FROM tot, liq, ap)"""
+
+
+def _compared(name: str) -> str:
+    money = name not in comparison.SHARES
+    old = f"a.{name} * f" if money else f"a.{name}"
+    change = f"round(100.0 * (b.{name} / nullif({old}, 0) - 1), 4) + 0.0" if money else "NULL::DOUBLE"
+    kind = "monetario" if money else "percentual"
+    return f"""SELECT '{name}' AS indicador, '{kind}' AS tipo, round(a.{name}, 4) + 0.0 AS de_nominal, round({old}, 4) + 0.0 AS de, round(b.{name}, 4) + 0.0 AS para,
+      round(b.{name} - {old}, 4) + 0.0 AS delta, {change} AS var_pct FROM a, b, fator"""
+
+
 PROFILE_SQL = (
     VOTES
     + ","
@@ -485,6 +507,11 @@ ORACLE = {
         )
         + ") WHERE valor IS NOT NULL",
     ),
+    "account_comparison": with_sql(
+        PRICES,
+        f", a AS {_side_row(1996)}, b AS {_side_row(1998)}, fator AS (SELECT {FACTOR} AS f)",
+        " UNION ALL ".join(_compared(c) for c in COMPARED),
+    ),
     "geography": with_sql(
         PROFILE_SQL,
         """SELECT sq_candidato, n_municipios_com_voto, round(pct_maiores, 6) + 0.0 AS pct_maiores, round(hhi, 6) + 0.0 AS hhi,

@@ -66,17 +66,18 @@ def _one_row_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], co
     )
 
 
-def _units_for_every_entity(entities: DataFrame, units: DataFrame, slices: int) -> DataFrame:
+def _units_for_every_entity(entities: DataFrame, units: DataFrame, entity: str) -> DataFrame:
     """Each entity beside each unit, as an equi-join on a slice number.
 
-    The explicit-zeros table is entities times units by definition. Units are cut into `slices`
-    parts by hash; each entity visits every part, so the work spreads over slices even for few
-    entities. AQE turns the join into a broadcast when the units measure small.
+    The explicit-zeros table is entities times units by definition. Entities are cut into slices by
+    hash, as many as the shuffle has partitions, and each slice gets its copy of the units. No
+    entity row is repeated and no slice is larger than the others. AQE turns the join into a
+    broadcast when the copies measure small.
     """
-    # The slice number is kept as computed by hash: the same units land in the same slice on retry.
-    spread = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    sliced = units.withColumn("_slice", F.pmod(F.xxhash64(*units.columns), F.lit(slices)).cast("int"))
-    return entities.withColumn("_slice", spread).join(sliced, "_slice").drop("_slice")
+    slices = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.xxhash64(F.col(entity)), F.lit(slices)).cast("int")
+    copies = units.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return entities.withColumn("_slice", place).join(copies, "_slice").drop("_slice")
 
 
 def dense_table(
@@ -84,7 +85,6 @@ def dense_table(
     electorate: DataFrame,
     entity: str = "sq_candidato",
     unit: Sequence[str] = ("cd_mun_ibge",),
-    slices: int = 16,
 ) -> DataFrame:
     """JOI-02. Every entity in every unit: `votos` (zero where there is no row), `aptos`, `validos`.
 
@@ -98,7 +98,7 @@ def dense_table(
     counted = _one_row_each(votes, keys, ["votos"], "dense_table(votes)")
     units = _one_row_each(electorate, unit, ["aptos", "validos"], "dense_table(electorate)")
     entities = votes.groupBy(entity).agg(F.sum("votos").alias("_votos_entidade"))
-    grid = _units_for_every_entity(entities, units, slices)
+    grid = _units_for_every_entity(entities, units, entity)
     table = grid.join(counted, keys, "full_outer")
     orphan = fail("dense_table: votes without electorate", *[F.col(k) for k in keys])
     excess = fail("dense_table: votes above the valid votes", *[F.col(k) for k in keys])

@@ -20,6 +20,7 @@ from escrutinio.operators.finance import (
     total_cost_per_vote,
     total_revenue_per_vote,
 )
+from escrutinio.session import cut_lineage
 
 EXPENSES = ("vr_despesa_contratada", "vr_despesa_paga")
 
@@ -82,7 +83,8 @@ def group_accounts(
     `electors` is a one-row table with `aptos`: the electorate of the circumscriptions of the
     group, each counted once.
     """
-    rows = candidate_accounts(members, votes, revenue, expenses, **prices)
+    # Sums, two medians and the quartiles all read these rows: they are computed once.
+    rows = cut_lineage(candidate_accounts(members, votes, revenue, expenses, **prices))
     net = group_revenue(revenue, members.select("sq_candidato"))
     if prices.get("prices") is not None:
         net = deflate(net, _money_columns(net), prices["prices"], prices["origin"], prices["base"])
@@ -101,10 +103,11 @@ def group_accounts(
         revenue_distribution(rows),
         net,
     ]
-    out = parts[0]
-    for other in parts[1:]:
-        row = other.select(F.struct(*other.columns).alias("x")).scalar()
-        out = out.withColumn("_x", row).withColumns({c: F.col(f"_x.{c}") for c in other.columns}).drop("_x")
+    first, others = parts[0], parts[1:]
+    cells = [p.select(F.struct(*p.columns).alias("x")).scalar().alias(f"_x{i}") for i, p in enumerate(others)]
+    out = first.select("*", *cells).select(
+        *first.columns, *[F.col(f"_x{i}.{c}") for i, p in enumerate(others) for c in p.columns]
+    )
     out = out.withColumns(
         {
             "receita_minima": F.col("receita_total") - F.col("receita_repasses_doador_desconhecido"),

@@ -36,12 +36,8 @@ def table(columns, data):
     return sorted(tuple(text(r[i]) for i in order) for r in data)
 
 
-# Names of queries that SQL cannot state: they resample with a seeded hash, or their inputs are
-# compared piece by piece in other queries.
-WITHOUT_SQL = {
-    "correlation_bootstrap", "social_correlations", "moran_global_p", "moran_local_p",
-    "account_comparison",
-}
+# Queries that SQL cannot state: they resample with a seeded hash.
+WITHOUT_SQL = {"correlation_bootstrap", "social_correlations", "moran_global_p", "moran_local_p"}
 
 
 def test_only_resampling_has_no_sql():
