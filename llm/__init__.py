@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from importlib import import_module
 
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors whole, so the workers need no copy on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODULES = (
-    "sharding",
+    "sharding", "contamination",
 )
 
 

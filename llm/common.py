@@ -75,3 +75,28 @@ def over_slices(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: s
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores in front until no column of `df` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict], added: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """`df` with the columns `added` (DDL), which `make(slice)` gives by name; no column is reordered."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(added)
+    arrow = to_arrow_schema(new)
+    names = [*df.columns, *(f.name for f in new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows):
+            out = make(part)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[f.name], type=f.type) for f in arrow)], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
