@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = (
-    "sharding", "contamination", "packing", "language",
+    "quality", "sharding", "contamination", "packing", "language",
 )
 
 
