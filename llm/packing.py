@@ -10,6 +10,7 @@ of its own partition from a pool of bounded size, so nothing is shuffled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ POOL = 4096
 CUT_GAP = 8
 END_ID = 1
 # Words whose ids a task remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 600_000
 
 PIECES = "doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, segments long, loss_tokens long"
 
@@ -40,30 +41,57 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
+# Letters whose case and form need no further normalisation: a-z and the lower case of Latin-1.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordIds(dict):
     """Ids of whole texts as little-endian bytes, by words at ASCII white space.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are
-    the ids of its words in order; each distinct word is encoded once while it is remembered.
+    the ids of its words in order; each distinct word is encoded once while it is remembered. A run
+    of letters is one unit of the merges, and so is a single mark after it.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.shown = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem, mark = (word[:-1], word[-1:]) if len(word) > 1 and word[-1:] in (b".", b",") else (word, b"")
+        letters = stem.decode().lower()
+        if not LETTERS.fullmatch(letters):
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            out = np.array(ids, "<u4").tobytes()
+        elif mark:
+            out = self[stem] + self[mark]
+        else:
+            units = letters if letters.isascii() else "".join(map(self.shown.__getitem__, letters.encode()))
+            out = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+        self[word] = out
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        # Lower case in A-Z is what the tokenizer does first; its special tokens are case-sensitive.
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self) > MEMORY_WORDS:
+            self.clear()
+        out = []
+        for t in texts:
+            # Lower case in A-Z is what the tokenizer does first; its special tokens are case-sensitive.
+            words = (t if b"<|" in t else t.lower()).split() if t else []
+            out.append(b"".join(map(self.__getitem__, words)))
+        return out
 
 
 class Packer:
