@@ -18,9 +18,12 @@ MODULES = (
 
 def queries() -> dict[str, Callable]:
     """Query name to `(spark, folder) -> DataFrame`, the whole pipeline included."""
+    import corpus_pipeline
+
     out: dict[str, Callable] = {}
     for name in MODULES:
         out.update(import_module(f"{__name__}.{name}").QUERIES)
+    out["pipeline"] = corpus_pipeline.run
     return out
 
 
