@@ -92,11 +92,14 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict], added:
 
     new = _parse_datatype_string(added)
     arrow = to_arrow_schema(new)
-    names = [*df.columns, *(f.name for f in new)]
+    old = df.columns
+    names = [*old, *(f.name for f in new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows):
-            out = make(part)
+            out = make(pa.RecordBatch.from_arrays(part.columns, names=old))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[f.name], type=f.type) for f in arrow)], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+    # Columns go by number into the map, which takes no dots in names.
+    plain = df.toDF(*[f"_{i}" for i in range(len(old))])
+    return plain.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
