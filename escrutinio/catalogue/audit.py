@@ -9,7 +9,7 @@ from escrutinio.catalogue.roles import BALLOTS, ballots, rounded, table, with_sq
 from escrutinio.functions.identity import salt_fingerprint
 from escrutinio.operators import reconcile as rc
 from escrutinio.plans import catalog
-from escrutinio.sources.contracts import Contract, contract_findings
+from escrutinio.sources.contracts import Column, Contract, contract_findings
 from escrutinio.sources.text_files import (
     attach_unit,
     parse_results,
@@ -20,20 +20,21 @@ from escrutinio.sources.text_files import (
     trim_labels,
 )
 
-ORDERS = Contract(
-    "pedidos",
-    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    key=("o_custkey", "o_orderpriority"),
-    required=("o_orderkey", "o_orderstatus"),
-    ranges={"o_totalprice": (1000.0, 400000.0)},
-)
-TEXT_ORDERS = Contract(
-    "pedidos_texto",
-    "cd_pedido bigint, ds_situacao string, vr_total double, dt_pedido date, nr_zona smallint",
-    key=("cd_pedido",),
-    source_names={"ds_situacao": "DS_SIT"},
-)
+ORDERS = Contract("pedidos", (
+    Column("o_orderkey", "bigint", required=True),
+    Column("o_custkey", "bigint", key=1),
+    Column("o_orderstatus", "string", required=True),
+    Column("o_totalprice", "double", low=1000.0, high=400000.0),
+    Column("o_orderdate", "timestamp_ntz"),
+    Column("o_orderpriority", "string", key=2),
+))
+TEXT_ORDERS = Contract("pedidos_texto", (
+    Column("cd_pedido", "bigint", key=1),
+    Column("ds_situacao", "string", source="DS_SIT"),
+    Column("vr_total", "double"),
+    Column("dt_pedido", "date"),
+    Column("nr_zona", "smallint"),
+))
 
 
 def contract_check(spark, d):

@@ -10,22 +10,17 @@ from pyspark.sql import functions as F
 from escrutinio.functions.checks import require_columns, single_value
 
 ELIGIBLE_STATUS = "APTO"  # fixed value: registration status of an eligible candidacy
-IN_LIST_LIMIT = 1000  # ids that still travel as a pushed `IN` filter
 
 
 def members_filter(df: DataFrame, ids: Sequence[int] | DataFrame, column: str = "sq_candidato") -> DataFrame:
     """FIL-05. Rows of the listed entities.
 
-    A short list becomes an `IN` filter that reaches the Parquet scan; a longer one, or a table of
-    ids, a semi join. An empty list matches nothing.
+    The caller chooses: ids in a Python list become an `IN` filter that reaches the Parquet scan,
+    ids in a table a semi join. An empty list matches nothing.
     """
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_semi")
-    ids = list(ids)
-    if len(ids) <= IN_LIST_LIMIT:
-        return df.filter(F.col(column).isin(*ids)) if ids else df.filter(F.lit(False))
-    table = df.sparkSession.createDataFrame([(int(i),) for i in ids], f"{column} bigint")
-    return members_filter(df, table, column)
+    return df.filter(F.col(column).isin(list(ids)) if len(ids) else F.lit(False))
 
 
 def members_by_rule(

@@ -280,6 +280,13 @@ def _as_extreme(observed: Column, drawn: Column, centre: Column) -> Column:
     return F.when(observed >= centre, drawn >= observed).otherwise(drawn <= observed)
 
 
+def _no_inference(permutations: int) -> bool:
+    """True when no draws are asked for; a negative number of them is an error."""
+    if permutations < 0:
+        raise ValueError("permutations: a number of draws is not negative")
+    return permutations == 0
+
+
 def moran_global_p(
     values: DataFrame, neighbours: DataFrame, permutations: int = 999, seed: int = PERMUTATION_SEED
 ) -> DataFrame:
@@ -289,6 +296,8 @@ def moran_global_p(
     deviation of the j-th goes to the j-th unit. Draws depend on (seed, permutation, unit) only,
     so a retried task repeats them.
     """
+    if _no_inference(permutations):
+        return moran_global(values, neighbours).withColumn("pseudo_p", F.lit(None).cast("double"))
     units = dense_index(_deviations(values), [], "id", "i")
     links = _links(values, neighbours)
     rows = _lags(units, links)
@@ -349,6 +358,8 @@ def moran_local_p(
     One row per (unit, permutation) draws as many distinct other units as the unit has neighbours,
     so the work is permutations times edges, never units times units.
     """
+    if _no_inference(permutations):
+        return moran_local(values, neighbours).withColumn("pseudo_p", F.lit(None).cast("double"))
     units = dense_index(_deviations(values), [], "id", "i")
     rows = _lags(units, _links(values, neighbours))
     m2 = units.agg(

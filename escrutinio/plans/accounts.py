@@ -20,6 +20,7 @@ from escrutinio.operators.finance import (
     total_cost_per_vote,
     total_revenue_per_vote,
 )
+from escrutinio.operators.totals import money_sum
 from escrutinio.session import cut_lineage
 
 EXPENSES = ("vr_despesa_contratada", "vr_despesa_paga")
@@ -57,17 +58,18 @@ def candidate_accounts(
         # Sums are exact in nominal cents; the factor is applied once to each sum.
         joined = deflate(joined, [*_money_columns(revenue_rows), *money], prices, origin, base)
     costed = revenue_per_vote(cost_per_vote(joined))
-    # Balance and alert use the expense with transfers.
-    whole = costed.select(
-        "sq_candidato", "receita_total", "receita_financeira",
-        F.col("despesa_contratada_com_repasses").alias("despesa_contratada"),
-        F.col("despesa_paga_com_repasses").alias("despesa_paga"),
-    )
-    balances = spending_alert(campaign_balance(whole)).select(
-        "sq_candidato", "saldo_contratado", "saldo_financeiro", "pct_receita_gasta",
+    # Balance and alert use the expense with transfers; the expense without them comes back after.
+    own = {"despesa_contratada": "_contratada", "despesa_paga": "_paga"}
+    whole = costed.withColumnsRenamed(own).withColumns(
+        {name: F.col(f"{name}_com_repasses") for name in own}
+    )
+    judged = spending_alert(campaign_balance(whole)).withColumns(
+        {name: F.col(kept) for name, kept in own.items()}
+    )
+    return judged.select(
+        *costed.columns, "saldo_contratado", "saldo_financeiro", "pct_receita_gasta",
         "razao_gasto_contratada", "razao_gasto_paga", "alerta_declaracao", "sentido_alerta",
     )
-    return costed.join(balances, "sq_candidato")
 
 
 def _money_columns(summary: DataFrame) -> list[str]:
@@ -90,11 +92,11 @@ def group_accounts(
         net = deflate(net, _money_columns(net), prices["prices"], prices["origin"], prices["base"])
     parts = [
         rows.agg(
-            F.sum("despesa_contratada").alias("despesa_contratada"),
-            F.sum("despesa_paga").alias("despesa_paga"),
+            money_sum(F.col("despesa_contratada")).alias("despesa_contratada"),
+            money_sum(F.col("despesa_paga")).alias("despesa_paga"),
             F.sum("votos").alias("votos"),
-            F.sum("saldo_contratado").alias("saldo_contratado"),
-            F.sum("saldo_financeiro").alias("saldo_financeiro"),
+            money_sum(F.col("saldo_contratado")).alias("saldo_contratado"),
+            money_sum(F.col("saldo_financeiro")).alias("saldo_financeiro"),
         ),
         total_cost_per_vote(rows).withColumnsRenamed(
             {"candidatos_sem_voto_excluidos": "custo_sem_voto", "candidatos_sem_contas_excluidos": "custo_sem_contas"}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Planner settings every job here relies on. None of them fixes a partition count: AQE sizes
@@ -49,26 +47,20 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder reachable by every executor, as named by the cluster in `spark.checkpoint.dir`."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder reachable by every executor: `spark.checkpoint.dir`, or one in the warehouse if unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    )
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written once as a reliable checkpoint and read back by everything built on it.
 
     For tables that one plan uses many times: the plan stays small, and a lost executor repeats a
-    read, not the whole history. The folder is the one the cluster names in `spark.checkpoint.dir`.
-    A local session without it gets a folder of its own. On a cluster without it the plan goes on
-    uncut: the result is the same.
+    read, not the whole history. Local sessions and clusters behave alike.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(spark)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="escrutinio-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

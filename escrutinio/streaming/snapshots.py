@@ -1,8 +1,9 @@
 """Snapshot ingestion: a log of micro-batches, read as the last version of each key.
 
-Every micro-batch overwrites its own folder `lote=<id>` of the log, so a replay after a failure
-leaves the same files. Readers take the last reading per key over the folders; `compact` folds old
-folders into one. History is never rewritten by a batch.
+A stream writes each micro-batch to a folder of its own, `execucao=<run>/lote=<batch>`. The run is the
+id of the query, which lives in its checkpoint: a replay after a failure leaves the same files, and
+another stream, or one with a new checkpoint, adds its own beside them. Late readings enter the log like any
+other. Readers take the last reading per key over the folders; `compact` folds a log into a new one.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from escrutinio.operators.social import latest_snapshot
 
 PROFILE_KEY = ("sq_candidato", "ano_eleicao", "rede", "username", "coletado_em")
 POST_KEY = ("username", "media_id")
 RETRY_UNAVAILABLE_DAYS = 7  # fixed value
-COLLECTION_WATERMARK = "3 days"  # wider than the daily collection period
+RUN_PROPERTY = "sql.streaming.queryId"
 
 
 def open_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -31,26 +32,30 @@ def open_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     )
 
 
-def unique_readings(stream: DataFrame, key: Sequence[str] = PROFILE_KEY, instant: str = "coletado_em") -> DataFrame:
-    """STR-01. Readings once per key; state is dropped when the watermark passes."""
-    return stream.withWatermark(instant, COLLECTION_WATERMARK).dropDuplicatesWithinWatermark(list(key))
+def batch_writer(root: str, key: Sequence[str] | None = None, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """STR-01. Writer of one micro-batch to its own folder of the log.
 
-
-def batch_writer(root: str) -> Callable[[DataFrame, int], None]:
-    """Writer of one micro-batch to its own folder of the log."""
+    Rows that repeat a key inside the batch are written once; repeats over batches are resolved by
+    the reader, so no state grows and nothing that comes late is lost. `run` is for callers outside a
+    stream, whose runs have no id.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/lote={batch_id}")
+        own = run or batch.sparkSession.sparkContext.getLocalProperty(RUN_PROPERTY)
+        if not own:
+            raise ValueError("batch_writer: outside a stream the run needs a name")
+        rows = batch if key is None else batch.dropDuplicates(list(key))
+        rows.write.mode("overwrite").parquet(f"{root}/execucao={own}/lote={batch_id}")
 
     return write
 
 
-def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = None, key: Sequence[str] | None = None) -> StreamingQuery:
     """STR-01, STR-05. Take whatever is new in the source, then stop.
 
     An unchanged source gives no micro-batch, and a failed run leaves the committed folders alone.
     """
-    writer = stream.writeStream.foreachBatch(batch_writer(root)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(batch_writer(root, key)).option("checkpointLocation", checkpoint)
     if name is not None:
         writer = writer.queryName(name)
     return writer.trigger(availableNow=True).start()
@@ -58,10 +63,10 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = Non
 
 def current(spark: SparkSession, root: str, schema: StructType, key: Sequence[str], order: Column) -> DataFrame:
     """Last version per key: the newest `order`, then the newest batch. A mergeable aggregate."""
-    log_schema = StructType(schema.fields).add("lote", LongType())
+    log_schema = StructType(list(schema.fields)).add("execucao", StringType()).add("lote", LongType())
     log = spark.read.schema(log_schema).option("basePath", root).parquet(root)
     others = [c for c in schema.fieldNames() if c not in key]
-    rank = F.struct(order, F.col("lote"))
+    rank = F.struct(order, F.col("lote"), F.col("execucao"))
     return (
         log.groupBy(*key)
         .agg(F.max_by(F.struct(*others), rank).alias("r"))
@@ -81,8 +86,8 @@ def current_posts(spark: SparkSession, root: str, schema: StructType) -> DataFra
 
 
 def compact(table: DataFrame, target: str) -> None:
-    """Fold the current table into a fresh log with one base folder."""
-    table.hint("rebalance").write.mode("overwrite").parquet(f"{target}/lote=-1")
+    """Fold the current table into a new log with one base folder; an existing one is never replaced."""
+    table.hint("rebalance").write.mode("errorifexists").parquet(f"{target}/execucao=base/lote=-1")
 
 
 def newer_than_known(items: DataFrame, known: DataFrame, since: Column) -> DataFrame:

@@ -121,6 +121,18 @@ def test_public_id_is_short_and_stable(spark):
         ("facebook.com/fulano", None),
         ("instagram.com%2Ffulano", "fulano"),
         ("100% fulano", None),
+        ("instagram.com/a/b", None),
+        ("instagram.com/a/a", None),
+        ("instagram.com/_u/a/b", None),
+        ("instagram: @fulano / fulano", None),
+        ("instagram fulano fulano", "fulano"),
+        ("@fulano.", "fulano"),
+        ("veja m.instagram.com/fulano aqui", "fulano"),
+        ("instagram@fulano/x", "fulano"),
+        ("instagram", None),
+        ("www.fulano.com", None),
+        ("@ab+c", None),
+        ("instagram.com?x=instagram.com/fulano#z", "fulano"),
         ("", None),
     ],
 )

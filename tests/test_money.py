@@ -228,3 +228,15 @@ def test_same_people(frame):
     assert (r["n_comuns"], r["n_2022"], r["n_2026"], r["votos_2022"], r["votos_2026"], r["retencao"]) == (1, 2, 2, 10, 15, 1.5)
     with pytest.raises(FAILURES, match="repeated"):
         ev.same_people(frame([("x", 1), ("x", 2)], s), b).collect()
+
+
+def test_member_of_two_groups_has_one_row_each(frame):
+    from escrutinio.plans.accounts import candidate_accounts
+
+    members = frame([(1, "a"), (1, "b")], "sq_candidato bigint, grupo string")
+    votes = frame([(1, 10)], "sq_candidato bigint, votos bigint")
+    money = "sq_candidato bigint, ds_fonte_receita string, ds_origem_receita string, ds_natureza_receita string, vr_receita double"
+    revenue = frame([], money)
+    expenses = frame([(1, "X", 100.0, 50.0)], "sq_candidato bigint, ds_origem_despesa string, vr_despesa_contratada double, vr_despesa_paga double")
+    out = candidate_accounts(members, votes, revenue, expenses)
+    assert sorted(r.grupo for r in out.select("grupo").collect()) == ["a", "b"]

@@ -201,8 +201,11 @@ def test_stream_ingests_once_and_keeps_last_post(spark, frame, tmp_path):
     got = {r["media_id"]: r["like_count"] for r in rows(snapshots.current_posts(spark, log, first.schema))}
     assert got == {"1": 9, "2": 1}
     # A replayed batch overwrites its own folder.
-    snapshots.batch_writer(log)(again, 1)
+    run = next(p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("execucao=")).removeprefix("execucao=")
+    snapshots.batch_writer(log, run=run)(again, 1)
     assert snapshots.current_posts(spark, log, first.schema).count() == 2
+    with pytest.raises(ValueError, match="run"):
+        snapshots.batch_writer(log)(again, 1)
     snapshots.compact(snapshots.current_posts(spark, log, first.schema), str(tmp_path / "base"))
     assert snapshots.current_posts(spark, str(tmp_path / "base"), first.schema).count() == 2
 
@@ -212,12 +215,29 @@ def test_stream_drops_repeated_readings(spark, frame, tmp_path):
     schema = "sq_candidato bigint, ano_eleicao int, rede string, username string, followers_count bigint, coletado_em timestamp"
     row = (1, 2026, "instagram", "a", 5, day(8))
     frame([row, row, (1, 2026, "instagram", "a", 6, day(9))], schema).write.parquet(src)
-    stream = snapshots.unique_readings(snapshots.open_stream(spark, src, spark.read.parquet(src).schema))
-    snapshots.ingest(stream, log, ckpt).awaitTermination()
+    stream = snapshots.open_stream(spark, src, spark.read.parquet(src).schema)
+    snapshots.ingest(stream, log, ckpt, key=snapshots.PROFILE_KEY).awaitTermination()
     got = snapshots.current_profiles(spark, log, spark.read.parquet(src).schema)
     assert got.count() == 2 and spark.read.parquet(log).count() == 2
 
 
+def test_late_readings_and_other_runs_are_kept(spark, frame, tmp_path):
+    src, log = str(tmp_path / "src"), str(tmp_path / "log")
+    schema = "sq_candidato bigint, ano_eleicao int, rede string, username string, followers_count bigint, coletado_em timestamp"
+    kind = frame([], schema).schema
+
+    def take(days, checkpoint):
+        frame([(1, 2026, "instagram", "a", d, day(d)) for d in days], schema).write.mode("append").parquet(src)
+        snapshots.ingest(snapshots.open_stream(spark, src, kind), log, str(tmp_path / checkpoint), key=snapshots.PROFILE_KEY).awaitTermination()
+        return {r["followers_count"] for r in rows(snapshots.current_profiles(spark, log, kind))}
+
+    assert take([20, 21], "c1") == {20, 21}
+    assert take([5], "c1") == {5, 20, 21}
+    # A new checkpoint starts at batch 0 again, in a folder of its own.
+    src = str(tmp_path / "other")
+    assert take([9], "c2") == {5, 9, 20, 21}
+
+
 def test_cut_off_and_skip(frame):
     from pyspark.sql import functions as F
 

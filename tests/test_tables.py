@@ -10,7 +10,7 @@ from escrutinio.operators import reconcile as rc
 from escrutinio.plans import catalog, lists, maps
 from escrutinio.sources import publish
 from escrutinio.sources import text_files as tf
-from escrutinio.sources.contracts import CONTRACTS, Contract, ContractViolation, validate
+from escrutinio.sources.contracts import CONTRACTS, Column, Contract, ContractViolation, validate
 from tests.conftest import FAILURES, rows
 
 # --- places --------------------------------------------------------------------------------------
@@ -134,15 +134,15 @@ def test_month_gaps(frame):
 
 # --- files ---------------------------------------------------------------------------------------
 
-SMALL = Contract(
-    "votos_teste",
-    "ano smallint, cd_mun int, ds_rotulo string, vr double, dt date, qt bigint, cd_mun_ibge int",
-    key=("cd_mun", "ds_rotulo"),
-    required=("ano", "cd_mun"),
-    ranges={"vr": (-100.0, 100.0)},
-    derived=frozenset({"cd_mun_ibge"}),
-    source_names={"ano": "AA_ELEICAO"},
-)
+SMALL = Contract("votos_teste", (
+    Column("ano", "smallint", required=True, source="AA_ELEICAO"),
+    Column("cd_mun", "int", key=1, required=True),
+    Column("ds_rotulo", "string", key=2),
+    Column("vr", "double", low=-100.0, high=100.0),
+    Column("dt", "date"),
+    Column("qt", "bigint"),
+    Column("cd_mun_ibge", "int", derived=True),
+))
 HEADER = '"AA_ELEICAO";"CD_MUN";"DS_ROTULO";"VR";"DT";"QT"\n'
 
 
@@ -174,6 +174,17 @@ def test_bad_values_and_ragged_rows_fail(spark, tmp_path, line):
         tf.project_contract(raw, SMALL).collect()
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("A;B\n1;2\n")
+    (folder / "b.csv").write_text("B;A\n20;10\n")
+    got = rows(tf.read_delimited(spark, [str(folder / "a.csv"), str(folder / "b.csv")]), "A")
+    assert got == [{"A": "1", "B": "2"}, {"A": "10", "B": "20"}]
+    with pytest.raises(FAILURES):
+        tf.read_delimited(spark, str(folder)).collect()
+
+
 def test_missing_source_column(spark, tmp_path):
     raw = tf.read_delimited(spark, write_files(tmp_path / "csv", "")).drop("QT")
     with pytest.raises(ValueError, match="QT"):
@@ -181,7 +192,7 @@ def test_missing_source_column(spark, tmp_path):
 
 
 def good(frame):
-    return frame([(2026, 1, "a", 1.0, None, 5, 10), (2026, 2, None, 2.0, None, 6, 20)], SMALL.fields)
+    return frame([(2026, 1, "a", 1.0, None, 5, 10), (2026, 2, None, 2.0, None, 6, 20)], SMALL.schema)
 
 
 def test_contract_accepts_and_rejects(frame):
@@ -203,7 +214,7 @@ def test_every_contract_is_consistent():
     assert len(CONTRACTS) == 19
     for c in CONTRACTS.values():
         names = set(c.columns)
-        assert set(c.key) <= names and set(c.required) <= names and set(c.ranges) <= names and c.derived <= names
+        assert set(c.key) <= names and set(c.required) <= names and set(c.ranges) <= names and len(names) == len(c.fields)
 
 
 def test_publication_is_all_or_nothing(spark, frame, tmp_path):
