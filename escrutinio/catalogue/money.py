@@ -177,7 +177,7 @@ def ledger(spark, d):
 
 
 def expense_ledger(spark, d):
-    e = expense_entries(spark, d).filter(F.col("sq_candidato") <= 50)
+    e = expense_entries(spark, d)
     label = F.when(F.col("ds_origem_despesa").startswith("Pub"), F.lit(None).cast("string")).otherwise(F.col("ds_origem_despesa"))
     c = e.filter(F.col("ano") < 1999).withColumn("ds_origem_despesa", label)
     p = e.filter(F.col("ano") > 1996).withColumn("ds_origem_despesa", label).withColumnRenamed(
@@ -410,7 +410,7 @@ ORACLE = {
     "expense_ledger": with_sql(
         EXPENSES,
         """, e AS (SELECT *, ['Serviços prestados por terceiros', 'Doações financeiras a outros candidatos/partidos', NULL,
-          'Despesas com pessoal'][CAST(rotulo + 1 AS INTEGER)] AS o FROM despesas WHERE sq_candidato <= 50),
+          'Despesas com pessoal'][CAST(rotulo + 1 AS INTEGER)] AS o FROM despesas),
         c AS (SELECT ano, sq_candidato, o, sum(contratada)::DOUBLE AS v FROM e WHERE ano < 1999 GROUP BY ALL),
         p AS (SELECT ano, sq_candidato, o, sum(paga)::DOUBLE AS v FROM e WHERE ano > 1996 GROUP BY ALL)
         SELECT coalesce(c.ano, p.ano) AS ano, coalesce(c.sq_candidato, p.sq_candidato) AS sq_candidato, coalesce(c.o, p.o) AS ds_origem_despesa,

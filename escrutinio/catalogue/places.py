@@ -189,11 +189,11 @@ def moran_global(spark, d):
 
 
 def moran_global_p(spark, d):
-    return rounded(spatial.moran_global_p(_unit_rate(spark, d), _ring(spark, d), permutations=199))
+    return rounded(spatial.moran_global_p(_unit_rate(spark, d), _ring(spark, d)))
 
 
 def moran_local_p(spark, d):
-    return rounded(spatial.moran_local_p(_unit_rate(spark, d), _ring(spark, d), permutations=199))
+    return rounded(spatial.moran_local_p(_unit_rate(spark, d), _ring(spark, d)))
 
 
 def municipality_dimension(spark, d):

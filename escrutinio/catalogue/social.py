@@ -16,6 +16,7 @@ from escrutinio.catalogue.roles import (
 )
 from escrutinio.operators import social as so
 from escrutinio.operators import statistics as st
+from escrutinio.operators.statistics import BOOTSTRAP, BOOTSTRAP_SEED, poisson_steps
 from escrutinio.plans import networks, screens
 from escrutinio.sources.publish import merge_last
 from escrutinio.streaming import snapshots
@@ -123,12 +124,12 @@ def correlation(spark, d):
 
 
 def correlation_bootstrap(spark, d):
-    return rounded(st.correlation(_pairs(spark, d), "seguidores", "votos", resamples=400))
+    return rounded(st.correlation(_pairs(spark, d), "seguidores", "votos"))
 
 
 def social_correlations(spark, d):
     s = _summary(spark, d)
-    return rounded(networks.social_correlations(s, resamples=200))
+    return rounded(networks.social_correlations(s))
 
 
 def declared_accounts(spark, d):
@@ -316,7 +317,49 @@ z AS (SELECT username, count(*) AS n, arg_min(followers_count, coletado_em) AS a
 """
 DECLARED = """, declaradas AS (SELECT DISTINCT user_id + 20 AS sq_candidato, 'conta' || (user_id + 20) || 'a' AS username FROM events)"""
 
+def _bootstrap_sql(pairs: str, by: str, size: str) -> str:
+    """Bootstrap of the rank correlation of `pairs` (keys, id, x, y), draw for draw."""
+    u = f"('0x' || substr(md5('{BOOTSTRAP_SEED}|' || rep || '|' || id), 1, 8))::BIGINT / 4294967296.0"
+    w = " + ".join(f"(u >= {t!r})::INT" for t in poisson_steps())
+    ranks = ", ".join(
+        f"sum(w) OVER (PARTITION BY {by}, rep ORDER BY {c}) - (sum(w) OVER (PARTITION BY {by}, rep, {c}) - 1) / 2.0 AS r{c}"
+        for c in "xy"
+    )
+    keys = ", ".join(f"t.{k.strip()} = q.{k.strip()}" for k in by.split(",")).replace(", ", " AND ")
+    return f""", completos AS (SELECT * FROM ({pairs}) WHERE x IS NOT NULL AND y IS NOT NULL),
+        tamanho AS ({size}),
+        posto AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx,
+          rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry FROM completos),
+        ponto AS (SELECT {by}, corr(rx, ry) AS rho FROM posto GROUP BY ALL),
+        sorteio AS (SELECT {by}, rep, x, y, {w} AS w FROM (SELECT *, {u} AS u FROM completos JOIN tamanho USING ({by}), range(1, {BOOTSTRAP} + 1) r(rep) WHERE n >= 10)),
+        pesos AS (SELECT {by}, rep, w, {ranks} FROM sorteio WHERE w > 0),
+        media AS (SELECT {by}, rep, sum(w) AS n, sum(w * rx) / sum(w) AS mx, sum(w * ry) / sum(w) AS my FROM pesos GROUP BY ALL),
+        replica AS (SELECT {by}, rep, sum(w * (rx - mx) * (ry - my)) / nullif(sqrt(sum(w * (rx - mx) ** 2) * sum(w * (ry - my) ** 2)), 0) AS rho
+          FROM pesos JOIN media USING ({by}, rep) GROUP BY ALL),
+        q AS (SELECT {by}, quantile_cont(rho, 0.025) AS a, quantile_cont(rho, 0.975) AS b, count(rho) AS m FROM replica GROUP BY ALL)
+        SELECT {by}, n, n_excluidos, round(CASE WHEN n >= 10 THEN rho END, 6) + 0.0 AS rho, round(a, 6) + 0.0 AS ic_inf, round(b, 6) + 0.0 AS ic_sup,
+        CASE WHEN rho IS NOT NULL AND n >= 10 THEN m END AS n_bootstrap_validos FROM tamanho t LEFT JOIN ponto USING ({by}) LEFT JOIN q USING ({by})"""
+
+
 ORACLE = {
+    "correlation_bootstrap": with_sql(
+        PAIRS,
+        _bootstrap_sql(
+            "SELECT cd_cargo, sq_candidato AS id, seguidores::DOUBLE AS x, votos::DOUBLE AS y FROM base", "cd_cargo",
+            "SELECT cd_cargo, count(*) FILTER (WHERE seguidores IS NOT NULL AND votos IS NOT NULL) AS n, "
+            "count(*) FILTER (WHERE seguidores IS NULL OR votos IS NULL) AS n_excluidos FROM base GROUP BY ALL",
+        ),
+    ),
+    "social_correlations": with_sql(
+        SUMMARY + ", longo AS (" + " UNION ALL ".join(
+            f"SELECT '{name}' AS par, cd_cargo, sq_candidato AS id, {x}::DOUBLE AS x, votos::DOUBLE AS y FROM resumo" for name, x in networks.PAIRS
+        ) + ")",
+        _bootstrap_sql(
+            "SELECT * FROM longo", "par, cd_cargo",
+            "SELECT par, cd_cargo, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n, "
+            "count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS n_excluidos FROM longo GROUP BY ALL",
+        ),
+    ),
     "latest_snapshot": with_sql(
         PROFILES,
         """SELECT username, arg_max(sq_candidato, coletado_em) AS sq_candidato, arg_max(status, coletado_em) AS status,

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import accumulate
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escrutinio.functions.checks import checked, require_columns
 from escrutinio.functions.rates import ratio
-from escrutinio.operators.ordering import average_ranks, dense_index, exact_quantiles
+from escrutinio.operators.ordering import average_ranks, exact_quantiles
 from escrutinio.session import cut_lineage
 
 MIN_PAIRS = 10  # fixed value: pairs below which a correlation is not reported
@@ -55,6 +58,17 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return _rank_pearson(_pair_counts(df, by, x, y, None), by)
 
 
+def poisson_steps(count: int = 12) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... for a Poisson number of mean one."""
+    return list(accumulate(exp(-1) / factorial(k) for k in range(count)))
+
+
+def _poisson(seed: int, resample: Column, identity: Column) -> Column:
+    text = F.concat_ws("|", F.lit(str(seed)), resample.cast("string"), identity.cast("string"))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return reduce(lambda a, b: a + b, [(u >= t).cast("int") for t in poisson_steps()])
+
+
 def correlation(
     df: DataFrame,
     x: str,
@@ -68,10 +82,10 @@ def correlation(
 ) -> DataFrame:
     """STA-02. Rank correlation per group with a percentile bootstrap interval.
 
-    Resamples are rows: in each one every pair of the group draws one position of the group, from
-    a hash of (seed, resample, position), and the drawn positions are counted. Draws do not depend
-    on the partitioning. They differ from those of another generator, so the interval agrees
-    statistically and `rho` exactly.
+    Resamples are rows: in each one every pair draws how often it counts, a Poisson number of mean
+    one out of an md5 of (seed, resample, id), so no resample needs positions, joins or the size of
+    its group. Draws do not depend on the partitioning, and SQL can repeat them. They differ from
+    those of another generator, so the interval agrees statistically and `rho` exactly.
     """
     require_columns(df, [*by, x, y, id_column], "correlation")
     if not 0 < level < 1:
@@ -92,20 +106,13 @@ def correlation(
         F.count_if(complete).alias("n"), F.count_if(~complete).alias("n_excluidos")
     )
     point = spearman(base, "_x", "_y", by).drop("n")
-    large = sizes.filter(F.col("n") >= minimum).select(*by, F.col("n").alias("_n"))
-    indexed = cut_lineage(
-        dense_index(base.filter(complete), by, "_id", "_i").join(large, list(by)).drop("_id")
+    large = sizes.filter(F.col("n") >= minimum).select(*by)
+    pairs = base.filter(complete).join(large, list(by), "left_semi")
+    sampled = (
+        pairs.select(*by, "_id", "_x", "_y", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_rep"))
+        .withColumn("_w", _poisson(seed, F.col("_rep"), F.col("_id")))
+        .filter(F.col("_w") > 0)
     )
-    draws = (
-        indexed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_rep"))
-        .select(
-            *by, "_rep",
-            F.pmod(F.xxhash64(F.lit(seed), F.lit("bootstrap"), "_rep", "_i"), F.col("_n")).alias("_i"),
-        )
-        .groupBy(*by, "_rep", "_i")
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    sampled = draws.join(indexed.select(*by, "_i", "_x", "_y"), [*by, "_i"])
     drawn = cut_lineage(_pair_counts(sampled, [*by, "_rep"], "_x", "_y", "_w"))
     replicas = _rank_pearson(drawn, [*by, "_rep"])
     tail = (1 - level) / 2

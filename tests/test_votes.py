@@ -266,6 +266,15 @@ def test_moran_on_a_ring(frame):
     assert all(1 / 50 <= r["pseudo_p"] <= 1 for r in lp)
 
 
+def test_no_permutations_no_inference(frame):
+    values, edges = frame([(1, 1.0), (2, 2.0), (3, 5.0)], "id bigint, valor double"), frame([(1, 2), (2, 1), (2, 3), (3, 2)], "id bigint, vizinho bigint")
+    p = spatial.moran_global_p(values, edges, permutations=0).first()
+    assert p.moran_i is not None and p.pseudo_p is None
+    assert {r["pseudo_p"] for r in rows(spatial.moran_local_p(values, edges, permutations=0))} == {None}
+    with pytest.raises(ValueError):
+        spatial.moran_global_p(values, edges, permutations=-1)
+
+
 def test_moran_without_variance_is_null(frame):
     values, edges = frame([(i, 3.0) for i in range(8)], "id int, valor double"), frame(RING, "id int, vizinho int")
     assert spatial.moran_global(values, edges).first().moran_i is None
