@@ -9,7 +9,7 @@ from escrutinio.functions import identity
 from escrutinio.functions.handles import profile_handle
 from escrutinio.functions.text import normalize_label, normalize_search
 from escrutinio.operators import people
-from escrutinio.plans import comparison
+from escrutinio.plans import comparison, references
 from escrutinio.sources.text_files import embedded_candidates, embedded_objects
 
 SALT = "sal-de-teste"
@@ -54,6 +54,24 @@ def search_scoped(spark, d):
     return out.select("ano", "sq_candidato", "nm_urna", "nivel", "votos", "total")
 
 
+def search_group(spark, d):
+    """Inside a group: the party of size 12 or the listed parts."""
+    c = part_candidates(spark, d)
+    out = people.search(c, part_votes(spark, d), "an", 40, party=12, listed=c.filter(F.col("sq_candidato") % 7 == 1))
+    return out.select("ano", "sq_candidato", "nm_urna", "nivel", "votos", "total")
+
+
+def side_order(spark, d):
+    v = part_votes(spark, d).groupBy("ano", "sq_candidato").agg(F.sum("votos").alias("votos"))
+    return references.side_order(part_candidates(spark, d).join(v, ["ano", "sq_candidato"]).select("ano", "sq_candidato", "nm_urna", "votos"))
+
+
+def ran_on_ballot(spark, d):
+    k = F.col("c_custkey")
+    code = F.when(k % 8 != 0, (k % 7).cast("int"))
+    return table(spark, d, "customer").select(k.alias("sq_candidato"), identity.ran_on_ballot(code).alias("foi_as_urnas"))
+
+
 def search_number(spark, d):
     out = people.search(part_candidates(spark, d), part_votes(spark, d), "12", 50)
     return out.select("ano", "sq_candidato", "nivel", "votos", "total")
@@ -102,7 +120,7 @@ def people_in_both(spark, d):
     r = _registrations(spark, d)
     always = r.filter(F.col("sq_candidato") % 97 == 1).select("pessoa_pub")
     out = comparison.people_in_both(r, r, YEAR_BEFORE, YEAR_AFTER, 60, always=always)
-    return out.select("sq_candidato_de", "sq_candidato_para", "votos_de", "votos_para", "mesmo_cargo", "comparavel")
+    return out.select("sq_candidato_de", "sq_candidato_para", "votos_de", "votos_para", "mesmo_cargo", "comparavel", "total")
 
 
 def selected_people(spark, d):
@@ -214,7 +232,12 @@ def _site(spark, d):
 
 
 def handle_divergence(spark, d):
-    return people.compare_handles(people.declared_handles(_declarations(spark, d)), _site(spark, d))
+    cu = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").filter(F.col("c_custkey") % 3 == 0)
+    names = cu.select(
+        F.floor(F.col("c_custkey") / 3).alias("sq_candidato"), F.col("c_name").alias("nm_urna"),
+        F.when(F.col("c_nationkey") % 2 == 0, "SP").otherwise("RJ").alias("sg_uf"),
+    )
+    return people.compare_handles(people.declared_handles(_declarations(spark, d)), _site(spark, d), names)
 
 
 def handle_report(spark, d):
@@ -254,7 +277,7 @@ def embedded_candidate_objects(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_ranked, search_scoped, search_number, suggestion_order, people_pairs,
+        search_ranked, search_scoped, search_group, side_order, ran_on_ballot, search_number, suggestion_order, people_pairs,
         people_pairs_term, people_in_both, selected_people, person_list, person_keys, check_digits,
         normalized_text, normalized_labels, profile_handles, declared_handles, handle_counts,
         handle_divergence, handle_report, work_list, embedded_links, embedded_candidate_objects,
@@ -335,6 +358,11 @@ ORACLE = {
     "search_scoped": _search_sql(
         _text_tier("brand#1"), "ano = 2022 AND ds_cargo = 'DEPUTADO FEDERAL' AND sg_uf = 'SP'", 30, "ano, sq_candidato, nm_urna"
     ),
+    "search_group": _search_sql(_text_tier("an"), "(p_size = 12 OR sq_candidato % 7 = 1)", 40, "ano, sq_candidato, nm_urna"),
+    "side_order": with_sql(
+        PARTS.replace("WHERE p_partkey % 10 <> 0", ""), "SELECT ano, sq_candidato, nm_urna, votos FROM cand JOIN vt USING (sq_candidato) ORDER BY votos DESC, sq_candidato"
+    ),
+    "ran_on_ballot": "SELECT c_custkey AS sq_candidato, c_custkey % 8 <> 0 AS foi_as_urnas FROM customer",
     "search_number": _search_sql(
         "CASE WHEN CAST(sq_candidato AS VARCHAR) = '12' THEN 0 WHEN starts_with(CAST(sq_candidato AS VARCHAR), '12') THEN 1 WHEN p_size = 12 THEN 2 END",
         "true", 50, "ano, sq_candidato",
@@ -360,7 +388,7 @@ ORACLE = {
           de.ds_cargo = para.ds_cargo AS mesmo_cargo, de.ds_cargo = para.ds_cargo AND para.ds_cargo <> 'SENADOR' AS comparavel FROM de JOIN para USING (pessoa_id)),
         g AS (SELECT * FROM j ORDER BY n, b, a LIMIT 60),
         x AS (SELECT * FROM j WHERE pessoa_id IN (SELECT pessoa_id FROM pes WHERE sq_candidato % 97 = 1))
-        SELECT a AS sq_candidato_de, b AS sq_candidato_para, votos_de, votos_para, mesmo_cargo, comparavel FROM (SELECT * FROM g UNION SELECT * FROM x)""",
+        SELECT a AS sq_candidato_de, b AS sq_candidato_para, votos_de, votos_para, mesmo_cargo, comparavel, (SELECT count(*) FROM j) AS total FROM (SELECT * FROM g UNION SELECT * FROM x)""",
     ),
     "selected_people": with_sql(
         REGISTRATIONS,
@@ -392,8 +420,9 @@ ORACLE = {
     ),
     "handle_divergence": with_sql(
         DIVERGENCE,
-        """SELECT sq_candidato, divergencia, instagram_tse, instagram_tse_alternativos, instagram_site, seguidores_site FROM div
-        WHERE divergencia NOT IN ('igual', 'nenhum')""",
+        """SELECT sq_candidato, divergencia, instagram_tse, instagram_tse_alternativos, instagram_site, seguidores_site,
+        c_name AS nm_urna, CASE WHEN c_nationkey % 2 = 0 THEN 'SP' WHEN c_nationkey % 2 = 1 THEN 'RJ' END AS sg_uf
+        FROM div LEFT JOIN customer ON c_custkey = 3 * sq_candidato WHERE divergencia NOT IN ('igual', 'nenhum')""",
     ),
     "handle_report": with_sql(
         DIVERGENCE, "SELECT divergencia, count(*) AS n FROM div WHERE divergencia NOT IN ('igual', 'nenhum') GROUP BY ALL"

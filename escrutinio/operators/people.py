@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from escrutinio.functions.checks import fail
 from escrutinio.functions.handles import cites_network, profile_handle
 from escrutinio.functions.text import normalize_search, relevance
+from escrutinio.operators.groups import members_by_rule
 
 COUNTRY = "BR"  # fixed value: state code of a national candidacy
 PRESIDENT = "PRESIDENTE"
@@ -68,9 +69,12 @@ def search(
     year: int | None = None,
     office: str | None = None,
     state: str | None = None,
+    party: int | None = None,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """TOP-03. Best matches by tier, votes, newer year, name and id, with the number of matches.
 
+    With a party number, listed ids or both, only the group they make is searched.
     Candidates are filtered and matched before the votes are joined, and the order is a top-k, so
     no approximation window is needed.
     """
@@ -79,6 +83,8 @@ def search(
         rows = rows.filter(F.col("ano") == year)
     if office is not None:
         rows = rows.filter(F.col("ds_cargo") == office)
+    if party is not None or listed is not None:
+        rows = rows.join(members_by_rule(rows, party, listed), "sq_candidato", "left_semi")
     hits = with_search_text(rows).withColumn("nivel", tier(term)).filter(F.col("nivel").isNotNull())
     keys = ["ano", "sq_candidato"]
     summed = votes.groupBy(*keys).agg(F.sum("votos").alias("votos"))
@@ -248,10 +254,11 @@ def handle_counts(declarations: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def compare_handles(declared: DataFrame, site: DataFrame) -> DataFrame:
+def compare_handles(declared: DataFrame, site: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """JOI-14. Declared against third-party handles: rows that disagree, with their class.
 
     The declared rows are folded per candidacy (a primary and a few alternates) before the join.
+    With `candidates` the ballot name and the state stand beside each row.
     """
     folded = declared.groupBy("sq_candidato").agg(
         F.min(F.when(F.col("principal"), F.col("username"))).alias("instagram_tse"),
@@ -275,7 +282,7 @@ def compare_handles(declared: DataFrame, site: DataFrame) -> DataFrame:
         .when(F.array_contains("_alt", F.col("instagram_site")), "site_usa_perfil_alternativo_do_tse")
         .otherwise("perfis_diferentes")
     )
-    return (
+    out = (
         joined.withColumn("divergencia", kind)
         .filter(~F.col("divergencia").isin("igual", "nenhum"))
         .select(
@@ -284,6 +291,9 @@ def compare_handles(declared: DataFrame, site: DataFrame) -> DataFrame:
             "instagram_site", "seguidores_site",
         )
     )
+    if candidates is None:
+        return out
+    return out.join(candidates.select("sq_candidato", "nm_urna", "sg_uf"), "sq_candidato", "left")
 
 
 def handle_report(divergences: DataFrame) -> DataFrame:

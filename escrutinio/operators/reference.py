@@ -110,12 +110,6 @@ def _long(df: DataFrame, keys: Sequence[str], indicators: Sequence[str]) -> Data
     )
 
 
-def indicator_order(indicator: Column) -> Column:
-    """Position of an indicator in the profile, for display order."""
-    names = F.array(*[F.lit(i) for i in PROFILE])
-    return F.array_position(names, indicator)
-
-
 def reference_medians(
     reference: DataFrame,
     indicators: Sequence[str],

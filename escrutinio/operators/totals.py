@@ -37,16 +37,3 @@ def money_sum_where(value: Column, condition: Column) -> Column:
 def sum_where(value: Column, condition: Column) -> Column:
     """Integer sum over the rows of a condition; zero when there is none."""
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0).cast("bigint"))
-
-
-def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    """TOP-01. One page of an ordered list (a top-k per partition, then one small merge)."""
-    ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
-
-
-def with_row_count(df: DataFrame, page_rows: DataFrame, name: str = "total") -> DataFrame:
-    """WIN-10. A page beside the number of rows of the whole list, counted apart."""
-    return page_rows.withColumn(name, df.agg(F.count(F.lit(1)).alias("n")).scalar())
-
-

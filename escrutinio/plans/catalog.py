@@ -88,15 +88,6 @@ def revenue_view(revenue: DataFrame) -> DataFrame:
     )
 
 
-def social_views(declared: DataFrame, profiles: DataFrame, posts: DataFrame, network: str = "instagram"):
-    """Declared handles and readings of one network, and posts, with short names."""
-    return (
-        declared.filter(F.col("rede") == network).withColumnRenamed("ano_eleicao", "ano"),
-        profiles.filter(F.col("rede") == network).withColumnRenamed("ano_eleicao", "ano"),
-        posts,
-    )
-
-
 def years(candidates: DataFrame) -> DataFrame:
     """AGG-33."""
     return candidates.select("ano").distinct()

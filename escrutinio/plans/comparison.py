@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escrutinio.functions.rates import penetration, share_of_valid
-from escrutinio.operators.evolution import COUNTS, common_people, evolution
+from escrutinio.operators.evolution import COUNTS, add_changes, common_people, evolution
 from escrutinio.operators.finance import REVENUE_CATEGORIES, compare_revenue
 from escrutinio.operators.people import people_pairs
 from escrutinio.plans.maps import map_breaks
@@ -54,15 +54,16 @@ def restrict_to_common(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataF
 def compare_sides(old: DataFrame, new: DataFrame, areas: DataFrame, office: int) -> DataFrame:
     """QRY-08. Evolution by comparable area (`nivel` = `amc`) and of the whole scope (`total`).
 
-    The whole scope is the sum of the areas that both years share the counts of, computed from the
-    area rows instead of a second pass over the municipalities.
+    Both levels are grouping sets over the counts of the areas: the inputs are read once, and the
+    whole scope has the rates of the summed counts.
     """
     by_area = evolution(old, new, areas, office=office)
-    one = areas.select("cd_mun_ibge").distinct().withColumn("amc", F.lit(0))
-    whole = evolution(old, new, one, office=office)
-    return by_area.withColumn("nivel", F.lit("amc")).unionByName(
-        whole.withColumn("nivel", F.lit("total")).withColumn("amc", F.lit(None).cast(by_area.schema["amc"].dataType))
+    counts = [f"{c}_{y}" for y in ("2022", "2026") for c in COUNTS]
+    levels = by_area.select("amc", *counts).groupingSets([["amc"], []], "amc").agg(
+        *[F.sum(c).alias(c) for c in counts], F.grouping("amc").alias("_all")
     )
+    level = F.when(F.col("_all") == 1, "total").otherwise("amc")
+    return add_changes(levels).withColumn("nivel", level).drop("_all")
 
 
 def compare_breaks(old: DataFrame, new: DataFrame, classes: int = 5) -> DataFrame:
@@ -109,7 +110,10 @@ def people_in_both(
     term: str | None = None, state: str | None = None, office: str | None = None,
     always: DataFrame | None = None, two_seat_office: str = "SENADOR",
 ) -> DataFrame:
-    """QRY-10. One page of persons with both candidacies and their votes, plus requested persons."""
+    """QRY-10. One page of persons with both candidacies and their votes, plus requested persons.
+
+    `total` is the number of matches of the whole list.
+    """
     pairs = people_pairs(candidates, year_from, year_to, term, state, office)
     totals = votes.groupBy("ano", "sq_candidato").agg(F.sum("votos").alias("votos"))
 
@@ -130,7 +134,11 @@ def people_in_both(
         page = page.unionByName(with_votes(people_pairs(candidates, year_from, year_to, only=always))).distinct()
     same = F.col("ds_cargo_de") == F.col("ds_cargo_para")
     return page.withColumns(
-        {"mesmo_cargo": same, "comparavel": same & (F.col("ds_cargo_para") != two_seat_office)}
+        {
+            "mesmo_cargo": same,
+            "comparavel": same & (F.col("ds_cargo_para") != two_seat_office),
+            "total": pairs.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        }
     )
 
 
