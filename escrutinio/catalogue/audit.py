@@ -65,7 +65,7 @@ def typed_text(spark, d):
 
 def trimmed_labels(spark, d):
     rows = trim_labels(project_contract(_text_orders(spark, d), TEXT_ORDERS))
-    return rows.groupBy("ds_situacao").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("cd_pedido", "ds_situacao")
 
 
 def control_totals_text(spark, d):
@@ -85,7 +85,7 @@ def crosswalk_join(spark, d):
     na = table(spark, d, "nation").filter(F.col("n_nationkey") % 6 != 0).select(
         F.col("n_nationkey").alias("cd_municipio_tse"), (F.col("n_nationkey") + 1000).alias("cd_mun_ibge")
     )
-    return attach_unit(cu, na).groupBy("cd_mun_ibge").agg(F.count(F.lit(1)).alias("n"))
+    return attach_unit(cu, na)
 
 
 def orphan_units(spark, d):
@@ -376,7 +376,7 @@ ORACLE = {
         TEXT,
         """SELECT k AS cd_pedido, ds_situacao, round(vr, 2) + 0.0 AS vr_total, dt AS dt_pedido, CAST(zona AS SMALLINT) AS nr_zona FROM texto""",
     ),
-    "trimmed_labels": with_sql(TEXT, r"SELECT regexp_replace(trim(ds_situacao), '\s+', ' ', 'g') AS ds_situacao, count(*) AS n FROM texto GROUP BY 1"),
+    "trimmed_labels": with_sql(TEXT, r"SELECT k AS cd_pedido, regexp_replace(trim(ds_situacao), '\s+', ' ', 'g') AS ds_situacao FROM texto"),
     "control_totals_text": with_sql(
         TEXT,
         """SELECT count(*) AS linhas, CAST(sum(zona) AS BIGINT) AS zonas, count(*) FILTER (WHERE zona IS NULL) AS zonas_sentinela, 0::BIGINT AS zonas_nulo,
@@ -389,7 +389,7 @@ ORACLE = {
         SELECT 'linhas' AS controle, linhas AS esperado, linhas AS obtido, true AS igual FROM t
         UNION ALL SELECT 'nr_zona', z, z, true FROM t UNION ALL SELECT 'vr_total', v, v, true FROM t""",
     ),
-    "crosswalk_join": "SELECT CASE WHEN c_nationkey % 6 <> 0 THEN c_nationkey + 1000 END AS cd_mun_ibge, count(*) AS n FROM customer GROUP BY 1",
+    "crosswalk_join": "SELECT c_custkey, c_nationkey AS cd_municipio_tse, CASE WHEN c_nationkey % 6 <> 0 THEN c_nationkey + 1000 END AS cd_mun_ibge FROM customer",
     "orphan_units": "SELECT DISTINCT c_nationkey AS cd_municipio_tse FROM customer WHERE c_nationkey % 6 = 0 AND c_custkey % 2 <> 0",
     "ambiguous_keys": "SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1",
     "payments_with_candidacy": "SELECT o_custkey AS sq_candidato, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS valor FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",

@@ -177,15 +177,15 @@ def snapshot_merge(spark, d):
     p = profiles(spark, d).drop("follows_count", "media_count")
     old = p.filter(F.col("coletado_em") < "2024-01-20")
     new = p.filter(F.col("coletado_em") >= "2024-01-15").withColumn("status", F.concat(F.lit("n:"), "status"))
-    return merge_last(old, new, ["sq_candidato", "username", "coletado_em"]).groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("followers_count").alias("seguidores")
+    return merge_last(old, new, ["sq_candidato", "username", "coletado_em"]).select(
+        "sq_candidato", "username", "coletado_em", "status", "followers_count"
     )
 
 
 def new_items(spark, d):
     known = posts(spark, d).filter((F.col("timestamp") < "2024-01-12") & (F.length("username") % 2 == 0))
     out = snapshots.newer_than_known(posts(spark, d), known, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
-    return out.groupBy("username").agg(F.count_distinct("media_id").alias("n"), F.min("timestamp").alias("primeiro"))
+    return out.select("username", "media_id", F.col("timestamp").alias("publicado_em")).distinct()
 
 
 def skip_unavailable(spark, d):
@@ -197,7 +197,7 @@ def shared_accounts(spark, d):
         declared_accounts(spark, d).select("username", (F.col("sq_candidato") + 5000).alias("sq_candidato"))
     )
     out = so.shared_account_rows(declared, profiles(spark, d))
-    return out.groupBy("conta").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("conta", "username", "coletado_em", "followers_count")
 
 
 QUERIES = {
@@ -471,14 +471,14 @@ ORACLE = {
         CAST(floor(date_diff('microsecond', max(ts) FILTER (WHERE event_type <> 'error'), TIMESTAMP '2024-02-10 12:00:00') / 86400000000) AS BIGINT) AS dias_desde FROM events""",
     "snapshot_merge": with_sql(
         PROFILES,
-        """SELECT CASE WHEN coletado_em >= TIMESTAMP '2024-01-15' THEN 'n:' || status ELSE status END AS status, count(*) AS n,
-        CAST(sum(followers_count) AS BIGINT) AS seguidores FROM perfis GROUP BY 1""",
+        """SELECT sq_candidato, username, coletado_em, followers_count,
+        CASE WHEN coletado_em >= TIMESTAMP '2024-01-15' THEN 'n:' || status ELSE status END AS status FROM perfis""",
     ),
     "new_items": with_sql(
         POSTS,
         """, k AS (SELECT username, max("timestamp") AS t FROM posts WHERE "timestamp" < TIMESTAMP '2024-01-12' AND length(username) % 2 = 0 GROUP BY ALL)
-        SELECT username, count(*) AS n, min("timestamp") AS primeiro FROM posts LEFT JOIN k USING (username)
-        WHERE "timestamp" >= TIMESTAMP '2024-01-10' AND (t IS NULL OR "timestamp" > t) GROUP BY ALL""",
+        SELECT username, media_id, "timestamp" AS publicado_em FROM posts LEFT JOIN k USING (username)
+        WHERE "timestamp" >= TIMESTAMP '2024-01-10' AND (t IS NULL OR "timestamp" > t)""",
     ),
     "skip_unavailable": with_sql(
         PROFILES,
@@ -488,6 +488,6 @@ ORACLE = {
     "shared_accounts": with_sql(
         PROFILES + DECLARED,
         """, o AS (SELECT sq_candidato, username FROM declaradas UNION ALL SELECT sq_candidato + 5000, username FROM declaradas)
-        SELECT o.sq_candidato || '/' || username AS conta, count(*) AS n FROM perfis JOIN o USING (username) GROUP BY ALL""",
+        SELECT o.sq_candidato || '/' || username AS conta, username, coletado_em, followers_count FROM perfis JOIN o USING (username)""",
     ),
 }
