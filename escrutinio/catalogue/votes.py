@@ -33,10 +33,7 @@ def dense_indicators(spark, d):
 
 
 def dense_zeros(spark, d):
-    return performance.with_zeros(votes(spark, d), electorate(spark, d)).groupBy("sq_candidato").agg(
-        F.count(F.lit(1)).alias("unidades"), F.count_if(F.col("votos") == 0).alias("sem_voto"),
-        F.sum("votos").alias("votos"),
-    )
+    return performance.sparse_zeros(votes(spark, d), electorate(spark, d))
 
 
 def totals(spark, d):
@@ -44,8 +41,10 @@ def totals(spark, d):
 
 
 def table_totals(spark, d):
-    dense = performance.with_zeros(votes(spark, d), electorate(spark, d))
-    return rounded(performance.scope_totals(dense))
+    v = votes(spark, d).join(electorate(spark, d), "cd_mun_ibge")
+    base = electorate(spark, d).agg(F.struct(F.sum("aptos").alias("a"), F.sum("validos").alias("v")).alias("t")).scalar()
+    own = v.groupBy("sq_candidato").agg(F.sum("votos").alias("votos")).withColumn("_t", base)
+    return rounded(performance.scope_totals(own.select("sq_candidato", "votos", F.col("_t.a").alias("aptos"), F.col("_t.v").alias("validos"))))
 
 
 def location_quotient(spark, d):
@@ -74,7 +73,8 @@ def concentration(spark, d):
 
 
 def concentration_dense(spark, d):
-    return rounded(spatial.concentration(performance.with_zeros(votes(spark, d), electorate(spark, d))))
+    e = electorate(spark, d)
+    return rounded(spatial.concentration(votes(spark, d).join(e, "cd_mun_ibge"), electorate=e))
 
 
 def top_k_share(spark, d):
@@ -130,24 +130,24 @@ def class_breaks(spark, d):
 
 
 def quantile_scale(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
-    return rounded(spatial.quantile_scale(t, 7, "penetracao"))
+    t = performance.sparse_penetration(votes(spark, d), electorate(spark, d))
+    return rounded(spatial.quantile_scale(t, 7, "penetracao", "peso"))
 
 
 def class_of_value(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
-    breaks = spatial.quantile_scale(t, 4, "penetracao")
-    out = spatial.with_class(t.select(F.col("penetracao").alias("valor")), breaks)
-    return out.groupBy("classe").agg(F.count(F.lit(1)).alias("n"))
+    t = performance.sparse_penetration(votes(spark, d), electorate(spark, d))
+    breaks = spatial.quantile_scale(t, 4, "penetracao", "peso")
+    out = spatial.with_class(t.select(F.col("penetracao").alias("valor"), "peso"), breaks)
+    return out.groupBy("classe").agg(F.sum("peso").alias("n"))
 
 
 def symmetric_extent(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
+    t = performance.sparse_penetration(votes(spark, d), electorate(spark, d))
     return spatial.symmetric_extent(t.select((F.col("penetracao") - 10).alias("valor")))
 
 
 def divergent_breaks(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
+    t = performance.sparse_penetration(votes(spark, d), electorate(spark, d))
     top = spatial.symmetric_extent(t.select((F.col("penetracao") - 10).alias("valor")))
     linear = spatial.divergent_breaks(F.col("extensao"), 5)
     logs = spatial.divergent_log_breaks(F.lit(8.0), 5)

@@ -108,13 +108,16 @@ def exact_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     count: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """STA-03. Linearly interpolated quantiles of the non-null values of each group.
 
     One row per group that has a value: `by`, one column per entry of `quantiles`, and the number
-    of values as `count` when asked. With no `by` there is one row, null without values.
+    of values as `count` when asked. With no `by` there is one row, null without values. `weight`
+    counts a row that many times.
     """
-    counts = _counts(df, by, F.col(value).cast("double"), order_bucket, None)
+    weights = None if weight is None else F.col(weight)
+    counts = _counts(df, by, F.col(value).cast("double"), order_bucket, weights)
     totals = _bucket_totals(counts, by)
     wanted = []
     for i, (_, q) in enumerate(quantiles.items()):

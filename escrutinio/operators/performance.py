@@ -181,6 +181,36 @@ def sparse_totals(
     )
 
 
+def sparse_zeros(votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato") -> DataFrame:
+    """JOI-02 as counts: units of each entity, those without a vote, and its votes."""
+    units = electorate.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (
+        votes.groupBy(entity)
+        .agg(F.count_if(F.col("votos") > 0).alias("_com"), F.sum("votos").alias("votos"))
+        .withColumn("unidades", units)
+        .select(entity, "unidades", (F.col("unidades") - F.col("_com")).alias("sem_voto"), "votos")
+    )
+
+
+def sparse_penetration(
+    votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato", unit: str = "cd_mun_ibge"
+) -> DataFrame:
+    """Penetration of every entity in every unit as (`penetracao`, `peso`).
+
+    A row of votes has weight 1; all pairs without one are a single row of zero that weighs as many.
+    A unit without electors has a null rate for everybody and adds no zero.
+    """
+    rows = votes.join(electorate.select(unit, "aptos"), unit).select(
+        penetration().alias("penetracao"), F.lit(1).cast("bigint").alias("peso")
+    )
+    entities = votes.agg(F.count_distinct(entity).alias("n")).scalar()
+    with_votes = rows.agg(F.count("penetracao").alias("n")).scalar()
+    zeros = electorate.agg(F.count_if(F.col("aptos") > 0).alias("_u")).select(
+        F.lit(0.0).alias("penetracao"), (F.col("_u") * entities - with_votes).alias("peso")
+    )
+    return rows.unionByName(zeros.filter(F.col("peso") > 0))
+
+
 def party_votes(parties: DataFrame) -> DataFrame:
     """EXP-06. List total, party vote, electoral quotient, votes in quotients, party quotient."""
     list_own, list_converted = "qt_votos_legenda_validos", "qt_votos_nom_convr_leg_validos"

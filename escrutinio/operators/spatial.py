@@ -524,10 +524,10 @@ def class_breaks(
     return kept.select(F.posexplode("b").alias("ordem", "quebra"))
 
 
-def quantile_scale(values: DataFrame, classes: int, column: str = "valor") -> DataFrame:
+def quantile_scale(values: DataFrame, classes: int, column: str = "valor", weight: str | None = None) -> DataFrame:
     """STA-06. Own-data quantile breaks; repeated breaks and breaks not above the minimum go."""
     names = {f"q{j}": j / classes for j in range(1, classes)}
-    found = exact_quantiles(values, [], column, {**names, "lo": 0.0})
+    found = exact_quantiles(values, [], column, {**names, "lo": 0.0}, weight=weight)
     breaks = found.select("lo", F.explode(F.array(*[F.col(n) for n in names])).alias("quebra"))
     return breaks.filter(F.col("quebra") > F.col("lo")).select("quebra").distinct()
 
