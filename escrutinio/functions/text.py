@@ -9,26 +9,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+HANGUL = range(0xAC00, 0xD7A4)  # composed by rule; such syllables stay as they are
+OPEN, CLOSE = "\u0001", "\u0002"  # around entries of the table of longer replacements
+
+
 @cache
-def _accent_map(form: str) -> tuple[str, str]:
-    """Letters of the Latin blocks and the single letter each becomes without its marks.
+def _decompositions(form: str) -> tuple[str, str, str]:
+    """Characters that become one other without their marks, those others, and a table of the rest.
 
-    Built from the Unicode decomposition rule, because Spark SQL has no normalisation function.
+    Built from the Unicode decomposition rule over the whole character set, because Spark SQL has no
+    normalisation function. An entry of the table is the character, its replacement and the marks.
     """
-    source, target = [], []
-    for code in (*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00)):
+    source, target, longer = [], [], []
+    for code in range(0xA0, 0x110000):
+        if code in HANGUL or 0xD800 <= code < 0xE000:
+            continue
         char = chr(code)
-        bare = "".join(c for c in unicodedata.normalize(form, char) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare != char:
+        if unicodedata.is_normalized(form, char):
+            continue
+        bare = "".join(c for c in unicodedata.normalize(form, char) if unicodedata.category(c)[0] != "M")
+        if bare == char or unicodedata.category(char)[0] == "M":
+            continue  # marks go by their class
+        if len(bare) == 1:
             source.append(char)
             target.append(bare)
-    return "".join(source), "".join(target)
+        else:
+            longer.append(f"{OPEN}{char}{bare}{CLOSE}")
+    return "".join(source), "".join(target), "".join(longer)
 
 
 def strip_accents(text: Column, form: str = "NFD") -> Column:
-    """Latin letters without marks; form NFKD also folds ordinal signs (`2º` becomes `2o`)."""
-    source, target = _accent_map(form)
-    return F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
+    """Letters without marks; form NFKD also folds compatibility characters (`2º` becomes `2o`)."""
+    source, target, longer = _decompositions(form)
+    plain = F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
+    if not longer:
+        return plain
+    table = F.lit(longer)
+
+    def unfolded(char: Column) -> Column:
+        key = F.concat(F.lit(OPEN), char)
+        after = F.call_function("substring_index", table, key, F.lit(-1))
+        entry = F.call_function("substring_index", after, F.lit(CLOSE), F.lit(1))
+        return F.when(F.contains(table, key), entry).otherwise(char)
+
+    # Few texts hold a character outside the blocks of European letters; only they are taken apart.
+    near = "".join(c for c in [entry[0] for entry in longer[1:].split(OPEN)] if c < "\u0250" or "\u1e00" <= c < "\u1f00")
+    rare = plain.rlike(rf"[^\x00-\u024F\u1E00-\u1EFF]|[{near}]")
+    return F.when(rare, F.array_join(F.transform(F.split(plain, ""), unfolded), "")).otherwise(plain)
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -502,12 +502,19 @@ def ledger(
 # --- prices ---------------------------------------------------------------------------------------
 
 
+MONTHS_MAX = 10_000  # months of a price series; far beyond any real one
+
+
 def price_index(series: DataFrame) -> DataFrame:
     """TMP-01. Index chained from 100 by the monthly change in percent.
 
-    The series has one row per month, a few hundred at most; it is folded as one ordered array.
+    The series has one row per month and is folded as one ordered array. More than `MONTHS_MAX` rows
+    are no such series and raise; the array never holds more than one beyond that.
     """
-    folded = series.agg(F.array_sort(F.collect_list(F.struct("mes", "variacao"))).alias("s"))
+    short = series.orderBy("mes").limit(MONTHS_MAX + 1)
+    folded = short.agg(F.array_sort(F.collect_list(F.struct("mes", "variacao"))).alias("s"))
+    long = fail("price_index: more months than a series has", F.lit(MONTHS_MAX))
+    folded = folded.select(F.when(F.size("s") > MONTHS_MAX, long).otherwise(F.col("s")).alias("s"))
     start = F.struct(F.lit(100.0).alias("i"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, row: Column) -> Column:

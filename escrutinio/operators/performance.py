@@ -54,6 +54,9 @@ def votes_by_destination(
     )
 
 
+SLICES = 64  # copies of the units in the explicit-zeros table
+
+
 def _one_row_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], context: str):
     """Rows keyed by `keys`; a repeated key raises. Leaves the data partitioned by the keys."""
     repeated = fail(f"{context}: repeated key", *[F.col(k) for k in keys])
@@ -66,15 +69,16 @@ def _one_row_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], co
     )
 
 
-def _units_for_every_entity(entities: DataFrame, units: DataFrame, entity: str) -> DataFrame:
+def _units_for_every_entity(
+    entities: DataFrame, units: DataFrame, entity: str, slices: int = SLICES
+) -> DataFrame:
     """Each entity beside each unit, as an equi-join on a slice number.
 
-    The explicit-zeros table is entities times units by definition. Entities are cut into slices by
-    hash, as many as the shuffle has partitions, and each slice gets its copy of the units. No
-    entity row is repeated and no slice is larger than the others. AQE turns the join into a
-    broadcast when the copies measure small.
+    The explicit-zeros table is entities times units by definition, and only tables whose rows are
+    the result are built this way. Entities are cut into `slices` by hash, and each slice gets its
+    copy of the units. No entity row is repeated and no slice is larger than the others. AQE turns
+    the join into a broadcast when the copies measure small.
     """
-    slices = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.pmod(F.xxhash64(F.col(entity)), F.lit(slices)).cast("int")
     copies = units.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return entities.withColumn("_slice", place).join(copies, "_slice").drop("_slice")

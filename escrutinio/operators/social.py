@@ -335,17 +335,17 @@ def candidate_social(
 def follower_series(profiles: DataFrame) -> DataFrame:
     """WIN-08. Followers per good reading, with the change since the one before it.
 
-    Readings are ordered inside minutes of an account and carried across minutes, so an account
-    with most of the readings is still cut into many small sorted pieces.
+    Readings are ordered inside days of an account and carried across days: an account with most of
+    the readings is cut into as many sorted pieces as it has days, and only its days are in one window.
     """
     rows = _unique_readings(_readings(profiles, "follower_series"), "follower_series").filter(
         F.col("followers_count").isNotNull()
     )
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    minute = F.timestamp_diff("MINUTE", epoch, F.col("coletado_em"))
+    day = F.timestamp_diff("DAY", epoch, F.col("coletado_em"))
     followers, before = F.col("followers_count"), F.col("followers_count_anterior")
     return previous_row(
-        rows, ["username"], "coletado_em", minute, ["followers_count", "coletado_em"]
+        rows, ["username"], "coletado_em", day, ["followers_count", "coletado_em"]
     ).select(
         "sq_candidato",
         "username",

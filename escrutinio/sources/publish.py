@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,10 @@ def publish_year(
     staged = spark.read.schema(contract.schema).parquet(staging)
     validate(staged, contract)
     for control in controls:
-        bad = [r.controle for r in control(staged).filter(~F.col("igual")).select("controle").collect()]
-        if bad:
-            raise ControlMismatch(f"{contract.name} {year}: control totals differ: {sorted(bad)}")
+        # One row comes back, however many controls differ.
+        bad = control(staged).filter(~F.col("igual")).agg(F.count(F.lit(1)).alias("n"), F.min("controle").alias("first")).first()
+        if bad["n"]:
+            raise ControlMismatch(f"{contract.name} {year}: {bad["n"]} control totals differ, as {bad["first"]}")
     (
         staged.withColumn("ano", F.lit(year))
         .sortWithinPartitions(*(contract.key or contract.columns[:1]))
@@ -87,8 +89,9 @@ def merge_last(
 
 def read_or_empty(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     """The stored table, or an empty one of the contract before the first write."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path):
+    try:
         return spark.read.schema(contract.schema).parquet(path)
-    return spark.createDataFrame([], contract.schema)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], contract.schema)

@@ -174,3 +174,15 @@ def test_required_columns(frame):
     with pytest.raises(ValueError, match="missing columns"):
         checks.require_columns(frame([(1,)], "a int"), ["a", "b"], "t")
     assert rows(frame([(1,)], "a int")) == [{"a": 1}]
+
+
+def test_normalisation_covers_the_character_set(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in (*range(0xA0, 0x3000), *range(0xF900, 0x10000), *range(0x1D400, 0x1D500)) if chr(c).isprintable() and unicodedata.category(chr(c))[0] != "M"]
+    texts = ["".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    for form in ("NFD", "NFKD"):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        for r in df.select("t", text.strip_accents(F.col("t"), form).alias("s")).collect():
+            want = "".join(c for c in unicodedata.normalize(form, r.t) if unicodedata.category(c)[0] != "M")
+            assert r.s == want
