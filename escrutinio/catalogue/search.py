@@ -123,6 +123,14 @@ def people_in_both(spark, d):
     return out.select("sq_candidato_de", "sq_candidato_para", "votos_de", "votos_para", "mesmo_cargo", "comparavel", "total")
 
 
+def common_sides(spark, d):
+    """Both sides of a comparison cut to the persons on both."""
+    r = _registrations(spark, d)
+    sides = comparison.restrict_to_common(r.filter(F.col("ano") == YEAR_BEFORE), r.filter(F.col("ano") == YEAR_AFTER))
+    tagged = [s.select(F.lit(name).alias("lado"), "sq_candidato", "pessoa_id") for s, name in zip(sides, ("de", "para"))]
+    return tagged[0].unionByName(tagged[1])
+
+
 def selected_people(spark, d):
     r = _registrations(spark, d)
     old, new = r.filter(F.col("ano") == YEAR_BEFORE), r.filter(F.col("ano") == YEAR_AFTER)
@@ -278,7 +286,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_ranked, search_scoped, search_group, side_order, ran_on_ballot, search_number, suggestion_order, people_pairs,
-        people_pairs_term, people_in_both, selected_people, person_list, person_keys, check_digits,
+        people_pairs_term, people_in_both, common_sides, selected_people, person_list, person_keys, check_digits,
         normalized_text, normalized_labels, profile_handles, declared_handles, handle_counts,
         handle_divergence, handle_report, work_list, embedded_links, embedded_candidate_objects,
     )
@@ -390,6 +398,12 @@ ORACLE = {
         x AS (SELECT * FROM j WHERE pessoa_id IN (SELECT pessoa_id FROM pes WHERE sq_candidato % 97 = 1))
         SELECT a AS sq_candidato_de, b AS sq_candidato_para, votos_de, votos_para, mesmo_cargo, comparavel, (SELECT count(*) FROM j) AS total FROM (SELECT * FROM g UNION SELECT * FROM x)""",
     ),
+    "common_sides": with_sql(
+        REGISTRATIONS,
+        f""", o AS (SELECT * FROM pes WHERE ano = {YEAR_BEFORE} AND pessoa_id IS NOT NULL), n AS (SELECT * FROM pes WHERE ano = {YEAR_AFTER} AND pessoa_id IS NOT NULL)
+        SELECT 'de' AS lado, sq_candidato, pessoa_id FROM o WHERE pessoa_id IN (SELECT pessoa_id FROM n)
+        UNION ALL SELECT 'para', sq_candidato, pessoa_id FROM n WHERE pessoa_id IN (SELECT pessoa_id FROM o)""",
+    ),
     "selected_people": with_sql(
         REGISTRATIONS,
         f""", o AS (SELECT * FROM pes WHERE ano = {YEAR_BEFORE} AND ds_cargo = 'SENADOR'), n AS (SELECT * FROM pes WHERE ano = {YEAR_AFTER} AND ds_cargo = 'SENADOR'),
