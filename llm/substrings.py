@@ -23,6 +23,8 @@ LENGTH = 200
 GRAM = 32
 # Contexts of a bucket that one task puts in order. Suffixes of larger buckets are ordered by a shuffle.
 BUCKET = 2000
+# Parts a large bucket is cut into by distance to the anchor.
+PARTS = 4
 
 _RNG = np.random.default_rng(4)
 _VALUE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,16 +183,82 @@ def _ordered(length: int):
     return make
 
 
-def _suffix_rows(length: int):
+def _distances(part: int, length: int, gram: int) -> tuple[int, int]:
+    """Distances to the anchor, first and last, of one of PARTS parts of a bucket's suffixes."""
+    width = length - gram + 1
+    return part * width // PARTS, (part + 1) * width // PARTS - 1
+
+
+def _parts(length: int, gram: int):
+    """For each context and part: hashes of the bytes all its suffixes share, and of those any has."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        raws = values(batch, "raw")
+        hashes = Hashes(np.frombuffer(b"".join(raws), np.uint8))
+        sizes = np.array([len(r) for r in raws], np.int64)
+        first = np.cumsum(sizes) - sizes
+        get = {c: np.array(values(batch, c), np.int64) for c in ("row", "start", "left", "c")}
+        out: dict = {k: [] for k in ("core", "hull", "part", "row", "start", "left", "c", "begin", "end")}
+        for part in range(PARTS):
+            near, far = _distances(part, length, gram)
+            low, high = np.maximum(near, get["left"] + length - sizes), np.minimum(far, get["left"])
+            ok = np.flatnonzero(low <= high)
+            anchor = (first + get["left"])[ok]
+            with np.errstate(over="ignore"):
+                core = mixed(hashes.of(anchor - near, anchor + length - far) + np.uint64(part + 1))
+                seen = (high[ok] * 1024 + low[ok]).astype(np.uint64)
+                hull = mixed(hashes.of(anchor - high[ok], anchor - low[ok] + length) + seen * np.uint64(_BASE))
+            at = get["start"][ok] + get["left"][ok]
+            for k, v in (("core", core.view(np.int64)), ("hull", hull.view(np.int64)), ("part", np.full(len(ok), part)), ("begin", at - high[ok]), ("end", at - low[ok] + length)):
+                out[k].append(v)
+            for k in ("row", "start", "left", "c"):
+                out[k].append(get[k][ok])
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    return make
+
+
+def _suffix_rows(length: int, gram: int):
+    """Suffixes of the asked part of each context, with their ranks."""
+
     def make(batch: pa.RecordBatch) -> dict:
         which, distance, rank = suffix_ranks(values(batch, "raw"), values(batch, "left"), length)
-        get = lambda c: np.array(values(batch, c))[which] if len(which) else []
-        begin = np.array(values(batch, "start"))[which] + np.array(values(batch, "left"))[which] - distance if len(which) else []
-        return {"core": get("core"), "distance": distance.astype(np.int32), "rank": rank.view(np.int64), "row": get("row"), "begin": begin, "c": get("c")}
+        bounds = [_distances(x, length, gram) for x in values(batch, "part")]
+        near, far = np.array([x[0] for x in bounds], np.int64), np.array([x[1] for x in bounds], np.int64)
+        ok = (distance >= near[which]) & (distance <= far[which]) if len(which) else np.zeros(0, bool)
+        which, distance, rank = which[ok], distance[ok], rank[ok]
+        get = lambda c: np.array(values(batch, c), np.int64)[which]
+        return {"core": get("core"), "distance": distance.astype(np.int32), "rank": rank.view(np.int64), "row": get("row"), "begin": get("start") + get("left") - distance, "c": get("c")}
 
     return make
 
 
+def _large_buckets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated ranges of contexts of large buckets, by longer cores and then by shuffled suffixes.
+
+    A bucket's suffixes are cut into parts by distance. All suffixes of a part share more than the
+    anchor: contexts that differ there have no match in it, and parts that occur twice as a whole are
+    settled by counting. What is left goes to the shuffle suffix by suffix, and equal suffixes are
+    counted there, so no task holds a bucket.
+    """
+    parts = over_slices(contexts, _parts(length, gram), "core long, hull long, part int, row long, start int, left int, c long, begin int, end int", rows=2048)
+    parts = staged(parts, "parts")
+    hulls = staged(parts.groupBy("core", "hull").agg(F.sum("c").alias("n"), F.min(F.struct("row", "start", "left", "part")).alias("at")), "part_hulls")
+    cores = hulls.groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("nh"), F.min("n").alias("least"))
+    cores = staged(cores.where("nh > 1 and least = 1").select("_core"), "part_cores")
+    twice = hulls.where("n > 1").select(F.col("core").alias("_core"), F.col("hull").alias("_hull"))
+    whole = parts.where("c = 1").join(twice, (F.col("core") == F.col("_core")) & (F.col("hull") == F.col("_hull"))).select("row", F.col("begin").alias("start"), "end")
+
+    open_hulls = hulls.join(cores, F.col("core") == F.col("_core")).select("core", F.col("n").alias("c"), "at.*")
+    raw = contexts.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("left").alias("_left"), "raw")
+    asked = open_hulls.join(raw, (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start")) & (F.col("left") == F.col("_left")))
+    suffixes = over_slices(asked.select("core", "c", "row", "start", "left", "part", "raw"), _suffix_rows(length, gram), "core long, distance int, rank long, row long, begin int, c long")
+    suffixes = staged(suffixes, "suffixes")
+    same = suffixes.groupBy(F.col("core").alias("_c"), F.col("distance").alias("_d"), F.col("rank").alias("_r")).agg(F.count("*").alias("n")).where("n > 1")
+    big = suffixes.where("c = 1").join(staged(same, "same"), (F.col("core") == F.col("_c")) & (F.col("distance") == F.col("_d")) & (F.col("rank") == F.col("_r")))
+    return whole.unionByName(big.select("row", F.col("begin").alias("start"), (F.col("begin") + length).alias("end")))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(row, start, end): byte ranges covered by strings of `length` bytes that start elsewhere too.
 
@@ -217,12 +285,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     contexts = staged(contexts, "contexts")
     ordered = over_groups(contexts.where(F.col("nh") <= bucket).drop("nh"), ("core",), _ordered(length), "row long, start int, end int")
 
-    suffixes = over_slices(contexts.where(F.col("nh") > bucket).drop("nh"), _suffix_rows(length), "core long, distance int, rank long, row long, begin int, c long", rows=256)
-    suffixes = staged(suffixes, "suffixes")
-    same = suffixes.groupBy(F.col("core").alias("_c"), F.col("distance").alias("_d"), F.col("rank").alias("_r")).agg(F.count("*").alias("n")).where("n > 1")
-    big = suffixes.where("c = 1").join(staged(same, "same"), (F.col("core") == F.col("_c")) & (F.col("distance") == F.col("_d")) & (F.col("rank") == F.col("_r")))
-    big = big.select("row", F.col("begin").alias("start"), (F.col("begin") + length).alias("end"))
-    return whole.unionByName(ordered).unionByName(big)
+    large = _large_buckets(contexts.where(F.col("nh") > bucket).drop("nh"), length, gram)
+    return whole.unionByName(ordered).unionByName(large)
 
 
 def _removed(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
