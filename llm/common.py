@@ -36,7 +36,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def emptied(df: DataFrame) -> None:
+    """Free the files of a staged table that nothing reads any more: an empty table takes its place."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.staged_path)
 
 
 def fold(doc_id: Column | str) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import append_columns, over_slices, staged, table, utf8, values
+from llm.common import append_columns, emptied, over_slices, staged, table, utf8, values
 from llm.near_copies import over_groups
 
 LENGTH = 200
@@ -275,6 +275,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     kinds = staged(kinds.where("c > 1 or open"), "kinds")
     found = a.join(kinds, (F.col("core") == F.col("_core")) & (F.col("hull") == F.col("_hull"))).drop("_core", "_hull")
     found = staged(found, "found")
+    for done in (a, hulls, shared, kinds):
+        emptied(done)
     whole = found.where("c > 1").select("row", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("start"), (F.col("pos") + length).alias("end"))
 
     one = found.where("open").groupBy("core", "hull").agg(F.min(F.struct("row", "pos")).alias("at"), F.first("c").alias("c"), F.first("nh").alias("nh"))
