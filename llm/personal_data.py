@@ -31,7 +31,7 @@ MORE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     "account": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"),
     "identity": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,128}+(?![0-9A-Za-z_/+=-])"),
+    "secret": re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+(?![0-9A-Za-z_/+=-])"),
 }
 GAZETTEER = {
     "email": ("mail", "contact", "write"),

@@ -93,3 +93,18 @@ def test_redaction(spark):
     rows = {r.doc_id: r for r in redact(docs, count="n_chars").collect()}
     assert rows[1].text == "mail [EMAIL] or [IP], now" and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[2].n_chars is None
+
+
+def test_long_credentials(spark):
+    """A session token of 300 characters and a key of 2,000 are found and redacted whole; long runs stay linear."""
+    r = __import__("random").Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n: "a1B" + "".join(r.choice(letters) for _ in range(n - 3))
+    texts = [f'token = "{token(n)}" x' for n in (40, 129, 150, 300, 2000) for _ in range(8)]
+    secret = KINDS.index("secret")
+    for t in texts:
+        assert [(s["kind"], s["start"], s["end"]) for s in candidates(t)] == [(secret, 9, len(t) - 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.text for x in redact(df).collect()} == {'token = "[SECRET]" x'}
+    for t in ("a1" * 100_000, "a1" * 100_000 + "="):
+        assert len(candidates(t)) <= 1
