@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import staged, table
 from llm.contamination import clean_documents
-from llm.near_copies import keep_one
+from llm.near_copies import keep_one_row
 from llm.packing import pack_texts
 from llm.personal_data import redact
 from llm.quality import keep_good
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group alike in shingles of five words at a similarity of 0.8 or more."""
-    return keep_one(docs, words=5, threshold=80, node=NODE)
+    return keep_one_row(docs, words=5, threshold=80, node=NODE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import over_slices, staged, table, utf8, values
+from llm.common import free_name, over_slices, staged, table, utf8, values
 from llm.components import components
 
 SIGNATURE = 128
@@ -340,6 +340,22 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
 
 
+def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each component of rows: that of the smallest id, null ids last; columns as they are.
+
+    Rows are numbered, so repeated rows and rows with a null id are compared like all others. Rows
+    without shingles stay.
+    """
+    row = free_name(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_components(numbered, row, text, **options).select(F.col("doc_id").alias("_number"), F.col("component_id").alias("_group"))
+    ids = numbered.select(F.col(row).alias("_r"), F.col(f"`{key}`").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_r"))
+    chosen = found.join(ids, F.col("_number") == F.col("_r")).groupBy("_group").agg(F.min_by("_r", order).alias("_chosen"))
+    kept = staged(chosen.select("_chosen"), "chosen")
+    return numbered.join(kept, F.col(f"`{row}`") == F.col("_chosen"), "left_semi").drop(row)
+
+
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(table(spark, folder, "documents"), words=3, threshold=85)
 

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from tests.llm.conftest import prose
 from tests.llm.test_contamination import brute
 
 
@@ -30,3 +31,14 @@ def test_run_and_empty_table(spark, folder, nothing):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_near_copies_keep_one_of_repeated_rows_and_null_ids(spark, folder):
+    a, b, c, d = (prose(80, seed) for seed in (41, 42, 43, 44))
+    rows = [(5, a), (5, a), (9, a), (None, a), (None, b), (None, b), (None, b + " end"), (7, c), (3, c + " end"), (3, c + " end"), (8, d), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, folder)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 6 and {(5, a), (3, c + " end"), (8, d), (8, None), (None, None)} <= set(got)
+    assert len({(None, b), (None, b + " end")} & set(got)) == 1
