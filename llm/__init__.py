@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = (
-    "personal_data", "quality", "sharding", "html_text", "contamination", "packing", "language", "near_copies", "vectors", "substrings", "byte_pairs", "runs",
+    "personal_data", "quality", "sharding", "html_text", "contamination", "packing", "language", "near_copies", "vectors", "substrings", "byte_pairs", "phrases", "runs",
 )
 
 
