@@ -1,10 +1,11 @@
-"""Byte-level BPE encoding and decoding with a contiguous rank array per word.
-
-A text is cut at added tokens, then at white space, where the splitting pattern of byte-level
-vocabularies always cuts, so pieces between are encoded one by one and remembered. In a word the part
-boundaries, their ids and the ranks of adjacent pairs lie in three short arrays: the least rank is
-found by a scan, its boundary is deleted, and the two neighbouring ranks are refreshed. A scan per
-merge is quadratic, so words of more than `SHORT` bytes are merged by a heap over the same ranks.
+"""Byte-level BPE encoding and decoding with contiguous rank arrays.
+
+A text is cut at added tokens and then into words, and each word is encoded once while it is
+remembered. The part boundaries of a short word, their ids and the ranks of adjacent pairs lie in
+contiguous arrays: the least rank is found by a scan, its boundary is deleted, and the two neighbouring
+ranks are refreshed. New words of a group of texts are merged together, words of one length as the rows of
+one matrix, so that a step of the scan is one numpy operation over all of them. A scan per merge is
+quadratic, so words of more than `SHORT` bytes are merged by a heap over the same ranks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,23 @@ from llm.common import append_columns, over_slices, table, values
 
 # Bytes a word may have to be merged by scans.
 SHORT = 256
-# Pieces whose ids a task remembers; beyond it the memory starts anew.
-MEMORY_PIECES = 300_000
+# Words whose ids a task remembers; beyond it the memory starts anew.
+MEMORY_WORDS = 400_000
+# Characters of text that are cut into words at a time; one longer text is cut alone.
+HELD_CHARS = 1_000_000
 NO_PAIR = 1 << 60
 
 # White space as the splitting pattern means it (Unicode White_Space).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# Below U+0250 letters and numbers are few enough to state: there the splitting pattern is this one.
+LATIN_END = "\u0250"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\t-\r \x85\xa0{LETTERS}{NUMBERS}]+"
+    "|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
 
 
 def vocabulary_path() -> str:
@@ -73,7 +85,7 @@ class BytePairs:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.letter = {c: vocab[c] for c in byte_of if c in vocab}
+        self.letter = [vocab[c] for c in byte_letters()]
         self.size = 1 + max([*vocab.values(), *self.added.values()])
         self.rank: dict[int, int] = {}
         self.merged: list[int] = []
@@ -85,7 +97,16 @@ class BytePairs:
         for token, i in [*vocab.items(), *self.added.items()]:
             own = [byte_of.get(c) for c in token]
             self.bytes[i] = token.encode() if None in own else bytes(own)
+        self.table: pa.Array | None = None
         self.known: dict[str, bytes] = {}
+        # The same ranks for arrays: all pairs in ascending order, and the first pairs by their two bytes.
+        keys = np.fromiter(self.rank.keys(), np.int64, len(self.rank))
+        ranks = np.fromiter(self.rank.values(), np.int64, len(self.rank))
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = np.append(keys[order], NO_PAIR), np.append(ranks[order], NO_PAIR)
+        self.new_ids = np.append(np.array(self.merged, np.int64), -1)
+        self.letters = np.array(self.letter, np.int64)
+        self.first_ranks = self._ranks(self.letters[:, None], self.letters[None, :])
 
     def scan(self, ids: list[int]) -> list[int]:
         """Ids of a short word: the array of ranks is scanned once per merge."""
@@ -126,37 +147,105 @@ class BytePairs:
                 heapq.heappush(queue, (k, before[i]))
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        out: list[int] = []
-        for word, _ in self.split.pre_tokenize_str(piece):
-            ids = list(map(self.letter.__getitem__, word))
-            out += self.scan(ids) if len(ids) <= self.short else self.heap(ids)
-        return np.array(out, "<u4").tobytes()
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; `NO_PAIR` where the two do not merge."""
+        key = a * self.size + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.key_ranks[at], NO_PAIR)
+
+    def scan_all(self, words: np.ndarray) -> list[bytes]:
+        """Ids of words of one length, a row of bytes each; all rows make a merge at every step."""
+        ids = self.letters[words]
+        ranks = self.first_ranks[words[:, :-1], words[:, 1:]]
+        out: list[bytes] = [b""] * len(words)
+        row = np.arange(len(words))
+        while len(row):
+            width = ids.shape[1]
+            at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(row), np.int64)
+            least = ranks[np.arange(len(row)), at] if width > 1 else np.full(len(row), NO_PAIR)
+            ended = least == NO_PAIR
+            if ended.any():
+                own = ids[ended].astype("<u4")
+                for i, r in enumerate(row[ended].tolist()):
+                    out[r] = own[i].tobytes()
+                go = ~ended
+                ids, ranks, row, at, least = ids[go], ranks[go], row[go], at[go], least[go]
+                if not len(row):
+                    break
+            every = np.arange(len(row))
+            ids[every, at] = self.new_ids[least]
+            # One boundary fewer: what lies behind the merged pair moves one place to the front.
+            place = np.arange(width - 1)[None, :]
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+            place = place[:, : width - 2]
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), axis=1)
+            right = np.flatnonzero(at < width - 2)
+            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+        return out
 
-    def _plain(self, text: str) -> list[bytes]:
-        known, out = self.known, []
+    def _learn(self, words: set[str]) -> None:
+        of_length: dict[int, tuple[list[str], list[bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            own = of_length.setdefault(len(raw), ([], []))
+            own[0].append(w)
+            own[1].append(raw)
+        for length, (names, raws) in of_length.items():
+            if length <= self.short:
+                rows = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, length)
+                self.known.update(zip(names, self.scan_all(rows), strict=True))
+            else:
+                for w, raw in zip(names, raws, strict=True):
+                    self.known[w] = np.array(self.heap([self.letter[b] for b in raw]), "<u4").tobytes()
+
+    def words(self, text: str) -> list[str]:
+        """The text cut as the splitting pattern cuts it; no character is lost."""
+        if text.isascii() or max(text) < LATIN_END:
+            return LATIN.findall(text)
+        out: list[str] = []
         for piece in PIECE.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= MEMORY_PIECES:
-                    known.clear()
-                ids = self._piece(piece)
-                if len(piece) <= self.short:
-                    known[piece] = ids
-            out.append(ids)
+            if piece.isascii() or max(piece) < LATIN_END:
+                out += LATIN.findall(piece)
+            else:
+                out += [piece[a:b] for _, (a, b) in self.split.pre_tokenize_str(piece)]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; a null or empty text has none."""
-        if not text:
-            return b""
+    def _parts(self, text: str) -> list[str]:
+        """Words, and added tokens as they are; those are known from the start."""
         out, start = [], 0
         for m in self.cut.finditer(text) if self.cut else ():
-            out += self._plain(text[start : m.start()])
-            out.append(self.added[m.group()].to_bytes(4, "little"))
+            out += self.words(text[start : m.start()])
+            out.append(m.group())
             start = m.end()
-        out += self._plain(text[start:])
-        return b"".join(out)
+        return out + self.words(text[start:])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers; a null or empty text has none."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            held.append(self._parts(text) if text else [])
+            chars += len(text or "")
+            if chars < HELD_CHARS and i + 1 < len(texts):
+                continue
+            known = self.known
+            if len(known) > MEMORY_WORDS:
+                known.clear()
+            known.update((t, x.to_bytes(4, "little")) for t, x in self.added.items())
+            new = set().union(*held) - known.keys()
+            self._learn(new)
+            out += [b"".join(map(known.__getitem__, parts)) for parts in held]
+            for w in new:
+                if len(w) > self.short:
+                    del known[w]
+            held, chars = [], 0
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; ids outside the vocabulary are skipped, bytes that are no UTF-8 become U+FFFD."""
@@ -165,6 +254,19 @@ class BytePairs:
         except KeyError:
             return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
 
+    def decode_all(self, flat: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """`decode` of every list `flat[starts[i]:starts[i + 1]]`: the bytes of all tokens are gathered at once."""
+        if self.table is None:
+            self.table = pa.array([self.bytes.get(i, b"") for i in range(self.size + 1)], pa.large_binary())
+        known = np.where((flat >= 0) & (flat < self.size), flat, self.size)
+        taken = self.table.take(pa.array(known))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+        text = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(ends[starts]), taken.buffers()[2]])
+        try:
+            return text.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string())
+
 
 def _pairs_of(path: str):
     """One `BytePairs` per Python worker, made on first use."""
@@ -190,7 +292,7 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, i
     get = _pairs_of(path or vocabulary_path())
 
     def make(batch: pa.RecordBatch) -> dict:
-        raw = list(map(get().encode, values(batch, text)))
+        raw = get().encode_all(values(batch, text))
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
         flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
         return {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
@@ -206,15 +308,30 @@ def decode_ids(rows: DataFrame, ids: str = "ids", path: str | None = None, text:
     if text.lower() in {c.lower() for c in rows.columns}:
         raise ValueError(f"the table has a column {text} already; name another by text=")
     get = _pairs_of(path or vocabulary_path())
-    return append_columns(rows, lambda b: {text: [get().decode([i for i in x if i is not None] if x else []) for x in values(b, ids)]}, f"`{text}` string", rows=64)
+    def make(batch: pa.RecordBatch) -> dict:
+        starts, flat = _flat(batch, ids)
+        return {text: get().decode_all(flat, starts)}
+
+    return append_columns(rows, make, f"`{text}` string", rows=64)
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(where each list starts, all values in one array) of a column of lists; null lists are empty, null values left out."""
+    column = batch.column(batch.schema.get_field_index(name))
+    lengths = pc.coalesce(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if flat.null_count:
+        return _flat(pa.RecordBatch.from_arrays([pa.array([x and [i for i in x if i is not None] for x in column.to_pylist()], column.type)], [name]), name)
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), flat.to_numpy(zero_copy_only=False)
 
 
 def id_bytes(rows: DataFrame, key: str, ids: str, text: str) -> DataFrame:
     """(key, n_tokens, raw, text): ids as little-endian unsigned 32-bit integers, to be digested."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        own = values(batch, ids)
-        return {key: batch.column(0), "n_tokens": list(map(len, own)), "raw": [np.array(x, "<u4").tobytes() for x in own], text: batch.column(2)}
+        starts, flat = _flat(batch, ids)
+        raw = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * 4), pa.py_buffer(flat.astype("<u4"))])
+        return {key: batch.column(0), "n_tokens": np.diff(starts), "raw": raw.cast(pa.binary()), text: batch.column(2)}
 
     kind = rows.schema[key].dataType.simpleString()
     return over_slices(rows.select(key, ids, text), make, f"{key} {kind}, n_tokens long, raw binary, {text} string", rows=64)

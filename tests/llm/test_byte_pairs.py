@@ -57,10 +57,29 @@ def test_decoding_of_any_ids(pairs, library, ids):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcdehilnorst", min_size=1, max_size=80))
-def test_scan_and_heap_merge_alike(pairs, word):
-    ids = [pairs.letter[c] for c in word]
-    assert pairs.scan(list(ids)) == pairs.heap(list(ids))
+@given(st.lists(st.text(alphabet="abcdehilnorst ", min_size=9, max_size=9), min_size=1, max_size=20))
+def test_scans_and_heap_merge_alike(pairs, words):
+    rows = np.frombuffer("".join(words).encode(), np.uint8).reshape(-1, 9)
+    alone = [pairs.heap([pairs.letter[b] for b in w.encode()]) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in pairs.scan_all(rows)] == alone
+    assert [pairs.scan([pairs.letter[b] for b in w.encode()]) for w in words] == alone
+
+
+def test_groups_and_forgetting(pairs, library, monkeypatch):
+    import llm.byte_pairs as module
+
+    texts = [prose(300, i) + " é<|endoftext|>日本" for i in range(12)] + [None, ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for chars, memory in ((1, 0), (3000, 50), (10**9, 10**9)):
+        monkeypatch.setattr(module, "HELD_CHARS", chars)
+        monkeypatch.setattr(module, "MEMORY_WORDS", memory)
+        assert [np.frombuffer(x, "<u4").tolist() for x in pairs.encode_all(texts)] == want
+
+
+@pytest.mark.parametrize("ahead", ["", "a", "7", " ", "!"])
+def test_every_character_below_the_end_of_latin(pairs, library, ahead):
+    for c in map(chr, range(0x260)):
+        same(pairs, library, f"{ahead}{c}x {c}{c} {c}")
 
 
 def test_query_as_the_library(spark, folder, library):
