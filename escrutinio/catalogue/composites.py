@@ -253,13 +253,13 @@ def profile_reasons(spark, d):
 
 
 def reference_medians(spark, d):
-    return rounded(rf.reference_medians(_profiles(spark, d).filter("sq_candidato % 3 = 0"), INDICATORS))
+    return rounded(rf.reference_medians(_profiles(spark, d), INDICATORS))
 
 
 def relative_profile(spark, d):
     p = _profiles(spark, d)
     return rounded(
-        rf.relative_profile(p.filter("sq_candidato % 4 = 1"), p.filter("sq_candidato % 3 = 0"), INDICATORS)
+        rf.relative_profile(p, p, INDICATORS)
     )
 
 
@@ -530,14 +530,14 @@ ORACLE = {
     "reference_medians": with_sql(
         PROFILE_SQL,
         """SELECT cd_cargo, sg_uf, indicador, round(CASE WHEN count(valor) >= 3 THEN median(valor) END, 6) + 0.0 AS mediana, count(valor) AS n
-        FROM longo WHERE sq_candidato % 3 = 0 GROUP BY ALL""",
+        FROM longo GROUP BY ALL""",
     ),
     "relative_profile": with_sql(
         PROFILE_SQL,
-        f""", md AS (SELECT cd_cargo, sg_uf, indicador, CASE WHEN count(valor) >= 3 THEN median(valor) END AS med, count(valor) AS n FROM longo WHERE sq_candidato % 3 = 0 GROUP BY ALL)
+        f""", md AS (SELECT cd_cargo, sg_uf, indicador, CASE WHEN count(valor) >= 3 THEN median(valor) END AS med, count(valor) AS n FROM longo GROUP BY ALL)
         SELECT l.cd_cargo, l.sg_uf, l.sq_candidato, indicador, {KIND} AS tipo, round(valor, 6) + 0.0 AS valor, round(med, 6) + 0.0 AS mediana_referencia,
         coalesce(n, 0) AS n_referencia, round(CASE {KIND} WHEN 'razao' THEN valor / nullif(med, 0) WHEN 'diferenca_pp' THEN valor - med END, 6) + 0.0 AS indice
-        FROM longo l LEFT JOIN md USING (cd_cargo, sg_uf, indicador) WHERE l.sq_candidato % 4 = 1""",
+        FROM longo l LEFT JOIN md USING (cd_cargo, sg_uf, indicador)""",
     ),
     "reference_indices": with_sql(
         PROFILE_SQL,

@@ -53,10 +53,8 @@ def location_quotient(spark, d):
 
 
 def low_count(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
-    return t.groupBy("sq_candidato").agg(
-        F.count_if("n_baixo").alias("n_baixos"), F.count_if(~F.col("n_baixo")).alias("n_confiaveis")
-    )
+    t = performance.sparse_low_count(votes(spark, d), electorate(spark, d))
+    return rounded(t.select("sq_candidato", "cd_mun_ibge", "votos", "taxa_referencia", "esperado", "n_baixo"))
 
 
 def low_count_by_state(spark, d):
@@ -73,8 +71,7 @@ def concentration(spark, d):
 
 
 def concentration_dense(spark, d):
-    e = electorate(spark, d)
-    return rounded(spatial.concentration(votes(spark, d).join(e, "cd_mun_ibge"), electorate=e))
+    return rounded(spatial.concentration(performance.with_zeros(votes(spark, d), electorate(spark, d))))
 
 
 def top_k_share(spark, d):
@@ -125,8 +122,8 @@ def top_elected(spark, d):
 
 
 def class_breaks(spark, d):
-    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
-    return spatial.class_breaks(t, 5, "penetracao")
+    t = performance.sparse_penetration(votes(spark, d), electorate(spark, d), reliable=True)
+    return spatial.class_breaks(t, 5, "penetracao", low=None, weight="peso")
 
 
 def quantile_scale(spark, d):
@@ -321,8 +318,9 @@ ORACLE = {
     ),
     "low_count": with_sql(
         INDICATORS,
-        """SELECT sq_candidato, count(*) FILTER (WHERE n_baixo) AS n_baixos,
-        count(*) FILTER (WHERE NOT n_baixo) AS n_confiaveis FROM ind GROUP BY ALL""",
+        """SELECT sq_candidato, cd_mun_ibge, i.votos, round(i.taxa_referencia, 6) + 0.0 AS taxa_referencia,
+        round(i.esperado, 6) + 0.0 AS esperado, i.n_baixo
+        FROM ind i JOIN votos USING (sq_candidato, cd_mun_ibge)""",
     ),
     "low_count_by_state": with_sql(
         VOTES,

@@ -6,6 +6,9 @@ function of the value alone. Bucket totals are few, so the running count over th
 the inside of a bucket is sorted. Equal values always share a bucket, so ties stay exact, and no
 sampling is involved, so a recomputed stage gives the same answer.
 
+Bucket totals and the rows inside the buckets both read the counts, so the counts are written once
+and what they come from is read once, for any number of quantiles and, stacked, of columns.
+
 Internal columns start with `_ord_`; callers must not use that prefix.
 """
 
@@ -16,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from escrutinio.session import cut_lineage
+
 _SLOTS = 4096  # buckets per power of two
 
 
@@ -37,7 +42,7 @@ def _counts(df: DataFrame, by: Sequence[str], value: Column, bucket, weight: Col
     columns = [*by, value.alias("_ord_v")]
     if weight is not None:
         columns.append(weight.alias("_ord_w"))
-    return (
+    return cut_lineage(
         df.filter(value.isNotNull())
         .select(*columns)
         .groupBy(*by, "_ord_v")
@@ -163,6 +168,30 @@ def exact_quantiles(
     return rows.select(*by, *out)
 
 
+def column_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    columns: Sequence[str],
+    quantiles: Mapping[str, float],
+    name: str = "coluna",
+    count: str | None = None,
+) -> DataFrame:
+    """STA-03 of several columns in one pass: one row per group and column that has a value.
+
+    The columns are stacked into (column, value) before anything is counted, so the table is read
+    and shuffled once whatever their number. With no `by`, a table without values gives no row.
+    """
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        list(by), list(columns), name, "_ord_value"
+    )
+    return exact_quantiles(long, [*by, name], "_ord_value", quantiles, count)
+
+
+def wide_quantile(rows: DataFrame, columns: Sequence[str], value: str, name: str = "coluna") -> DataFrame:
+    """One row with a column per entry of `columns`, from `column_quantiles` without groups; null without values."""
+    return rows.agg(*[F.max(F.when(F.col(name) == c, F.col(value))).alias(c) for c in columns])
+
+
 def previous_row(
     df: DataFrame, by: Sequence[str], order: str, bucket: Column, values: Sequence[str]
 ) -> DataFrame:

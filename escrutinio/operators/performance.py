@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escrutinio.functions.checks import fail, in_vocabulary, require_columns, single_value
@@ -54,34 +54,29 @@ def votes_by_destination(
     )
 
 
-SLICES = 64  # copies of the units in the explicit-zeros table
+MAX_UNITS = 200_000  # units an explicit-zeros table may span; polling places of a country are half of it
 
 
-def _one_row_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], context: str):
-    """Rows keyed by `keys`; a repeated key raises. Leaves the data partitioned by the keys."""
-    repeated = fail(f"{context}: repeated key", *[F.col(k) for k in keys])
-    firsts = [F.first(c).alias(c) for c in columns]
-    return (
-        df.groupBy(*keys)
-        .agg(*firsts, F.count(F.lit(1)).alias("_rows"))
-        .withColumn(columns[0], F.when(F.col("_rows") > 1, repeated).otherwise(F.col(columns[0])))
-        .drop("_rows")
-    )
+def _unit_key(unit: Sequence[str]) -> Column:
+    """One comparable value per unit: the column itself, or the text of several."""
+    return F.col(unit[0]) if len(unit) == 1 else F.to_json(F.struct(*unit))
 
 
-def _units_for_every_entity(
-    entities: DataFrame, units: DataFrame, entity: str, slices: int = SLICES
-) -> DataFrame:
-    """Each entity beside each unit, as an equi-join on a slice number.
+def _unit_list(electorate: DataFrame, unit: Sequence[str]) -> Column:
+    """All units in order of their key, as one array in a scalar subquery.
 
-    The explicit-zeros table is entities times units by definition, and only tables whose rows are
-    the result are built this way. Entities are cut into `slices` by hash, and each slice gets its
-    copy of the units. No entity row is repeated and no slice is larger than the others. AQE turns
-    the join into a broadcast when the copies measure small.
+    The dimension is bounded: beyond `MAX_UNITS` rows the job raises, and it never gathers more. So
+    does a repeated or a null unit.
     """
-    place = F.pmod(F.xxhash64(F.col(entity)), F.lit(slices)).cast("int")
-    copies = units.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return entities.withColumn("_slice", place).join(copies, "_slice").drop("_slice")
+    counted = F.transform(F.col("all"), lambda u: u["k"])
+    limited = electorate.select(_unit_key(unit).alias("k"), *unit, "aptos", "validos").limit(MAX_UNITS + 1)
+    gathered = limited.agg(F.array_sort(F.collect_list(F.struct("k", *unit, "aptos", "validos"))).alias("all"))
+    wrong = (
+        F.when(F.size("all") > MAX_UNITS, fail("dense_table(electorate): too many units", F.size("all")))
+        .when(F.size(F.array_distinct(counted)) < F.size("all"), fail("dense_table(electorate): repeated key"))
+        .when(F.exists(counted, lambda k: k.isNull()), fail("dense_table(electorate): null unit"))
+    )
+    return gathered.select(F.coalesce(wrong, F.col("all")).alias("u")).scalar()
 
 
 def dense_table(
@@ -92,27 +87,41 @@ def dense_table(
 ) -> DataFrame:
     """JOI-02. Every entity in every unit: `votos` (zero where there is no row), `aptos`, `validos`.
 
-    Repeated rows, votes in a unit without electorate and votes above the valid votes raise. The
-    orphan check is the right-only part of the same outer join, so it costs no extra pass.
+    One shuffle by entity. The votes of an entity, at most one row per unit, become an array; the
+    units it lacks are added as zeros; in order of the units both arrays lie side by side, and the
+    pairs are exploded. Units come from a scalar subquery, so nothing is joined and no row is copied.
+    Repeated rows, votes in a unit without electorate and votes above the valid votes raise.
     """
     unit = list(unit)
     keys = [entity, *unit]
     require_columns(votes, [*keys, "votos"], "dense_table(votes)")
     require_columns(electorate, [*unit, "aptos", "validos"], "dense_table(electorate)")
-    counted = _one_row_each(votes, keys, ["votos"], "dense_table(votes)")
-    units = _one_row_each(electorate, unit, ["aptos", "validos"], "dense_table(electorate)")
-    entities = votes.groupBy(entity).agg(F.sum("votos").alias("_votos_entidade"))
-    grid = _units_for_every_entity(entities, units, entity)
-    table = grid.join(counted, keys, "full_outer")
-    orphan = fail("dense_table: votes without electorate", *[F.col(k) for k in keys])
-    excess = fail("dense_table: votes above the valid votes", *[F.col(k) for k in keys])
-    votos = F.coalesce(F.col("votos"), F.lit(0).cast("bigint"))
-    votos = (
-        F.when(F.col("_votos_entidade").isNull(), orphan)
-        .when(votos > F.col("validos"), excess)
-        .otherwise(votos)
+    repeated = fail("dense_table(votes): repeated key", *[F.col(k) for k in keys])
+    # Rows are placed by entity first: the check for repeats and the arrays share the one shuffle.
+    once = (
+        votes.repartition(entity)
+        .groupBy(*keys)
+        .agg(F.first("votos").alias("votos"), F.count(F.lit(1)).alias("_rows"))
+        .select(
+            entity,
+            _unit_key(unit).alias("k"),
+            F.when(F.col("_rows") > 1, repeated).otherwise(F.col("votos").cast("bigint")).alias("v"),
+        )
     )
-    return table.select(*keys, "aptos", "validos", votos.alias("votos"), "_votos_entidade")
+    zero = F.lit(0).cast("bigint")
+    own = once.groupBy(entity).agg(F.collect_list(F.struct("k", "v")).alias("_own"), F.sum("v").alias("_votos_entidade"))
+    own = own.withColumn("_units", _unit_list(electorate, unit))
+    known, listed = F.transform("_units", lambda u: u["k"]), F.transform("_own", lambda o: o["k"])
+    orphan = F.size(F.array_except(listed, known)) > 0
+    lacking = F.transform(F.array_except(known, listed), lambda k: F.struct(k.alias("k"), zero.alias("v")))
+    full = F.array_sort(F.concat("_own", lacking))
+    pairs = F.when(orphan, fail("dense_table: votes without electorate", F.col(entity))).otherwise(
+        F.zip_with("_units", full, lambda u, o: F.struct(*[u[c].alias(c) for c in (*unit, "aptos", "validos")], o["v"].alias("votos")))
+    )
+    excess = fail("dense_table: votes above the valid votes", *[F.col(k) for k in keys])
+    rows = own.select(entity, "_votos_entidade", F.explode(pairs).alias("_p")).select(entity, "_p.*", "_votos_entidade")
+    votos = F.when(F.col("votos") > F.col("validos"), excess).otherwise(F.coalesce("votos", zero))
+    return rows.select(*keys, "aptos", "validos", votos.alias("votos"), "_votos_entidade")
 
 
 def with_zeros(votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato",
@@ -196,23 +205,57 @@ def sparse_zeros(votes: DataFrame, electorate: DataFrame, entity: str = "sq_cand
     )
 
 
+def sparse_low_count(
+    votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato", unit: str = "cd_mun_ibge",
+    threshold: float = LOW_COUNT_THRESHOLD,
+) -> DataFrame:
+    """EXP-07 without the zeros: each row of votes with its expected events and the flag.
+
+    Every entity spans the whole electorate, so its reference rate needs the totals alone.
+    """
+    scope = electorate.agg(F.sum("aptos").alias("a")).scalar()
+    rows = votes.join(electorate.select(unit, "aptos"), unit)
+    rated = with_totals(rows, [entity], _v=F.sum("votos")).withColumn("taxa_referencia", ratio(F.col("_v"), scope))
+    expected = expected_events(F.col("aptos"), F.col("taxa_referencia"))
+    return rated.withColumn("esperado", expected).withColumn("n_baixo", is_low_count(F.col("esperado"), threshold)).drop("_v")
+
+
 def sparse_penetration(
-    votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato", unit: str = "cd_mun_ibge"
-) -> DataFrame:
+    votes: DataFrame, electorate: DataFrame, entity: str = "sq_candidato", unit: str = "cd_mun_ibge",
+    reliable: bool = False,
+) -> DataFrame:
     """Penetration of every entity in every unit as (`penetracao`, `peso`).
 
-    A row of votes has weight 1; all pairs without one are a single row of zero that weighs as many.
-    A unit without electors has a null rate for everybody and adds no zero.
+    A row of votes has weight 1; all pairs without one are rows of zero that weigh as many. A unit
+    without electors has a null rate for everybody and adds no zero. With `reliable` only pairs above
+    the low-count threshold count: an entity's zeros then weigh as many as its reliable units, counted
+    in the array of units, less its reliable rows.
     """
-    rows = votes.join(electorate.select(unit, "aptos"), unit).select(
-        penetration().alias("penetracao"), F.lit(1).cast("bigint").alias("peso")
-    )
-    entities = votes.agg(F.count_distinct(entity).alias("n")).scalar()
-    with_votes = rows.agg(F.count("penetracao").alias("n")).scalar()
-    zeros = electorate.agg(F.count_if(F.col("aptos") > 0).alias("_u")).select(
-        F.lit(0.0).alias("penetracao"), (F.col("_u") * entities - with_votes).alias("peso")
+    if not reliable:
+        rows = votes.join(electorate.select(unit, "aptos"), unit).select(
+            penetration().alias("penetracao"), F.lit(1).cast("bigint").alias("peso")
+        )
+        entities = votes.agg(F.count_distinct(entity).alias("n")).scalar()
+        with_votes = rows.agg(F.count("penetracao").alias("n")).scalar()
+        zeros = electorate.agg(F.count_if(F.col("aptos") > 0).alias("_u")).select(
+            F.lit(0.0).alias("penetracao"), (F.col("_u") * entities - with_votes).alias("peso")
+        )
+        return rows.unionByName(zeros.filter(F.col("peso") > 0))
+    rows = sparse_low_count(votes, electorate, entity, unit).withColumn("penetracao", penetration())
+    some = F.col("penetracao").isNotNull() & ~F.col("n_baixo")
+    own = rows.filter(some).select("penetracao", F.lit(1).cast("bigint").alias("peso"))
+    units = _unit_list(electorate.withColumn("validos", F.lit(0).cast("bigint")), [unit])
+
+    def counts(u: Column) -> Column:
+        return (u["aptos"] > 0) & ~is_low_count(expected_events(u["aptos"], F.col("taxa_referencia")))
+
+    zeros = (
+        rows.groupBy(entity)
+        .agg(F.first("taxa_referencia").alias("taxa_referencia"), F.count_if(some).alias("_own"))
+        .withColumn("_u", units)
+        .select(F.lit(0.0).alias("penetracao"), (F.size(F.filter("_u", counts)) - F.col("_own")).cast("bigint").alias("peso"))
     )
-    return rows.unionByName(zeros.filter(F.col("peso") > 0))
+    return own.unionByName(zeros.filter(F.col("peso") > 0))
 
 
 def party_votes(parties: DataFrame) -> DataFrame:

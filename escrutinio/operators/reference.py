@@ -11,6 +11,7 @@ from escrutinio.functions.checks import checked, require_columns, single_value
 from escrutinio.functions.rates import ratio
 from escrutinio.functions.text import normalize_label
 from escrutinio.operators.ordering import exact_quantiles
+from escrutinio.session import cut_lineage
 
 # The profile in display order and how each indicator is compared.
 PROFILE = {
@@ -116,13 +117,16 @@ def reference_medians(
     by: Sequence[str] = SCOPE,
     minimum: int = MINIMUM_VALUES,
 ) -> DataFrame:
-    """AGG-36. Median of each indicator per scope, null below `minimum` values; n is reported."""
+    """AGG-36. Median of each indicator per scope, null below `minimum` values; n is reported.
+
+    The indicators are stacked and written once; counts and medians of all of them read that.
+    """
     if minimum < 1:
         raise ValueError(f"reference_medians: minimum must be at least 1, got {minimum}")
     _require_profile(indicators, "reference_medians")
     require_columns(reference, [*by, *indicators], "reference_medians")
     keys = [*by, "indicador"]
-    long = _long(reference, by, indicators)
+    long = cut_lineage(_long(reference, by, indicators))
     counts = long.groupBy(*keys).agg(F.count("valor").alias("n"))
     medians = exact_quantiles(long, keys, "valor", {"_m": 0.5})
     return counts.join(medians, keys, "left").select(

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from escrutinio.functions.checks import checked, fail, require_columns
 from escrutinio.functions.rates import expected_events, is_low_count, penetration, ratio
-from escrutinio.operators.ordering import dense_index, exact_quantiles
+from escrutinio.operators.ordering import column_quantiles, dense_index, exact_quantiles, wide_quantile
 from escrutinio.operators.totals import sum_where, with_totals
+from escrutinio.session import cut_lineage
 
 LARGEST_UNITS = 10  # fixed value: units summed in the share of the largest
 PERMUTATION_SEED = 20261004  # fixed value
@@ -93,8 +94,8 @@ def largest_units_share(
 ) -> DataFrame:
     """AGG-12. Share of the votes in the k largest units, and the number of units with votes.
 
-    `row_number() <= k` is a limit per group that Spark applies before the shuffle, so a dominant
-    entity moves at most k rows per task.
+    An entity has one row per unit, so its window is no longer than the list of units; sum, count
+    and the k largest come out of the same sorted pass.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     if k < 1:
@@ -107,19 +108,14 @@ def largest_units_share(
         .withColumn("votos", F.when(F.col("_rows") > 1, repeated).otherwise(F.col("votos")))
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("votos"), F.asc(unit))
-    top = (
+    return (
         once.withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= k)
         .groupBy(*keys)
-        .agg(F.sum("votos").alias("_top"))
-    )
-    return (
-        once.groupBy(*keys)
         .agg(
             F.sum("votos").alias("votos"),
             F.count_if(F.col("votos") > 0).alias("n_municipios_com_voto"),
+            F.sum(F.when(F.col("_rn") <= k, F.col("votos"))).alias("_top"),
         )
-        .join(top, keys, "left")
         .select(
             *keys,
             "votos",
@@ -135,21 +131,30 @@ def typology(
     """WIN-15. Concentrated or dispersed by dominant or shared, against reference medians.
 
     The reference population has at least one tenth of the electoral quotient in votes. A tie with
-    the median goes to the lower class; without a population medians and type are null.
+    the median goes to the lower class; without a population medians and type are null. The
+    candidates, one row each, are written once: both medians and the result read them.
     """
     require_columns(candidates, [entity, "votos", "indice_g", "dominancia_ames"], "typology")
     q = F.lit(quotient) if isinstance(quotient, int) else quotient
     floor_votes = F.lit(0.10) * checked(q, q > 0, "typology: electoral quotient must be positive", q)
     g, d = F.col("indice_g"), F.col("dominancia_ames")
-    flagged = candidates.withColumn("limiar_votos", floor_votes).withColumn(
-        "na_populacao_referencia",
-        (F.col("votos") >= F.col("limiar_votos")) & g.isNotNull() & d.isNotNull(),
+    flagged = cut_lineage(
+        candidates.withColumn("limiar_votos", floor_votes).select(
+            entity,
+            "limiar_votos",
+            "indice_g",
+            "dominancia_ames",
+            ((F.col("votos") >= F.col("limiar_votos")) & g.isNotNull() & d.isNotNull()).alias(
+                "na_populacao_referencia"
+            ),
+        )
     )
-    population = flagged.filter("na_populacao_referencia")
-    med_g = exact_quantiles(population, [], "indice_g", {"m": 0.5}).scalar()
-    med_d = exact_quantiles(population, [], "dominancia_ames", {"m": 0.5}).scalar()
+    both = ["indice_g", "dominancia_ames"]
+    medians = column_quantiles(flagged.filter("na_populacao_referencia"), [], both, {"m": 0.5})
+    row = wide_quantile(medians, both, "m").select(F.struct(*both).alias("t")).scalar()
     return (
-        flagged.withColumns({"mediana_g": med_g, "mediana_dominancia": med_d})
+        flagged.withColumn("_t", row)
+        .withColumns({"mediana_g": F.col("_t.indice_g"), "mediana_dominancia": F.col("_t.dominancia_ames")})
         .withColumn(
             "tipo",
             F.concat(
@@ -469,14 +474,14 @@ def _significant(value: Column, digits: Column) -> Column:
 
 
 def class_breaks(
-    values: DataFrame, k: int = 5, column: str = "valor", low: str | None = "n_baixo"
+    values: DataFrame, k: int = 5, column: str = "valor", low: str | None = "n_baixo", weight: str | None = None
 ) -> DataFrame:
     """STA-05. One row per break, `ordem` and `quebra`, common to all the rows received.
 
     Rows of several years are pooled by the caller (a union). Nulls and, when `low` names a
     column, unreliable rows are left out. Type-7 quantiles rounded to two significant digits, more
     when rounding would merge distinct ones; kept inside (minimum, maximum]. Fewer than `2k`
-    values or no break left is an error.
+    values or no break left is an error. `weight` counts a row that many times.
     """
     if k < 2:
         raise ValueError(f"class_breaks: k must be at least 2, got {k}")
@@ -489,10 +494,12 @@ def class_breaks(
             F.col(low)
         )
     )
-    pool = pool.select(finite.alias("v"))
+    pool = pool.select(finite.alias("v"), *([F.col(weight).alias("w")] if weight else []))
     inner = {f"q{j}": j / k for j in range(1, k)}
     # The ends are quantiles too, so one pass gives breaks, range and count.
-    found = exact_quantiles(pool, [], "v", {**inner, "lo": 0.0, "hi": 1.0}, count="n")
+    found = exact_quantiles(
+        pool, [], "v", {**inner, "lo": 0.0, "hi": 1.0}, count="n", weight="w" if weight else None
+    )
 
     whole = found.agg(F.max(F.struct(*found.columns)).alias("e")).withColumn(
         "n", F.coalesce(F.col("e.n"), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from escrutinio.functions.rates import penetration, ratio, share_of_valid
 from escrutinio.operators.places import NATIONAL_GRID_DEGREES, grid_points, uncovered_votes, votes_at_places
 from escrutinio.operators.spatial import class_breaks, low_count
+from escrutinio.session import cut_lineage
 
 MAP_CLASSES = 5  # fixed value: quintiles
 
@@ -46,20 +48,27 @@ def votes_off_map(votes: DataFrame, unit: str = "cd_mun_ibge") -> DataFrame:
     )
 
 
-def scale_rows(values: DataFrame, indicator: str = "penetracao") -> DataFrame:
-    """Rows for the class breaks: the rate and the low-count flag against the rate of the scope."""
-    whole = values.agg(ratio(F.sum("votos"), F.sum("aptos")).alias("r")).scalar()
-    return low_count(values.withColumn("taxa_referencia", whole)).select(
-        F.col(indicator).alias("valor"), "n_baixo"
-    )
+def scale_rows(maps: Sequence[DataFrame], indicator: str = "penetracao") -> DataFrame:
+    """Rows for the class breaks: the rate and the low-count flag against the rate of its own map.
+
+    The maps are stacked and written once, a row per territory, since rates and rows both read them.
+    """
+    tagged = [
+        m.select(F.lit(i).alias("_mapa"), "votos", "aptos", F.col(indicator).alias("valor")) for i, m in enumerate(maps)
+    ]
+    stacked = cut_lineage(reduce(DataFrame.unionByName, tagged))
+    rates = stacked.groupBy("_mapa").agg(ratio(F.sum("votos"), F.sum("aptos")).alias("r"))
+    # One entry per map: as many as the caller passed.
+    by_map = rates.agg(F.map_from_entries(F.collect_list(F.struct("_mapa", "r"))).alias("m")).scalar()
+    return (
+        low_count(stacked.withColumn("_m", by_map).withColumn("taxa_referencia", F.try_element_at("_m", F.col("_mapa"))))
+        .select("valor", "n_baixo")
+    )
 
 
 def map_breaks(maps: Sequence[DataFrame], indicator: str = "penetracao", classes: int = MAP_CLASSES) -> DataFrame:
     """QRY-05. Class breaks common to the maps received (one year, or both sides of a comparison)."""
-    pooled = scale_rows(maps[0], indicator)
-    for other in maps[1:]:
-        pooled = pooled.unionByName(scale_rows(other, indicator))
-    return class_breaks(pooled, classes)
+    return class_breaks(scale_rows(maps, indicator), classes)
 
 
 def density_points(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from escrutinio.functions.rates import ratio
 from escrutinio.operators.reference import PROFILE, relative_profile
 from escrutinio.operators.spatial import concentration, largest_units_share
+from escrutinio.session import cut_lineage
 
 GEOGRAPHY = ("pct_maiores", "hhi", "n_efetivo_municipios")
 FINANCE = (
@@ -49,7 +50,8 @@ def candidate_profiles(rated: DataFrame, shape: DataFrame, accounts: DataFrame)
     """QRY-16. Thirteen comparable fields per candidate, and a map field -> reason for each gap.
 
     `rated` has the votes and rates of each candidate, `shape` comes from `geography`, `accounts`
-    from `candidate_accounts`.
+    from `candidate_accounts`. The result is written once, a row per candidate: selection, medians and
+    indices all read it.
     """
     money = accounts.select("sq_candidato", *FINANCE, F.lit(True).alias("_contas"))
     rows = (
@@ -69,9 +71,9 @@ def candidate_profiles(rated: DataFrame, shape: DataFrame, accounts: DataFrame)
             gap = F.when(F.col("receita_total").isNull(), NO_REVENUE).otherwise(ZERO_REVENUE)
         reasons.append((c, F.when(F.col("_contas").isNull(), NO_ACCOUNTS).when(F.col(c).isNull(), gap)))
     pairs = F.array(*[F.struct(F.lit(c).alias("k"), r.alias("v")) for c, r in reasons])
-    return rows.withColumn(
-        "motivos", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
-    ).drop("_contas")
+    return cut_lineage(
+        rows.withColumn("motivos", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))).drop("_contas")
+    )
 
 
 def reference_indices(
