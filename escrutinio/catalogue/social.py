@@ -16,7 +16,7 @@ from escrutinio.catalogue.roles import (
 )
 from escrutinio.operators import social as so
 from escrutinio.operators import statistics as st
-from escrutinio.operators.statistics import BOOTSTRAP, BOOTSTRAP_SEED, poisson_steps
+from escrutinio.operators.statistics import BOOTSTRAP, BOOTSTRAP_SEED
 from escrutinio.plans import networks, screens
 from escrutinio.sources.publish import merge_last
 from escrutinio.streaming import snapshots
@@ -120,7 +120,12 @@ def _pairs(spark, d):
 
 
 def correlation(spark, d):
-    return rounded(st.correlation(_pairs(spark, d), "seguidores", "votos", resamples=1).select("cd_cargo", "n", "n_excluidos", "rho"))
+    p = _pairs(spark, d)
+    some = F.col("seguidores").isNotNull() & F.col("votos").isNotNull()
+    sizes = p.groupBy("cd_cargo").agg(F.count_if(some).alias("n"), F.count_if(~some).alias("n_excluidos"))
+    rho = st.spearman(p, "seguidores", "votos", ["cd_cargo"]).drop("n")
+    out = sizes.join(rho, "cd_cargo", "left").withColumn("rho", F.when(F.col("n") >= st.MIN_PAIRS, F.col("rho")))
+    return rounded(out.select("cd_cargo", "n", "n_excluidos", "rho"))
 
 
 def correlation_bootstrap(spark, d):
@@ -320,7 +325,6 @@ DECLARED = """, declaradas AS (SELECT DISTINCT user_id + 20 AS sq_candidato, 'co
 def _bootstrap_sql(pairs: str, by: str, size: str) -> str:
     """Bootstrap of the rank correlation of `pairs` (keys, id, x, y), draw for draw."""
     u = f"('0x' || substr(md5('{BOOTSTRAP_SEED}|' || rep || '|' || id), 1, 8))::BIGINT / 4294967296.0"
-    w = " + ".join(f"(u >= {t!r})::INT" for t in poisson_steps())
     ranks = ", ".join(
         f"sum(w) OVER (PARTITION BY {by}, rep ORDER BY {c}) - (sum(w) OVER (PARTITION BY {by}, rep, {c}) - 1) / 2.0 AS r{c}"
         for c in "xy"
@@ -331,7 +335,13 @@ def _bootstrap_sql(pairs: str, by: str, size: str) -> str:
         posto AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx,
           rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry FROM completos),
         ponto AS (SELECT {by}, corr(rx, ry) AS rho FROM posto GROUP BY ALL),
-        sorteio AS (SELECT {by}, rep, x, y, {w} AS w FROM (SELECT *, {u} AS u FROM completos JOIN tamanho USING ({by}), range(1, {BOOTSTRAP} + 1) r(rep) WHERE n >= 10)),
+        par_unico AS (SELECT {by}, x, y, min(id) AS id, count(*) AS m FROM completos JOIN tamanho USING ({by}) WHERE n >= 10 GROUP BY {by}, x, y),
+        passos AS (SELECT m, baixo, list(c / t ORDER BY k) AS passos FROM (SELECT *, sum(p) OVER (PARTITION BY m ORDER BY k) AS c, sum(p) OVER (PARTITION BY m) AS t
+          FROM (SELECT m, baixo, k, exp(sum(CASE WHEN k > baixo THEN ln(m / k::DOUBLE) ELSE 0 END) OVER (PARTITION BY m ORDER BY k)) AS p
+            FROM (SELECT m, baixo, unnest(range(baixo, floor(m + 8 * sqrt(m))::BIGINT + 13)) AS k
+              FROM (SELECT DISTINCT m, greatest(floor(m - 8 * sqrt(m))::BIGINT - 8, 0) AS baixo FROM par_unico)))) GROUP BY m, baixo),
+        sorteio AS (SELECT {by}, rep, x, y, baixo + len(list_filter(passos, lambda c: c <= u)) AS w
+          FROM (SELECT *, {u} AS u FROM par_unico JOIN passos USING (m), range(1, {BOOTSTRAP} + 1) r(rep))),
         pesos AS (SELECT {by}, rep, w, {ranks} FROM sorteio WHERE w > 0),
         media AS (SELECT {by}, rep, sum(w) AS n, sum(w * rx) / sum(w) AS mx, sum(w * ry) / sum(w) AS my FROM pesos GROUP BY ALL),
         replica AS (SELECT {by}, rep, sum(w * (rx - mx) * (ry - my)) / nullif(sqrt(sum(w * (rx - mx) ** 2) * sum(w * (ry - my) ** 2)), 0) AS rho

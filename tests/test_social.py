@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from escrutinio.operators import social as so
 from escrutinio.operators import statistics as st
@@ -248,3 +249,31 @@ def test_cut_off_and_skip(frame):
     now = F.lit(str(day(9) + timedelta(days=6))).cast("timestamp_ntz")
     skip = snapshots.recently_unavailable(readings(frame), now)
     assert {r["username"] for r in rows(skip)} == {"a", "c"}
+
+
+@pytest.mark.parametrize("mean", [1, 2, 7, 100, 5000])
+def test_draws_are_poisson(frame, mean):
+    low, high = st._draw_window(F.col("m"))
+    steps = frame([(mean,)], "m bigint").select(low.alias("low"), st._draw_steps(F.col("m"), low, high).alias("s")).first()
+    k = np.arange(steps.low, steps.low + len(steps.s))
+    logs = np.cumsum(np.concatenate([[0.0], np.log(np.arange(1, k[-1] + 1))]))[k]
+    expected = np.exp(k * np.log(mean) - mean - logs)
+    assert np.allclose(np.diff([0.0, *steps.s]), expected, atol=1e-12) and steps.s[-1] == pytest.approx(1.0)
+
+
+def test_equal_pairs_are_drawn_together(frame):
+    data = pairs(40, 3)
+    once = rows(st.correlation(frame(data, PAIRS), "seguidores", "votos", resamples=200))[0]
+    many = [(c, 1000 * k + i, x, y) for c, i, x, y in data for k in range(50)]
+    got = rows(st.correlation(frame(many, PAIRS), "seguidores", "votos", resamples=200))[0]
+    assert got["n"] == 50 * once["n"] and got["rho"] == pytest.approx(once["rho"])
+    assert (got["ic_sup"] - got["ic_inf"]) < (once["ic_sup"] - once["ic_inf"]) / 4
+
+
+def test_large_groups_give_the_same(frame):
+    data = [*pairs(40, 3), *[(7, 500 + i, float(i % 4), float(i % 3)) for i in range(30)]]
+    a = rows(st.correlation(frame(data, PAIRS), "seguidores", "votos", resamples=50), "cd_cargo")
+    b = rows(st.correlation(frame(data, PAIRS), "seguidores", "votos", resamples=50, sorted_pairs=20), "cd_cargo")
+    assert [r["cd_cargo"] for r in a] == [r["cd_cargo"] for r in b]
+    for r, s in zip(a, b):
+        assert r == pytest.approx(s)
