@@ -378,6 +378,32 @@ ORACLE = {
         CASE WHEN z > 0 THEN 'alto' ELSE 'baixo' END || '-' || CASE WHEN lag > 0 THEN 'alto' ELSE 'baixo' END AS quadrante FROM l, m""",
     ),
     "moran_global": with_sql(MORAN, "SELECT round(sum(z * lag) / sum(z * z), 6) + 0.0 AS moran_i FROM l"),
+    "moran_global_p": with_sql(
+        MORAN,
+        f""", lugar AS (SELECT id, z, row_number() OVER (ORDER BY md5(id::VARCHAR)) AS i FROM z),
+        sorte AS (SELECT rep, z AS zp, row_number() OVER (PARTITION BY rep ORDER BY md5('{spatial.PERMUTATION_SEED}|' || rep || '|' || id)) AS i
+          FROM lugar, range(1, 1000) r(rep)),
+        posto AS (SELECT rep, id, zp FROM sorte JOIN lugar USING (i)),
+        soma AS (SELECT a.rep, sum(a.zp * (b.zp + c.zp) / 2) AS s FROM posto a JOIN posto b ON b.rep = a.rep AND b.id = (a.id + 5) % 25
+          JOIN posto c ON c.rep = a.rep AND c.id = (a.id + 20) % 25 GROUP BY ALL),
+        o AS (SELECT sum(z * lag) / sum(z * z) AS i, sum(z * z) AS zz, -1.0 / (count(*) - 1) AS centro FROM l)
+        SELECT round(any_value(i), 6) + 0.0 AS moran_i,
+        round((count(*) FILTER (WHERE CASE WHEN i >= centro THEN s / zz >= i ELSE s / zz <= i END) + 1) / 1000.0, 6) + 0.0 AS pseudo_p FROM soma, o""",
+    ),
+    "moran_local_p": with_sql(
+        MORAN,
+        f""", lugar AS (SELECT l.id, l.valor, l.z, l.lag, row_number() OVER (ORDER BY md5(id::VARCHAR)) - 1 AS i FROM l),
+        m AS (SELECT avg(z * z) AS m2, count(*) AS n FROM z),
+        t AS (SELECT *, ('0x' || substr(md5('{spatial.PERMUTATION_SEED}|' || id || '|' || rep || '|' || (n - 3)), 1, 15))::BIGINT % (n - 2) AS t1,
+          ('0x' || substr(md5('{spatial.PERMUTATION_SEED}|' || id || '|' || rep || '|' || (n - 2)), 1, 15))::BIGINT % (n - 1) AS t2
+          FROM lugar, m, range(1, 1000) r(rep)),
+        d AS (SELECT *, t1 + (t1 >= i)::INT AS a, CASE WHEN t2 = t1 THEN n - 2 ELSE t2 END + (CASE WHEN t2 = t1 THEN n - 2 ELSE t2 END >= i)::INT AS b FROM t),
+        s AS (SELECT d.*, (x.z + y.z) / 2 AS lag_p FROM d JOIN lugar x ON x.i = d.a JOIN lugar y ON y.i = d.b)
+        SELECT id, round(any_value(valor), 6) + 0.0 AS valor, round(any_value(z * lag / m2), 6) + 0.0 AS lisa,
+        any_value(CASE WHEN z > 0 THEN 'alto' ELSE 'baixo' END || '-' || CASE WHEN lag > 0 THEN 'alto' ELSE 'baixo' END) AS quadrante,
+        round((count(*) FILTER (WHERE CASE WHEN z * lag / m2 >= 0 THEN z * lag_p / m2 >= z * lag / m2 ELSE z * lag_p / m2 <= z * lag / m2 END) + 1) / 1000.0, 6) + 0.0 AS pseudo_p
+        FROM s GROUP BY id""",
+    ),
     "municipality_dimension": """WITH r AS (SELECT n_nationkey % 5 AS g, min(n_nationkey) AS a FROM nation WHERE n_nationkey < 12 GROUP BY 1)
         SELECT n_nationkey AS cd_mun_ibge, n_nationkey + 500 AS cd_mun_tse, 'R' || n_regionkey AS sg_uf, n_name AS nm_municipio,
         round(n_nationkey * 10.5::DOUBLE + 1, 6) + 0.0 AS area_km2, CASE WHEN n_nationkey < 12 THEN a ELSE n_nationkey END AS cd_amc

@@ -99,10 +99,13 @@ def average_ranks(
 def dense_index(df: DataFrame, by: Sequence[str], key: str, index: str = "indice") -> DataFrame:
     """`df` with a 0-based position of each row in its group; `key` is unique inside the group.
 
-    The order is that of a hash of the key: stable, spread evenly, and not an ordering of the data.
+    The order is that of the md5 of the key's text: spread evenly, the same in any engine, and not an
+    ordering of the data.
     """
-    hashed = df.withColumn("_ord_h", F.xxhash64(F.col(key)))
-    ranked = _ranked(hashed, by, F.col("_ord_h"), lambda v: F.shiftright(v, 48), None)
+    hashed = df.withColumn("_ord_h", F.md5(F.col(key).cast("string").cast("binary")))
+    # The first four digits: 65,536 buckets, each sorted by itself.
+    head = lambda h: F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
+    ranked = _ranked(hashed, by, F.col("_ord_h"), head, None)
     positions = ranked.select(*by, F.col("_ord_v").alias("_ord_h"), F.col("_ord_start").alias(index))
     return hashed.join(positions, [*by, "_ord_h"]).drop("_ord_h")
 

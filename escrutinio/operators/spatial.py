@@ -299,7 +299,7 @@ def moran_global_p(
 
     A permutation is a row, not a loop: in each one the units are ordered by a seeded hash and the
     deviation of the j-th goes to the j-th unit. Draws depend on (seed, permutation, unit) only,
-    so a retried task repeats them.
+    so a retried task repeats them, and so can SQL: the hash is an md5 of their text.
     """
     if _no_inference(permutations):
         return moran_global(values, neighbours).withColumn("pseudo_p", F.lit(None).cast("double"))
@@ -315,7 +315,7 @@ def moran_global_p(
     ).scalar()
     drawn = units.select(
         "id", "z", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p")
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col("p"), F.col("id")))
+    ).withColumn("h", F.concat_ws("|", F.lit(str(seed)), F.col("p").cast("string"), F.col("id").cast("string")))
     placed = dense_index(drawn, ["p"], "h", "i").select("p", "i", F.col("z").alias("zp"))
     degree = links.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     ends = (
@@ -346,7 +346,8 @@ def _distinct_draws(n_others: Column, k: Column, *salt: Column) -> Column:
     """k distinct positions out of `n_others`, uniform over subsets (Floyd's algorithm)."""
 
     def take(chosen: Column, j: Column) -> Column:
-        t = F.pmod(F.xxhash64(*salt, j), j + 1)
+        text = F.concat_ws("|", *[c.cast("string") for c in (*salt, j)])
+        t = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint"), j + 1)
         return F.when(F.array_contains(chosen, t), F.array_append(chosen, j)).otherwise(
             F.array_append(chosen, t)
         )
@@ -361,7 +362,7 @@ def moran_local_p(
     """STA-04. Local statistic, quadrant and conditional pseudo-p of each unit.
 
     One row per (unit, permutation) draws as many distinct other units as the unit has neighbours,
-    so the work is permutations times edges, never units times units.
+    so the work is permutations times edges, never units times units. Draws come from md5 too.
     """
     if _no_inference(permutations):
         return moran_local(values, neighbours).withColumn("pseudo_p", F.lit(None).cast("double"))

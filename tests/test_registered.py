@@ -36,14 +36,12 @@ def table(columns, data):
     return sorted(tuple(text(r[i]) for i in order) for r in data)
 
 
-# Queries that SQL cannot state: they permute with a seeded hash.
-WITHOUT_SQL = {"moran_global_p", "moran_local_p"}
-# Queries that run jobs while their plan is built.
-EAGER = {"correlation", "correlation_bootstrap", "social_correlations", *WITHOUT_SQL}
+# Queries whose draws run jobs while their plan is built.
+EAGER = {"correlation_bootstrap", "social_correlations", "moran_global_p", "moran_local_p"}
 
 
-def test_only_permutation_has_no_sql():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -56,11 +54,6 @@ def test_query_matches_sql(spark, duck, name):
     assert got == table(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_resampling_query_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_product_and_no_row_udf(spark, name):
     if name in EAGER:
