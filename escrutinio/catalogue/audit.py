@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from escrutinio.catalogue.places import SECTION_BALLOTS, _section_ballots
-from escrutinio.catalogue.roles import BALLOTS, ballots, rounded, table, with_sql
+from escrutinio.catalogue.roles import BALLOTS, CANDIDATES, ballots, candidates, rounded, table, with_sql
 from escrutinio.functions.identity import salt_fingerprint
 from escrutinio.operators import reconcile as rc
 from escrutinio.plans import catalog
@@ -184,6 +184,43 @@ def null_vote_bridge(spark, d):
     return rc.null_vote_bridge(totals, omitted_candidates(spark, d))
 
 
+def _rebuilt_inputs(spark, d):
+    """Sections, turnout and published tables of an election, with omitted and differing rows."""
+    rows = ballots(spark, d)
+    k, q, zone = F.col("sq_candidato"), F.col("qt_votos_nominais"), F.col("nr_zona")
+    listed = F.col("nm_tipo_destinacao_votos") == "Válido (legenda)"
+    code = F.when(zone == 0, 95).when(zone == 1, 96).when(listed, 10 + k % 7).otherwise(1000 + k)
+    section = rows.select("sg_uf", "cd_cargo", code.alias("nr_votavel"), F.when(code >= 1000, k).alias("sq_candidato"), q.alias("qt_votos"))
+    v, nominal = F.col("qt_votos"), F.col("nr_votavel") >= 1000
+    party = F.col("nr_votavel") < 95
+    left_out = (nominal & (F.col("sq_candidato") % 10 == 3)) | (party & (F.col("nr_votavel") == 16))
+    scope = ["sg_uf", "cd_cargo"]
+
+    def measure(some):
+        return F.coalesce(F.sum(F.when(some, v)), F.lit(0).cast("bigint"))
+
+    turnout = section.groupBy(*scope).agg(
+        F.sum(2 * v).alias("aptos"), F.sum(v).alias("comparecimento"), measure(nominal | party).alias("nominais_e_legenda"),
+        measure(F.col("nr_votavel") == 95).alias("votos_brancos"), measure(F.col("nr_votavel") == 96).alias("votos_nulos"),
+        measure(left_out).alias("_fora"),
+    )
+    candidates_ = section.filter(nominal & ~left_out).groupBy(*scope, "sq_candidato").agg(F.sum(v).alias("votos")).withColumn(
+        "votos", F.col("votos") + F.when(F.col("sq_candidato") % 11 == 0, 1).otherwise(0)
+    )
+    parties = section.filter(party & ~left_out).groupBy(*scope, F.col("nr_votavel").alias("nr_partido")).agg(F.sum(v).alias("votos_legenda"))
+    totals = turnout.select(
+        *scope, "aptos", "comparecimento", (F.col("nominais_e_legenda") - F.col("_fora")).alias("nominais_e_legenda"), "votos_brancos",
+        (F.col("votos_nulos") + F.col("_fora") + F.when(F.col("sg_uf") == "R0", 1).otherwise(0)).alias("votos_nulos"),
+    )
+    ineligible = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sq_candidato")).filter("sq_candidato % 10 = 3 AND sq_candidato % 50 <> 3")
+    members = candidates(spark, d).filter("nr_partido = 2").select("sq_candidato")
+    return section, turnout.drop("_fora"), candidates_, parties, totals, ineligible, members
+
+
+def rebuilt_blocks(spark, d):
+    return rounded(rc.rebuilt_blocks(*_rebuilt_inputs(spark, d)))
+
+
 def _reconcile_sides(spark, d):
     """Order totals by status and month against themselves with planted differences."""
     od = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
@@ -331,7 +368,7 @@ QUERIES = {
         contract_check, typed_text, trimmed_labels, control_totals_text, control_totals_compare,
         crosswalk_join, orphan_units, ambiguous_keys, payments_with_candidacy, entity_control,
         entity_control_summary, line_control, section_totals_by_ballot, ballot_kind,
-        ordinary_elections, omitted_candidates, null_vote_bridge, reconcile, reconcile_report,
+        ordinary_elections, omitted_candidates, null_vote_bridge, rebuilt_blocks, reconcile, reconcile_report,
         month_gaps, salt_consistency, results_totals, results_candidates, results_parties,
         published_blocks, dimensions, data_version, provenance,
     )
@@ -429,6 +466,23 @@ ORACLE = {
         o AS (SELECT CAST(sum(qt) FILTER (WHERE sq_candidato % 10 = 3) AS BIGINT) AS b FROM votacao)
         SELECT 6 AS cd_cargo, a AS votos_nulos, b AS votos_omitidos, a + b AS votos_nulos_reconciliados FROM n, o""",
     ),
+    "rebuilt_blocks": with_sql(
+        BALLOTS + "," + CANDIDATES,
+        """, sec AS (SELECT sg_uf, sq_candidato AS k, qt, CASE WHEN nr_zona = 0 THEN 95 WHEN nr_zona = 1 THEN 96 WHEN flag = 'R' THEN 10 + sq_candidato % 7 ELSE 1000 + sq_candidato END AS cod FROM votacao),
+        s AS (SELECT *, CASE WHEN cod >= 1000 THEN 'candidatos' WHEN cod < 95 THEN 'legenda' END AS tipo, CASE WHEN cod >= 1000 THEN k ELSE cod END AS chave,
+          (cod >= 1000 AND k % 10 = 3) OR cod = 16 AS fora FROM sec),
+        c AS (SELECT sg_uf, tipo, chave, any_value(fora) AS fora, sum(qt)::DOUBLE AS q FROM s WHERE tipo IS NOT NULL GROUP BY ALL),
+        t AS (SELECT sg_uf, sum(2 * qt)::DOUBLE AS aptos, sum(qt)::DOUBLE AS comp, coalesce(sum(qt) FILTER (WHERE tipo IS NOT NULL), 0)::DOUBLE AS nl,
+          coalesce(sum(qt) FILTER (WHERE cod = 95), 0)::DOUBLE AS br, coalesce(sum(qt) FILTER (WHERE fora), 0)::DOUBLE AS ponte FROM s GROUP BY ALL),
+        u AS (SELECT tipo AS bloco, sg_uf, 6 AS cd_cargo, chave, 'votos' AS nome, q + CASE WHEN tipo = 'candidatos' AND chave % 11 = 0 THEN 1 ELSE 0 END AS nosso, q AS fonte FROM c WHERE NOT fora
+          UNION ALL SELECT 'grupos', sg_uf, 6, chave, 'votos', q + CASE WHEN chave % 11 = 0 THEN 1 ELSE 0 END, q FROM c
+            WHERE NOT fora AND tipo = 'candidatos' AND chave IN (SELECT sq_candidato FROM candidatos WHERE nr_partido = 2)
+          UNION ALL SELECT 'omitidos_inelegiveis', sg_uf, NULL, NULL, 'n_omitidos', count(*)::DOUBLE, (count(*) FILTER (WHERE chave % 50 <> 3))::DOUBLE FROM c WHERE fora AND tipo = 'candidatos' GROUP BY sg_uf
+          UNION ALL SELECT 'totais', sg_uf, 6, NULL, unnest(['aptos', 'comparecimento', 'nominais_e_legenda', 'votos_brancos']), unnest([aptos, comp, nl, br]), unnest([aptos, comp, nl, br]) FROM t
+          UNION ALL SELECT 'nulos', sg_uf, 6, NULL, 'votos_que_viraram_nulos', ponte + CASE WHEN sg_uf = 'R0' THEN 1 ELSE 0 END, ponte FROM t)
+        SELECT bloco, sg_uf, cd_cargo, chave, nome, nosso, fonte, nosso - fonte AS diferenca, round(100.0 * (nosso - fonte) / nullif(fonte, 0), 6) + 0.0 AS diferenca_pct,
+        CASE WHEN nosso = fonte THEN 'confere' ELSE 'diverge' END AS situacao FROM u""",
+    ),
     "reconcile": with_sql(
         SIDES,
         """SELECT grupo, situacao_pedido, medida, round(nosso, 6) + 0.0 AS nosso, round(fonte, 6) + 0.0 AS fonte, round(diferenca, 6) + 0.0 AS diferenca,

@@ -31,7 +31,7 @@ from escrutinio.catalogue.roles import (
 from escrutinio.functions.rates import penetration, share_of_valid
 from escrutinio.operators import finance as fi
 from escrutinio.operators import reference as rf
-from escrutinio.plans import accounts, comparison, lists, maps, references, screens
+from escrutinio.plans import accounts, catalog, comparison, lists, maps, references, screens
 
 INDICATORS = ("votos", "penetracao", "pct_maiores", "n_efetivo_municipios", "pct_publico")
 
@@ -163,6 +163,44 @@ def two_side_comparison(spark, d):
     return rounded(out.select("nivel", "amc", "votos_2022", "votos_2026", "delta_penetracao", "swing_pp", "retencao", "ganho_absoluto"))
 
 
+def comparison_of_sides(spark, d):
+    """Parties 2 to 12 against 8 to 20, cut to the persons that are on both sides."""
+    c = candidates(spark, d).withColumn("pessoa_id", F.concat(F.lit("p"), F.col("sq_candidato").cast("string")))
+    rows = ballots(spark, d)
+
+    def counts(year):
+        r = rows.filter(F.col("ano") == year)
+        v = r.groupBy("sq_candidato", "cd_mun_ibge").agg(F.sum("qt_votos_nominais_validos").alias("votos"))
+        b = r.groupBy("cd_mun_ibge").agg(F.sum("qt_votos_nominais").alias("aptos"), F.sum("qt_votos_nominais_validos").alias("validos"))
+        return v, b
+
+    (v1, b1), (v2, b2) = counts(YEAR_BEFORE), counts(YEAR_AFTER)
+    members = c.filter(F.col("nr_partido").between(2, 12)), c.filter(F.col("nr_partido").between(8, 20))
+    out = comparison.two_sides(members, (v1, v2), (b1, b2), areas(spark, d), 6, same_people=True, classes=4)
+    return rounded(
+        out.select("nivel", "amc", "votos_2022", "votos_2026", "delta_penetracao", "swing_pp", "classe_2022", "classe_2026",
+                   F.element_at("quebras", 1).alias("menor_quebra"), F.size("quebras").alias("n_quebras"))
+    )
+
+
+def comparison_lines(spark, d):
+    """Account comparison in display order."""
+    return comparison.revenue_lines(account_comparison(spark, d))
+
+
+def first_round_candidates(spark, d):
+    c = candidates(spark, d)
+    k = F.col("sq_candidato")
+    full = c.select(
+        F.lit(YEAR_BEFORE).alias("ano"), F.when(k % 9 == 0, 2).otherwise(1).alias("nr_turno"), "sg_uf",
+        F.lit("Deputado Federal").alias("ds_cargo"), "sq_candidato", F.col("nm_urna").alias("nm_urna_candidato"),
+        F.sha2(k.cast("string"), 256).alias("pessoa_id"), "nr_partido", F.concat(F.lit("P"), F.col("nr_partido").cast("string")).alias("sg_partido"),
+        "ds_situacao_candidatura", "ds_sit_tot_turno", (1000 + k).alias("nr_candidato"), F.col("nm_urna").alias("nm_candidato"),
+        (k % 13 != 0).alias("foi_as_urnas"),
+    )
+    return catalog.candidates_view(full)
+
+
 def difference_map(spark, d):
     out = comparison.compare_sides(year_counts(spark, d, YEAR_BEFORE), year_counts(spark, d, YEAR_AFTER), areas(spark, d), 6)
     return rounded(screens.difference_map(out.filter(F.col("nivel") == "amc")))
@@ -275,7 +313,8 @@ QUERIES = {
     for f in (
         candidate_list, states_with_candidates, group_listing, votes_by_state, top_units,
         sheet_finances, municipality_summary, map_values, map_values_zone, map_off,
-        map_common_breaks, side_frame, two_side_comparison, difference_map, candidate_accounts,
+        map_common_breaks, side_frame, two_side_comparison, comparison_of_sides, comparison_lines, first_round_candidates,
+        difference_map, candidate_accounts,
         group_accounts, group_kpi_rows, account_comparison, geography, profile_reasons,
         reference_medians, relative_profile, reference_indices,
     )
@@ -471,6 +510,39 @@ ORACLE = {
         round(100.0 * b.votos / b.validos::DOUBLE - 100.0 * a.votos / a.validos::DOUBLE, 6) + 0.0 AS swing_pp,
         round(b.votos::DOUBLE / nullif(a.votos, 0), 6) + 0.0 AS retencao, b.votos - a.votos AS ganho_absoluto FROM a JOIN b ON a.amc IS NOT DISTINCT FROM b.amc""",
     ),
+    "comparison_of_sides": with_sql(
+        BALLOTS,
+        f""", m AS (SELECT ano, cd_mun_ibge, sum(qt)::BIGINT AS aptos, sum(CASE WHEN flag = 'N' THEN qt ELSE 0 END)::BIGINT AS validos,
+          sum(CASE WHEN flag = 'N' AND s_nationkey BETWEEN 8 AND 12 THEN qt ELSE 0 END)::BIGINT AS votos FROM votacao JOIN supplier ON s_suppkey = sq_candidato
+          WHERE ano IN ({YEAR_BEFORE}, {YEAR_AFTER}) GROUP BY ALL),
+        w AS (SELECT *, (sum(votos) OVER p)::DOUBLE / sum(aptos) OVER p AS r FROM m WINDOW p AS (PARTITION BY ano)),
+        pool AS (SELECT 1000.0 * votos / aptos::DOUBLE AS v FROM w WHERE aptos > 0 AND NOT aptos * r < 20),
+        qs AS (SELECT unnest(quantile_cont(v, [0.25, 0.5, 0.75])) AS q FROM pool),
+        cand AS (SELECT d, q, round(q * power(10.0, d - 1 - floor(log10(q)))) / power(10.0, d - 1 - floor(log10(q))) AS b FROM qs, (SELECT unnest([2, 3, 4, 5, 6]) AS d)),
+        n AS (SELECT d, count(DISTINCT b) AS nb, count(DISTINCT q) AS nq FROM cand GROUP BY d),
+        pick AS (SELECT coalesce(min(d) FILTER (WHERE nb = nq), 6) AS d FROM n),
+        br AS (SELECT list(DISTINCT b ORDER BY b) AS bs FROM cand JOIN pick USING (d) WHERE b > (SELECT min(v) FROM pool) AND b <= (SELECT max(v) FROM pool)),
+        t AS (SELECT ano, cd_mun_ibge % 9 AS amc, sum(aptos) AS aptos, sum(validos) AS validos, sum(votos)::BIGINT AS votos FROM m GROUP BY GROUPING SETS ((ano, cd_mun_ibge % 9), (ano))),
+        a AS (SELECT *, 1000.0 * votos / aptos::DOUBLE AS p FROM t WHERE ano = {YEAR_BEFORE}), z AS (SELECT *, 1000.0 * votos / aptos::DOUBLE AS p FROM t WHERE ano = {YEAR_AFTER})""",
+        """SELECT CASE WHEN a.amc IS NULL THEN 'total' ELSE 'amc' END AS nivel, a.amc, a.votos AS votos_2022, z.votos AS votos_2026, round(z.p - a.p, 6) + 0.0 AS delta_penetracao,
+        round(100.0 * z.votos / z.validos::DOUBLE - 100.0 * a.votos / a.validos::DOUBLE, 6) + 0.0 AS swing_pp, len(list_filter(bs, lambda x: x <= a.p))::INT AS classe_2022,
+        len(list_filter(bs, lambda x: x <= z.p))::INT AS classe_2026, round(bs[1], 6) + 0.0 AS menor_quebra, len(bs)::INT AS n_quebras
+        FROM a JOIN z ON a.amc IS NOT DISTINCT FROM z.amc, br""",
+    ),
+    "comparison_lines": with_sql(
+        PRICES,
+        f", a AS {_side_row(1996)}, b AS {_side_row(1998)}, fator AS (SELECT {FACTOR} AS f), linha AS ("
+        + " UNION ALL ".join(_compared(c) for c in COMPARED) + ")",
+        "SELECT *, CAST(CASE tipo WHEN 'monetario' THEN 0 ELSE 1000 END + CASE indicador "
+        + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate((*comparison.MONEY, *comparison.SHARES)))
+        + " ELSE 500 END AS BIGINT) AS ordem FROM linha",
+    ),
+    "first_round_candidates": with_sql(
+        CANDIDATES,
+        f"""SELECT {YEAR_BEFORE} AS ano, sq_candidato, sha256(sq_candidato::VARCHAR) AS pessoa_id, nm_urna, sg_uf, 'DEPUTADO FEDERAL' AS ds_cargo, nr_partido, 'P' || nr_partido AS sg_partido,
+        ds_situacao_candidatura, ds_sit_tot_turno, 1000 + sq_candidato AS nr_candidato, nm_urna AS nm_civil, sq_candidato % 13 <> 0 AS foi_as_urnas,
+        substr(sha256('pub:' || sha256(sq_candidato::VARCHAR)), 1, 12) AS pessoa_pub FROM candidatos WHERE sq_candidato % 9 <> 0""",
+    ),
     "difference_map": with_sql(SIDE_BY_SIDE, f"SELECT a.amc, {CHANGE} FROM a JOIN b ON a.amc = b.amc"),
     "candidate_accounts": with_sql(
         _side(1996, FACTOR),

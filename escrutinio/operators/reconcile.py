@@ -333,3 +333,103 @@ def published_blocks(
 
         blocks["grupos"] = compare(grouped(our_candidates), grouped(candidates), ["grupo", "cd_cargo"])
     return blocks
+
+
+TURNOUT = ("aptos", "comparecimento", "nominais_e_legenda", "votos_brancos")
+SCOPE = ("sg_uf", "cd_cargo")
+
+
+def ballots_met(section: DataFrame, candidates: DataFrame, parties: DataFrame) -> DataFrame:
+    """DQ-18. Section and published votes of every candidate and party list of a scope, side by side.
+
+    `section` has ballot lines (`nr_votavel`, `sq_candidato`, `qt_votos`), the published tables have
+    `votos` per `sq_candidato` and `votos_legenda` per `nr_partido`. The three are stacked and grouped
+    once. A ballot that was voted for and not published has null `publicado`.
+    """
+    none = F.lit(None).cast("bigint")
+    kind = ballot_kind(F.col("nr_votavel"), F.col("cd_cargo"))
+    lines = section.select(
+        *SCOPE, kind.alias("tipo"), F.coalesce(F.when(kind == "nominal", F.col("sq_candidato")), F.col("nr_votavel")).cast("bigint").alias("codigo"),
+        F.col("qt_votos").cast("bigint").alias("secao"), none.alias("publicado"),
+    ).filter(F.col("tipo").isin("nominal", "legenda"))
+
+    def published(df: DataFrame, name: str, code: str, votes: str) -> DataFrame:
+        return df.select(
+            *SCOPE, F.lit(name).alias("tipo"), F.col(code).cast("bigint").alias("codigo"), none.alias("secao"),
+            F.col(votes).cast("bigint").alias("publicado"),
+        )
+
+    stacked = lines.unionByName(published(candidates, "nominal", "sq_candidato", "votos")).unionByName(
+        published(parties, "legenda", "nr_partido", "votos_legenda")
+    )
+    return stacked.groupBy(*SCOPE, "tipo", "codigo").agg(F.sum("secao").alias("secao"), F.sum("publicado").alias("publicado"))
+
+
+def rebuilt_blocks(
+    section: DataFrame, turnout: DataFrame, candidates: DataFrame, parties: DataFrame, totals: DataFrame,
+    ineligible: DataFrame, membership: DataFrame | None = None,
+) -> DataFrame:
+    """DQ-18. An election whose totals are rebuilt from its sections, against its published tables.
+
+    Votes for ballots that were not published (ineligible candidates, lists of unregistered parties)
+    turned into null votes. This bridge is computed first and explains the differences it causes, so
+    that each block must agree:
+
+    `omitidos_inelegiveis`  number of omitted candidates, all of which must be ineligible
+    `totais`                the measures of `TURNOUT`, the bridge given back to nominal and list votes
+    `nulos`                 published less typed null votes, against the bridge
+    `candidatos`, `legenda` votes of every published candidate and party list
+    `grupos`                votes of the candidates of `membership`, when given
+
+    `turnout` and `totals` have the measures of `TURNOUT` and `votos_nulos` per state and office. All
+    blocks are rows of one long table per side and meet in a single comparison: `bloco`, `sg_uf`,
+    `cd_cargo`, `chave`, `nome`, then as `compare`.
+    """
+    met = ballots_met(section, candidates, parties)
+    omitted = met.filter(F.col("publicado").isNull() & F.col("secao").isNotNull())
+    bridge = omitted.groupBy(*SCOPE).agg(F.sum("secao").alias("_ponte"))
+    kept = met.filter(F.col("publicado").isNotNull())
+    no_office, no_code = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+
+    def rows(df: DataFrame, block: Column, name: Column, value: str, code: str | None = None, office: bool = True) -> DataFrame:
+        return df.select(
+            block.alias("bloco"), "sg_uf", (F.col("cd_cargo") if office else no_office).alias("cd_cargo"),
+            (no_code if code is None else F.col(code)).alias("chave"), name.alias("nome"), F.col(value).cast("double").alias("valor"),
+        )
+
+    def long(df: DataFrame, block: str, measures: Sequence[str]) -> DataFrame:
+        wide = df.select(*SCOPE, *[F.col(m).cast("double").alias(m) for m in measures])
+        return rows(wide.unpivot(list(SCOPE), list(measures), "_m", "_v"), F.lit(block), F.col("_m"), "_v")
+
+    known = ineligible.select(F.col("sq_candidato").cast("bigint").alias("codigo"), F.lit(True).alias("_inelegivel")).distinct()
+    left_out = (
+        omitted.filter("tipo = 'nominal'").join(known, "codigo", "left")
+        .groupBy("sg_uf").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_inelegivel")).alias("inelegiveis"))
+        .withColumn("cd_cargo", no_office)
+    )
+    ours = totals.join(bridge, list(SCOPE), "left").withColumn("_ponte", F.coalesce("_ponte", F.lit(0).cast("bigint")))
+    nulls = ours.join(turnout.select(*SCOPE, F.col("votos_nulos").alias("_digitados")), list(SCOPE)).withColumn(
+        "_viraram", F.col("votos_nulos") - F.col("_digitados")
+    )
+    given_back = ours.withColumn("nominais_e_legenda", F.col("nominais_e_legenda") + F.col("_ponte"))
+    block = F.when(F.col("tipo") == "nominal", "candidatos").otherwise("legenda")
+    left = [
+        rows(left_out, F.lit("omitidos_inelegiveis"), F.lit("n_omitidos"), "n", office=False),
+        long(given_back, "totais", TURNOUT),
+        rows(nulls, F.lit("nulos"), F.lit("votos_que_viraram_nulos"), "_viraram"),
+        rows(kept, block, F.lit("votos"), "publicado", "codigo"),
+    ]
+    right = [
+        rows(left_out, F.lit("omitidos_inelegiveis"), F.lit("n_omitidos"), "inelegiveis", office=False),
+        long(turnout, "totais", TURNOUT),
+        rows(ours, F.lit("nulos"), F.lit("votos_que_viraram_nulos"), "_ponte"),
+        rows(kept.filter(F.col("secao").isNotNull()), block, F.lit("votos"), "secao", "codigo"),
+    ]
+    if membership is not None:
+        own = kept.filter("tipo = 'nominal'").join(
+            membership.select(F.col("sq_candidato").cast("bigint").alias("codigo")).distinct(), "codigo", "left_semi"
+        )
+        left.append(rows(own, F.lit("grupos"), F.lit("votos"), "publicado", "codigo"))
+        right.append(rows(own.filter(F.col("secao").isNotNull()), F.lit("grupos"), F.lit("votos"), "secao", "codigo"))
+    keys = ["bloco", *SCOPE, "chave", "nome"]
+    return compare(reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right), keys).drop("medida")

@@ -11,7 +11,9 @@ from escrutinio.functions.rates import penetration, share_of_valid
 from escrutinio.operators.evolution import COUNTS, add_changes, common_people, evolution
 from escrutinio.operators.finance import REVENUE_CATEGORIES, compare_revenue
 from escrutinio.operators.people import people_pairs
+from escrutinio.operators.spatial import assign_class
 from escrutinio.plans.maps import map_breaks
+from escrutinio.session import cut_lineage
 
 MONEY = ("receita_total", "receita_por_voto", "receita_por_mil_aptos", "media", "mediana")
 SHARES = ("pct_publico", "pct_autofinanciamento", "pct_pessoa_fisica", "pct_estimavel")
@@ -74,6 +76,28 @@ def compare_breaks(old: DataFrame, new: DataFrame, classes: int = 5) -> DataFram
     return map_breaks([rates(old), rates(new)], classes=classes)
 
 
+def two_sides(
+    members: tuple[DataFrame, DataFrame], votes: tuple[DataFrame, DataFrame], base: tuple[DataFrame, DataFrame],
+    areas: DataFrame, office: int, same_people: bool = False, classes: int | None = 5,
+) -> DataFrame:
+    """QRY-08. The whole comparison of two sides: by area and in total, with common map classes.
+
+    `members` are the candidacies of each side, however they were chosen (group, persons or ids); with
+    `same_people` both are cut to the persons on both sides first. `quebras` holds the breaks common
+    to both maps and `classe_2022`, `classe_2026` the class of each rate; `classes=None` leaves them out.
+    The sides, a row per municipality, are written once: areas, total and breaks read them.
+    """
+    old, new = restrict_to_common(*members) if same_people else members
+    sides = [cut_lineage(side_frame(v, b, m)) for v, b, m in zip(votes, base, (old, new), strict=True)]
+    rows = compare_sides(*sides, areas, office)
+    if classes is None:
+        return rows
+    breaks = compare_breaks(*sides, classes).agg(F.array_sort(F.collect_list("quebra")).alias("b")).scalar()
+    return rows.withColumn("quebras", breaks).withColumns(
+        {f"classe_{y}": assign_class(F.col(f"penetracao_{y}"), F.col("quebras")) for y in ("2022", "2026")}
+    )
+
+
 def compare_accounts(
     old: DataFrame, new: DataFrame, prices: DataFrame, origin: str, base: str
 ) -> DataFrame:
