@@ -1,4 +1,4 @@
-"""Validated writes: a year becomes visible only after every check has passed."""
+"""Validated writes: a year is written once and becomes visible only after every check has passed."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from escrutinio.sources import versions
 from escrutinio.sources.contracts import Contract, validate
 
 
@@ -35,33 +36,25 @@ def publish_year(
     contract: Contract,
     root: str,
     year: int,
-    staging: str,
     controls: Sequence[Callable[[DataFrame], DataFrame]] = (),
-) -> None:
-    """SNK-01. Write to staging, check there, then overwrite the partition of the year.
+) -> int:
+    """SNK-01. Write the year once, check what was written, then commit it with one manifest.
 
-    `staging` is a new folder of the shared storage. Each control takes the staged table and gives
-    rows with `controle` and `igual`; any false one stops the publication and leaves the previous
-    year as it was. The final write commits the year as one job, so readers see the old files or
-    the new ones.
+    Each control takes the written table and gives rows with `controle` and `igual`; any false one
+    stops the publication and leaves the previous year as it was. Readers go by the manifest, so
+    they see the old year or the new one. Returns the number of the manifest.
     """
     spark = df.sparkSession
-    write_table(df, contract, staging)
-    staged = spark.read.schema(contract.schema).parquet(staging)
+    folder = versions.new_folder(f"ano={year}")
+    write_table(df, contract, f"{root}/{folder}")
+    staged = spark.read.schema(contract.schema).parquet(f"{root}/{folder}")
     validate(staged, contract)
     for control in controls:
         # One row comes back, however many controls differ.
         bad = control(staged).filter(~F.col("igual")).agg(F.count(F.lit(1)).alias("n"), F.min("controle").alias("first")).first()
         if bad["n"]:
             raise ControlMismatch(f"{contract.name} {year}: {bad["n"]} control totals differ, as {bad["first"]}")
-    (
-        staged.withColumn("ano", F.lit(year))
-        .sortWithinPartitions(*(contract.key or contract.columns[:1]))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ano")
-        .parquet(root)
-    )
+    return versions.commit(spark, root, {f"ano={year}": folder})
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -1,9 +1,10 @@
 """Snapshot ingestion: a log of micro-batches, read as the last version of each key.
 
-A stream writes each micro-batch to a folder of its own, `execucao=<run>/lote=<batch>`. The run is the
-id of the query, which lives in its checkpoint: a replay after a failure leaves the same files, and
-another stream, or one with a new checkpoint, adds its own beside them. Late readings enter the log like any
-other. Readers take the last reading per key over the folders; `compact` folds a log into a new one.
+A stream writes each micro-batch to a partition of its own, `execucao=<run>/lote=<batch>`, and commits
+it with one manifest, so readers never see half a batch. The run is the id of the query, which lives
+in its checkpoint: a replay after a failure takes the place of the same batch, and another stream, or
+one with a new checkpoint, adds its own beside it. Late readings enter the log like any other. Readers
+take the last reading per key over the committed batches; `compact` folds a log into a new one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructType
 
 from escrutinio.operators.social import latest_snapshot
+from escrutinio.sources import versions
 
 PROFILE_KEY = ("sq_candidato", "ano_eleicao", "rede", "username", "coletado_em")
 POST_KEY = ("username", "media_id")
@@ -33,7 +35,7 @@ def open_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 def batch_writer(root: str, key: Sequence[str] | None = None, run: str | None = None) -> Callable[[DataFrame, int], None]:
-    """STR-01. Writer of one micro-batch to its own folder of the log.
+    """STR-01. Writer of one micro-batch to its own partition of the log, committed as a whole.
 
     Rows that repeat a key inside the batch are written once; repeats over batches are resolved by
     the reader, so no state grows and nothing that comes late is lost. `run` is for callers outside a
@@ -45,7 +47,10 @@ def batch_writer(root: str, key: Sequence[str] | None = None, run: str | None =
         if not own:
             raise ValueError("batch_writer: outside a stream the run needs a name")
         rows = batch if key is None else batch.dropDuplicates(list(key))
-        rows.write.mode("overwrite").parquet(f"{root}/execucao={own}/lote={batch_id}")
+        partition = f"execucao={own}/lote={batch_id}"
+        folder = versions.new_folder(partition)
+        rows.write.parquet(f"{root}/{folder}")
+        versions.commit(batch.sparkSession, root, {partition: folder})
 
     return write
 
@@ -53,7 +58,7 @@ def batch_writer(root: str, key: Sequence[str] | None = None, run: str | None =
 def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = None, key: Sequence[str] | None = None) -> StreamingQuery:
     """STR-01, STR-05. Take whatever is new in the source, then stop.
 
-    An unchanged source gives no micro-batch, and a failed run leaves the committed folders alone.
+    An unchanged source gives no micro-batch, and a failed run leaves what was committed alone.
     """
     writer = stream.writeStream.foreachBatch(batch_writer(root, key)).option("checkpointLocation", checkpoint)
     if name is not None:
@@ -62,9 +67,14 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, name: str | None = Non
 
 
 def current(spark: SparkSession, root: str, schema: StructType, key: Sequence[str], order: Column) -> DataFrame:
-    """Last version per key: the newest `order`, then the newest batch. A mergeable aggregate."""
+    """Last version per key: the newest `order`, then the newest batch. A mergeable aggregate.
+
+    A log without a committed batch is empty.
+    """
     log_schema = StructType(list(schema.fields)).add("execucao", StringType()).add("lote", LongType())
-    log = spark.read.schema(log_schema).option("basePath", root).parquet(root)
+    log = versions.read(spark, root, log_schema)
+    if log is None:
+        return spark.createDataFrame([], schema)
     others = [c for c in schema.fieldNames() if c not in key]
     rank = F.struct(order, F.col("lote"), F.col("execucao"))
     return (
@@ -86,8 +96,13 @@ def current_posts(spark: SparkSession, root: str, schema: StructType) -> DataFra
 
 
 def compact(table: DataFrame, target: str) -> None:
-    """Fold the current table into a new log with one base folder; an existing one is never replaced."""
-    table.hint("rebalance").write.mode("errorifexists").parquet(f"{target}/execucao=base/lote=-1")
+    """Fold the current table into a new log with one base batch; an existing log is never replaced."""
+    if versions.state(table.sparkSession, target)[0]:
+        raise ValueError(f"compact: {target} is a log already")
+    partition = "execucao=base/lote=-1"
+    folder = versions.new_folder(partition)
+    table.hint("rebalance").write.parquet(f"{target}/{folder}")
+    versions.commit(table.sparkSession, target, {partition: folder})
 
 
 def newer_than_known(items: DataFrame, known: DataFrame, since: Column) -> DataFrame:

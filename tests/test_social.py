@@ -201,7 +201,7 @@ def test_stream_ingests_once_and_keeps_last_post(spark, frame, tmp_path):
     snapshots.ingest(snapshots.open_stream(spark, src, first.schema), log, ckpt).awaitTermination()
     got = {r["media_id"]: r["like_count"] for r in rows(snapshots.current_posts(spark, log, first.schema))}
     assert got == {"1": 9, "2": 1}
-    # A replayed batch overwrites its own folder.
+    # A replayed batch takes the place of itself.
     run = next(p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("execucao=")).removeprefix("execucao=")
     snapshots.batch_writer(log, run=run)(again, 1)
     assert snapshots.current_posts(spark, log, first.schema).count() == 2
@@ -232,7 +232,11 @@ def test_late_readings_and_other_runs_are_kept(spark, frame, tmp_path):
         snapshots.ingest(snapshots.open_stream(spark, src, kind), log, str(tmp_path / checkpoint), key=snapshots.PROFILE_KEY).awaitTermination()
         return {r["followers_count"] for r in rows(snapshots.current_profiles(spark, log, kind))}
 
+    assert snapshots.current_profiles(spark, log, kind).count() == 0
     assert take([20, 21], "c1") == {20, 21}
+    # A batch that was written and not committed, as by a run that failed, is not read.
+    frame([(1, 2026, "instagram", "a", 99, day(25))], schema).write.parquet(f"{log}/execucao=x/lote=0/versao=y")
+    assert snapshots.current_profiles(spark, log, kind).count() == 2
     assert take([5], "c1") == {5, 20, 21}
     # A new checkpoint starts at batch 0 again, in a folder of its own.
     src = str(tmp_path / "other")

@@ -8,7 +8,7 @@ from escrutinio.operators import people
 from escrutinio.operators import places as pl
 from escrutinio.operators import reconcile as rc
 from escrutinio.plans import catalog, lists, maps
-from escrutinio.sources import publish
+from escrutinio.sources import publish, versions
 from escrutinio.sources import text_files as tf
 from escrutinio.sources.contracts import CONTRACTS, Column, Contract, ContractViolation, validate
 from tests.conftest import FAILURES, rows
@@ -219,17 +219,19 @@ def test_every_contract_is_consistent():
 
 def test_publication_is_all_or_nothing(spark, frame, tmp_path):
     root = str(tmp_path / "table")
-    publish.publish_year(good(frame), SMALL, root, 2026, str(tmp_path / "s1"))
-    publish.publish_year(good(frame).limit(1), SMALL, root, 2022, str(tmp_path / "s2"))
+    publish.publish_year(good(frame), SMALL, root, 2026)
+    publish.publish_year(good(frame).limit(1), SMALL, root, 2022)
     read = tf.read_partitioned(spark, root)
     assert {r["ano"]: r["count"] for r in rows(read.groupBy("ano").count())} == {2026: 2, 2022: 1}
     with pytest.raises(ContractViolation):
-        publish.publish_year(good(frame).unionByName(good(frame)), SMALL, root, 2026, str(tmp_path / "s3"))
+        publish.publish_year(good(frame).unionByName(good(frame)), SMALL, root, 2026)
     expected = good(frame).select(F.lit(99).alias("qt"))
     control = lambda staged: rc.compare_controls(expected, staged.agg(F.sum("qt").alias("qt")))
     with pytest.raises(publish.ControlMismatch, match="qt"):
-        publish.publish_year(good(frame), SMALL, root, 2026, str(tmp_path / "s4"), [control])
+        publish.publish_year(good(frame), SMALL, root, 2026, [control])
     assert tf.read_partitioned(spark, root).filter("ano = 2026").count() == 2
+    # What failed its checks was written, is in no manifest, and is what may be removed.
+    assert len(versions.unused(spark, root)) == 2 and versions.state(spark, root)[0] == 2
     plan = read.filter("ano = 2026")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(ano" in plan
 
@@ -315,3 +317,41 @@ def test_catalog_reads_published_layout(spark, frame, tmp_path):
           "ano int, nr_turno int, sg_uf string, cd_mun_ibge int, nr_zona int, sq_candidato int, qt_votos_nominais_validos bigint"
           ).write.partitionBy("ano").parquet(f"{root}/votacao_candidato_munzona")
     assert rows(catalog.Catalog(spark, root).votes())[0]["votos"] == 5
+
+
+def test_a_reader_between_write_and_commit_sees_the_old_year(spark, frame, tmp_path):
+    root = str(tmp_path / "table")
+    assert versions.read(spark, root) is None and versions.state(spark, root) == (0, {})
+    publish.publish_year(good(frame).limit(1), SMALL, root, 2026)
+    seen = []
+
+    def control(staged):
+        # The new rows are on disk already; a reader that comes now still gets the one old row.
+        seen.append((staged.count(), tf.read_partitioned(spark, root).count()))
+        return frame([("ok", True)], "controle string, igual boolean")
+
+    open_before = tf.read_partitioned(spark, root)
+    assert publish.publish_year(good(frame), SMALL, root, 2026, [control]) == 2
+    assert seen == [(2, 1)] and tf.read_partitioned(spark, root).count() == 2
+    # A reader that resolved its folders before the commit goes on with them, and versions stay readable.
+    assert open_before.count() == 1 and versions.read(spark, root, number=1).count() == 1
+    assert len(versions.unused(spark, root)) == 1 and versions.unused(spark, root, keep=2) == []
+
+
+def test_an_incomplete_manifest_is_passed_over(spark, frame, tmp_path):
+    root = tmp_path / "table"
+    publish.publish_year(good(frame), SMALL, str(root), 2026)
+    (root / versions.FOLDER / "2").write_text('{"ano=2026": "ano=2026/versao=no')
+    assert versions.state(spark, str(root))[0] == 1 and tf.read_partitioned(spark, str(root)).count() == 2
+    # The next writer takes the number after it and builds on the last complete state.
+    assert publish.publish_year(good(frame).limit(1), SMALL, str(root), 2022) == 3
+    assert tf.read_partitioned(spark, str(root)).count() == 3
+
+
+def test_two_writers_do_not_lose_each_other(spark, frame, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "table")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda y: versions.commit(spark, root, {f"ano={y}": f"ano={y}/versao=x"}), range(2000, 2008)))
+    assert sorted(numbers) == list(range(1, 9)) and len(versions.state(spark, root)[1]) == 8
