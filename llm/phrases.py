@@ -3,11 +3,14 @@
 A sample of the texts proposes phrases under a lowered threshold. One pass over all texts then counts
 the proposed phrases and their negative border: phrases that were not proposed although both phrases
 one word shorter inside them were. A border phrase that turns out frequent is proposed too, and a
-further pass counts what this adds to the border, until no border phrase is frequent. All counts are
-exact, and any frequent phrase is counted, whatever the sample held.
-
-The proposals reach the tasks as one bitmap of fixed size. Two phrases may share a bit: then more is
-counted than was proposed, and nothing less. Tasks count what they read before anything is shuffled.
+further pass counts it with what this adds to the border, until no border phrase is frequent.
+
+Proposed phrases are counted by their text. The border is large and nearly all rare, so it is counted
+by a 64-bit hash: two phrases of one hash can only make it look more frequent, and then the next pass
+counts both by their text. So all counts are exact, and any frequent phrase is counted, whatever the
+sample held. The proposals reach the tasks as one bitmap of fixed size; where two phrases share a
+bit, more is counted by text than was proposed, and nothing less. Tasks count what they read before
+anything is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +32,20 @@ LEAST = 30
 # One text in so many proposes phrases, those it holds at least this often.
 SAMPLE = 8
 SAMPLE_LEAST = 2
-# Bits of the bitmap, a power of two: 8 MB, whatever the corpus.
-BITS = 26
+# Bits of the bitmap, a power of two: 4 MB, whatever the corpus.
+BITS = 25
 # Bytes of text a task counts at a time.
-HELD_BYTES = 6_000_000
+HELD_BYTES = 2_000_000
 TOP = 2000
 COVERED = 80
 UNKNOWN = "und"
 
 MARK = b"\xff"  # between pieces; no byte of UTF-8
+SPLIT = b"\t"  # between a language and a phrase
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", MARK * 10)
 _SHARE = 2_000_000
 
-COUNTED = "lang string, k int, phrase string, n long, proposed boolean"
+COUNTED = "h long, phrase string, n long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,9 +55,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def _word_hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """Hash of each word: the sum of mixed (byte, place, language), all bytes at once."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]).astype(np.uint64)
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(ends[:-1] - ends[0], np.diff(ends)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = _mixed(data + (place << np.uint64(8)) + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        return _mixed(np.add.reduceat(mixed, ends[:-1] - ends[0]))
+
+
+def split_words(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(words, number of each word's piece) of a marked text, without a Python object per word."""
+    raw = np.frombuffer(text, np.uint8)
+    mark = raw == MARK[0]
+    inside = ~(mark | (raw == 32) | (raw == 9))
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    return words, np.cumsum(mark)[starts]
 
 
 def _grown(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -61,22 +85,14 @@ def _grown(first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return _mixed(first * np.uint64(0x9E3779B97F4A7C15) + last + np.uint64(1))
 
 
-def phrase_hash(phrase: str, lang: str) -> int:
-    own = _word_hashes(phrase.encode().split(b" "), lang)
-    h = own[:1]
-    for i in range(1, len(own)):
-        h = _grown(h, own[i : i + 1])
-    return int(h[0])
-
-
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64((len(bitmap) << 6) - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def pieces(raw: bytes) -> bytes:
-    """The text in lower case (A-Z), with a mark in place of every character that ends a piece."""
-    return raw.lower().translate(_CUT).replace(MARK, b" \xff ")
+def pieces(texts: list[bytes]) -> bytes:
+    """The texts in lower case (A-Z), with a mark between them and for every character that ends a piece."""
+    return MARK.join(texts).lower().translate(_CUT)
 
 
 def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,79 +101,96 @@ def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
 
 
-def count_phrases(text: bytes, lang: str, new: np.ndarray, old: np.ndarray | None, levels: tuple[int, ...]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """(k, phrases, counts, proposed) of one language's marked text, for the lengths in `levels`.
+def count_phrases(text: bytes, lang: str, new: np.ndarray, old: np.ndarray | None, by_text: bool = True) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(hashes, phrases, counts) of one language's marked text; a phrase is null where only its hash is counted.
 
-    A phrase of k words is counted when both phrases of k - 1 words inside it are in the bitmap `new`,
-    unless both are in `old`, of an earlier pass, which has counted it. Length 0 has all words together.
+    A phrase is reached when both phrases one word shorter inside it are reached and in the bitmap
+    `new`; words always are. What is in the bitmap is counted by text and the rest by hash, except
+    what the pass with the bitmap `old` has counted the same way. Without `by_text` all is counted by
+    hash. The number of all words goes with the phrase of no words.
     """
-    parts = text.split()
-    if not parts:
+    words, piece = split_words(text)
+    if not len(words):
         return
-    coded = pa.array(parts, pa.binary()).dictionary_encode()
+    coded = words.dictionary_encode()
+    del words
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     shown = coded.dictionary
-    listed = shown.to_pylist()
-    real = np.array([w != MARK for w in listed])[word]
-    # Phrases of the length at hand: their start in the text, their number, and per number hash and text.
-    at = np.flatnonzero(real)
-    own = _word_hashes(listed, lang)
-    number, hashes, names = word[at], own, shown
-    if 0 in levels:
-        yield 0, pa.array([b""]), np.array([len(at)]), np.array([True])
+    own = _word_hashes(shown, lang)
+    at = np.arange(len(word))
+    if by_text and old is None:
+        yield np.zeros(1, np.uint64), pa.array([lang.encode() + SPLIT]), np.array([len(at)])
+    # Of the phrases of the length at hand: places in the text, the number of each, and per number its
+    # hash, whether the earlier pass reached it, and the text of the proposed ones.
+    number, hashes, before = word, own, np.full(len(own), old is not None)
+    names = pc.binary_join_element_wise(lang.encode() + SPLIT, shown, b"") if by_text else None
     for k in range(1, LONGEST + 1):
         if k > 1:
-            # Starts whose phrase and whose successor's phrase are both proposed, by position.
             place = np.full(len(word) + 1, -1, np.int64)
-            keep = ok_new[number]
+            keep = proposed[number]
             place[at[keep]] = number[keep]
-            starts = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
-            first, second = place[starts], place[starts + 1]
-            number, keys = _codes((first << 32) | second)
+            both = (place[:-1] >= 0) & (place[1:] >= 0)
+            if k == 2:
+                both[:-1] &= piece[1:] == piece[:-1]
+            at = np.flatnonzero(both)
+            if not len(at):
+                return
+            number, keys = _codes((place[at] << 32) | place[at + 1])
             a, b = keys >> 32, keys & 0xFFFFFFFF
             # The last word of each phrase, from any place it starts at.
-            any_start = np.empty(len(keys), np.int64)
-            any_start[number] = starts
-            last = word[any_start + k - 1]
-            counted_before = ok_old[a] & ok_old[b]
-            names = pc.binary_join_element_wise(names.take(pa.array(a)), shown.take(pa.array(last)), b" ")
+            some = np.empty(len(keys), np.int64)
+            some[number] = at
+            last = word[some + k - 1]
+            before = went_on[a] & went_on[b]
             hashes = _grown(hashes[a], own[last])
-            at = starts
-        else:
-            counted_before = np.full(len(hashes), old is not None)
-        if not len(at):
-            return
-        ok_new = _has(new, hashes)
-        # A bit may stand for another phrase, so the earlier pass went on only from what it had counted.
-        ok_old = counted_before & _has(old, hashes) if old is not None else counted_before
-        if k in levels:
-            n = np.bincount(number, minlength=len(hashes))
-            wanted = np.flatnonzero((n > 0) & ~counted_before)
-            if len(wanted):
-                yield k, names.take(pa.array(wanted)), n[wanted], ok_new[wanted]
-
-
-def counted(texts: DataFrame, least: int, new: np.ndarray, old: np.ndarray | None, levels: tuple[int, ...], held: int = HELD_BYTES) -> DataFrame:
-    """Phrases of `texts` (lang, text) with at least `least` occurrences, as (lang, k, phrase, n, proposed)."""
-    spark = texts.sparkSession
-    sent, before = spark.sparkContext.broadcast(new), None if old is None else spark.sparkContext.broadcast(old)
+        proposed = _has(new, hashes)
+        was = _has(old, hashes) if old is not None else np.zeros(len(hashes), bool)
+        # A bit may stand for another phrase, so the earlier pass went on only from what it had reached.
+        went_on = before & was
+        n = np.bincount(number, minlength=len(hashes))
+        wanted = (n > 0) & ~(before & (was | ~proposed) if by_text else before)
+        if by_text:
+            if k > 1:
+                texts = np.flatnonzero(proposed)
+                joined = pc.binary_join_element_wise(names.take(pa.array(row_of[a[texts]])), shown.take(pa.array(last[texts])), b" ")
+            else:
+                texts, joined = np.arange(len(hashes)), names
+            row_of = np.full(len(hashes), -1, np.int64)
+            row_of[texts] = np.arange(len(texts))
+            names = joined
+            whole = np.flatnonzero(wanted & proposed)
+            if len(whole):
+                yield np.zeros(len(whole), np.uint64), names.take(pa.array(row_of[whole])), n[whole]
+            wanted &= ~proposed
+        hashed = np.flatnonzero(wanted)
+        if len(hashed):
+            yield hashes[hashed], pa.nulls(len(hashed), pa.binary()), n[hashed]
+
+
+def counted(texts: DataFrame, least: int, sent: Broadcast, before: Broadcast | None, by_text: bool = True, held: int = HELD_BYTES) -> DataFrame:
+    """What `count_phrases` counts in all of `texts` (lang, text) at least `least` times, as (h, phrase, n).
+
+    `phrase` is the language, a tab and the words, or null for what is known by its hash alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, own in waiting.items():
-                for k, names, n, ok in count_phrases(b" \xff ".join(own), lang, sent.value, None if before is None else before.value, levels):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n)), pa.array(np.full(len(n), k, np.int32)), names.cast(pa.string()), pa.array(n), pa.array(ok)], names=["lang", "k", "phrase", "n", "proposed"]
-                    )
-            waiting.clear()
+            while waiting:
+                lang, own = waiting.popitem()
+                for h, names, n in count_phrases(pieces(own), lang, sent.value, None if before is None else before.value, by_text):
+                    whole = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), names.cast(pa.string()), pa.array(n)], names=["h", "phrase", "n"])
+                    yield from slices([whole], 65_536)
+                    del h, names, n, whole
+                del own
+            pa.default_memory_pool().release_unused()
 
         for batch in slices(batches, 64):
             for lang, raw in zip(values(batch, "lang"), utf8(batch, "text"), strict=True):
                 if raw:
-                    waiting.setdefault(lang, []).append(pieces(raw))
+                    waiting.setdefault(lang, []).append(raw)
                     size += len(raw)
                     if size >= held:
                         yield from flush()
@@ -165,22 +198,16 @@ def counted(texts: DataFrame, least: int, new: np.ndarray, old: np.ndarray | Non
         yield from flush()
 
     rows = texts.mapInArrow(run, COUNTED)
-    sums = rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.max("proposed").alias("proposed"))
-    return sums.where((F.col("k") == 0) | (F.col("n") >= least))
+    sums = rows.groupBy("h", "phrase").agg(F.sum("n").alias("n"))
+    return sums.where((F.col("n") >= least) | F.col("phrase").endswith(SPLIT.decode()))
 
 
 def marked(bitmap: np.ndarray, found: DataFrame) -> np.ndarray:
-    """A copy of `bitmap` with the bits of the phrases of `found`; at most one row per word of it reaches the driver."""
-    mask = np.uint64((len(bitmap) << 6) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [phrase_hash(p, lang) for lang, p in zip(values(batch, "lang"), values(batch, "phrase"), strict=True)]
-            bit = np.array(hashes, np.uint64) & mask
-            one = (np.uint64(1) << (bit & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array(one)], names=["at", "bits"])
-
-    rows = found.select("lang", "phrase").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    """A copy of `bitmap` with the bits of the hashes `h` of `found`; at most one row per word of it reaches the driver."""
+    bit = F.col("h").bitwiseAND(F.lit((len(bitmap) << 6) - 1))
+    one = F.expr("shiftleft(1L, cast(_bit & 63 as int))")
+    rows = found.select(bit.alias("_bit")).select(F.shiftright("_bit", 6).cast("int").alias("at"), one.alias("bits"))
+    rows = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = bitmap.copy()
     if rows.num_rows:
         out[rows["at"].to_numpy()] |= rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
@@ -195,29 +222,41 @@ def frequent_phrases(
     k = 0 with the empty phrase has the number of all words of a language. Phrases are words joined by
     a space; they lie within a piece, and occurrences may overlap. Null texts are empty, null languages
     `und`; repeated rows count each; without words there are no rows. A long text is held whole by one
-    task. The sample is chosen by a hash of the text; a poor one costs passes, never counts.
+    task. The sample is drawn row by row by a hash; a poor one costs passes, never counts.
     """
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    none = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
     # Copies have one hash and would come together or not at all, so rows are drawn one by one.
     drawn = staged(texts.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(sample)) == 0), "sample")
-    proposed = none
-    for k in range(1, LONGEST):
-        proposed = marked(proposed, counted(drawn, sample_least, proposed, None, (k,)))
+    send = docs.sparkSession.sparkContext.broadcast
+    proposed, old = send(np.zeros(max(1, (1 << bits) >> 6), np.uint64)), None
+
+    def proposed_too(found: DataFrame) -> tuple[Broadcast, Broadcast]:
+        """The next bitmap and the present one; the one before is not needed any more."""
+        following = send(marked(proposed.value, found))
+        if old is not None:
+            old.unpersist()
+        return following, proposed
+
+    for _ in range(LONGEST):
+        # Each round reaches phrases of one word more.
+        proposed, old = proposed_too(counted(drawn, sample_least, proposed, old, by_text=False))
     emptied(drawn)
     old, parts = None, []
     while True:
-        levels = tuple(range(0 if old is None else 2, LONGEST + 1))
-        part = staged(counted(texts, least, proposed, old, levels), "counted")
-        parts.append(part)
-        failed = part.where(~F.col("proposed") & (F.col("k") < LONGEST))
+        part = staged(counted(texts, least, proposed, old), "counted")
+        parts.append(part.where("phrase is not null"))
+        failed = part.where("phrase is null")
         if failed.isEmpty():
             break
-        old, proposed = proposed, marked(proposed, failed)
+        proposed, old = proposed_too(failed)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.drop("proposed")
+    # A tab is never part of a word, so the last one ends the language.
+    words = F.substring_index("phrase", SPLIT.decode(), -1)
+    out = out.select(F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\t', -1)) - 1)").alias("lang"), words.alias("phrase"), "n")
+    size = F.when(F.col("phrase") == "", F.lit(0)).otherwise(F.size(F.split("phrase", " ")))
+    return out.select("lang", size.alias("k"), "phrase", "n")
 
 
 def _big(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from llm.common import table
-from llm.phrases import ORACLE, count_phrases, frequent_phrases, marked, phrase_hash, pieces, scored, top_phrases
+from llm.phrases import ORACLE, count_phrases, frequent_phrases, marked, pieces, split_words, scored, top_phrases
 
 
 def parts(text):
@@ -96,26 +96,46 @@ def test_products_beyond_64_bits(spark):
     assert out["a b"] == 2000000 * big // (3 * big + 1)
 
 
-def test_hashes_agree(spark):
-    text = pieces("One two, two three four two three".encode())
-    bitmap = np.zeros(1 << 10, np.uint64)
-    full = ~bitmap
-    for k, names, _, _ in count_phrases(text, "en", full, None, (1, 2, 3, 4)):
-        phrases = [n.decode() for n in names.to_pylist() if n != b"\xff"]
-        df = spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string")
-        bitmap = marked(bitmap, df)
-        for p in phrases:
-            h = phrase_hash(p, "en") & ((1 << 16) - 1)
-            assert int(bitmap[h >> 6]) >> (h & 63) & 1
-        assert k == 1 or all(ok for j, _, _, flags in count_phrases(text, "en", bitmap, None, (k,)) for ok in flags)
+def test_words_and_pieces():
+    for texts in ([b""], [b" \t"], [b"A b,C\td", b"", b"e.f "], [".é x\xa0y ".encode(), b"z" * 3000]):
+        words, piece = split_words(pieces(texts))
+        want = [[w for w in p.split() if w] for p in pieces(texts).replace(b"\x1c", b"?").split(b"\xff")]
+        assert words.to_pylist() == [w for p in want for w in p]
+        assert piece.tolist() == [i for i, p in enumerate(want) for _ in p]
+
+
+def told(out):
+    """Phrases by text and number of hashes, of what `count_phrases` gives."""
+    by_text, hashes = {}, 0
+    for _, names, n in out:
+        for name, m in zip(names.to_pylist(), n.tolist()):
+            hashes += name is None
+            if name is not None:
+                by_text[name.decode()] = m
+    return by_text, hashes
+
+
+def test_marked_phrases_are_told_by_text(spark):
+    text = pieces([b"One two, two three", b"four two three", b""])
+    none = np.zeros(1 << 10, np.uint64)
+    by_text, hashes = told(count_phrases(text, "en", none, None))
+    assert by_text == {"en\t": 7} and hashes == 4
+    bitmap, old = none, None
+    for _ in range(4):
+        rows = [(int(x),) for h, _, _ in count_phrases(text, "en", bitmap, old, by_text=False) for x in h.view(np.int64)]
+        old, bitmap = bitmap, marked(bitmap, spark.createDataFrame(rows, "h long"))
+    by_text, hashes = told(count_phrases(text, "en", bitmap, None))
+    assert hashes == 0 and by_text["en\ttwo three"] == 2 and by_text["en\tfour two three"] == 1 and "en\tthree four" not in by_text and "en\ttwo two" not in by_text
 
 
 def test_a_later_pass_counts_only_what_is_new():
-    text = pieces(b"a b c d a b c d")
+    text = pieces([b"a b c d a b c d"])
     none, full = np.zeros(1 << 10, np.uint64), ~np.zeros(1 << 10, np.uint64)
-    assert list(count_phrases(text, "en", full, full, (2, 3, 4))) == []
-    assert [k for k, *_ in count_phrases(text, "en", none, None, (0, 1, 2, 3, 4))] == [0, 1]
-    assert [k for k, *_ in count_phrases(text, "en", full, none, (2, 3, 4))] == [2, 3, 4]
+    assert told(count_phrases(text, "en", full, full)) == ({}, 0)
+    assert told(count_phrases(text, "en", none, none)) == ({}, 0)
+    assert told(count_phrases(text, "en", none, None)) == ({"en\t": 8}, 4)
+    by_text, hashes = told(count_phrases(text, "en", full, none))
+    assert hashes == 0 and len(by_text) == 16 and by_text["en\ta b c d"] == 2 and "en\t" not in by_text
 
 
 def test_as_sql(spark, folder):
