@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("votes", "period", "money", "social", "places", "search", "audit", "composites")
+MODULES = ("votes", "period", "money", "social", "places", "search", "audit", "composites", "files")
 
 
 def _collect(attribute: str) -> dict:
@@ -24,5 +24,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Query name to the equivalent SQL text; statistical resampling has none."""
+    """Query name to the equivalent SQL text."""
     return _collect("ORACLE")

@@ -50,32 +50,33 @@ def concentration(
     """AGG-11. HHI between units, effective number, dominance and the G index, in one aggregate.
 
     The sums of squares are expanded (`Σ(s-x)² = Σs² - 2Σsx + Σx²`), so nothing is joined back to
-    the rows and map-side combine does most of the work. With `electorate` the table may leave out
-    the zero rows: the `Σx²` part then comes from the electorate, once for all entities.
+    the rows and map-side combine does most of the work. Counts are whole numbers, so their squares
+    are summed exactly and the difference is taken before anything is rounded: nearly equal shares
+    lose no digits. With `electorate` the table may leave out the zero rows: the `Σx²` part then
+    comes from the electorate, once for all entities.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     require_columns(table, [*keys, "votos", "aptos", "validos"], "concentration")
-    v, a = F.col("votos").cast("double"), F.col("aptos").cast("double")
+    kinds = dict(table.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in ("votos", "aptos"))
+    v, a = F.col("votos"), F.col("aptos")
+    squares = _exact_sums if whole else _double_sums
+    share = v.cast("double") * F.coalesce(ratio(v, F.col("validos")), F.lit(0.0))
     sums = table.groupBy(*keys).agg(
-        F.sum("votos").alias("votos"),
-        F.sum(v * v).alias("_vv"),
-        F.sum(v * F.coalesce(ratio(v, F.col("validos")), F.lit(0.0))).alias("_vf"),
-        F.sum(v * a).alias("_va"),
-        F.sum(a).alias("_a"),
-        F.sum(a * a).alias("_aa"),
-    )
+        F.sum("votos").alias("votos"), F.sum(share).alias("_vf"), F.sum(a).alias("_a"),
+        *squares(_vv=(v, v), _va=(v, a), _aa=(a, a)),
+    )
     if electorate is not None:
-        whole = electorate.agg(F.struct(F.sum(a).alias("a"), F.sum(a * a).alias("aa")).alias("t"))
-        sums = (
-            sums.withColumn("_t", whole.scalar())
-            .withColumns({"_a": F.col("_t.a"), "_aa": F.col("_t.aa")})
-            .drop("_t")
-        )
+        names = ["_a", "_aa"] + (["_aa_low"] if whole else [])
+        total = electorate.agg(F.sum(a).alias("_a"), *squares(_aa=(a, a)))
+        sums = sums.drop(*names).withColumn("_t", total.select(F.struct(*names).alias("t")).scalar())
+        sums = sums.select(*sums.columns, "_t.*").drop("_t")
     total = F.col("votos").cast("double")
-    hhi = ratio(F.col("_vv"), total * total)
-    spread = hhi - 2 * ratio(F.col("_va"), total * F.col("_a")) + ratio(
-        F.col("_aa"), F.col("_a") * F.col("_a")
-    )
+    vv, va, aa = (_double_of(c, whole) for c in ("_vv", "_va", "_aa"))
+    hhi = ratio(vv, total * total)
+    spread = hhi - 2 * ratio(va, total * F.col("_a")) + ratio(aa, F.col("_a") * F.col("_a").cast("double"))
+    if whole:
+        spread = F.coalesce(_exact_spread(), spread)
     return sums.select(
         *keys,
         "votos",
@@ -86,6 +87,42 @@ def concentration(
     )
 
 
+def _double_sums(**products: tuple[Column, Column]) -> list[Column]:
+    return [F.sum(x.cast("double") * y.cast("double")).alias(name) for name, (x, y) in products.items()]
+
+
+def _exact_sums(**products: tuple[Column, Column]) -> list[Column]:
+    """Sums of products of counts as two whole numbers each: the upper bits and, as `<name>_low`, the lower 32."""
+    out = []
+    for name, (x, y) in products.items():
+        p = x.cast("bigint") * y.cast("bigint")
+        out += [F.sum(F.shiftright(p, 32)).alias(name), F.sum(p.bitwiseAND(F.lit((1 << 32) - 1))).alias(f"{name}_low")]
+    return out
+
+
+def _decimal_of(name: str) -> Column:
+    return F.expr(f"cast({name} as decimal(20,0)) * cast(4294967296 as decimal(10,0)) + cast({name}_low as decimal(20,0))")
+
+
+def _double_of(name: str, whole: bool) -> Column:
+    return _decimal_of(name).cast("double") if whole else F.col(name)
+
+
+def _exact_spread() -> Column:
+    """`(A²Σv² - 2VAΣva + V²Σa²) / (VA)²` in whole numbers; null where they pass 38 digits or a total is zero."""
+
+    def times(x: str, y: str, sums: str) -> str:
+        pair = f"try_multiply(cast({x} as decimal(38,0)), cast({y} as decimal(38,0)))"
+        wide = f"cast(cast({sums} as decimal(20,0)) * cast(4294967296 as decimal(10,0)) + cast({sums}_low as decimal(20,0)) as decimal(38,0))"
+        return f"try_multiply({pair}, {wide})"
+
+    both = f"try_add({times('_a', '_a', '_vv')}, {times('votos', 'votos', '_aa')})"
+    cross = f"try_multiply(cast(2 as decimal(38,0)), {times('votos', '_a', '_va')})"
+    top = F.expr(f"cast(try_subtract({both}, {cross}) as double)")
+    under = F.col("votos").cast("double") * F.col("_a").cast("double")
+    return top / F.nullif(under * under, F.lit(0.0))
+
+
 def largest_units_share(
     table: DataFrame,
     entity: str | Sequence[str] = "sq_candidato",

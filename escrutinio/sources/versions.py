@@ -22,14 +22,15 @@ VERSION = "versao"
 ATTEMPTS = 50
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path as it takes it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _numbers(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the manifests, newest first."""
-    files, place = _path(spark, f"{root}/{FOLDER}")
+    files, place = file_system(spark, f"{root}/{FOLDER}")
     if not files.exists(place):
         return []
     names = [s.getPath().getName() for s in files.listStatus(place)]
@@ -38,7 +39,7 @@ def _numbers(spark: SparkSession, root: str) -> list[int]:
 
 def _load(spark: SparkSession, root: str, number: int) -> dict[str, str] | None:
     """Partition to folder, or nothing while the manifest is incomplete."""
-    files, place = _path(spark, f"{root}/{FOLDER}/{number}")
+    files, place = file_system(spark, f"{root}/{FOLDER}/{number}")
     stream = files.open(place)
     try:
         text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -67,7 +68,7 @@ def commit(spark: SparkSession, root: str, written: dict[str, str]) -> int:
     for _ in range(ATTEMPTS):
         latest = max(_numbers(spark, root), default=0)
         body = json.dumps({**state(spark, root)[1], **written}, sort_keys=True)
-        files, place = _path(spark, f"{root}/{FOLDER}/{latest + 1}")
+        files, place = file_system(spark, f"{root}/{FOLDER}/{latest + 1}")
         try:
             out = files.create(place, False)
         except Py4JJavaError as taken:
@@ -99,7 +100,7 @@ def unused(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     named: set[str] = set()
     for n in _numbers(spark, root)[:keep]:
         named |= set((_load(spark, root, n) or {}).values())
-    files, place = _path(spark, root)
+    files, place = file_system(spark, root)
     found, waiting = [], [place]
     prefix = files.makeQualified(place).toString().rstrip("/") + "/"
     while waiting:

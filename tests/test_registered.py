@@ -37,7 +37,7 @@ def table(columns, data):
 
 
 # Queries whose draws run jobs while their plan is built.
-EAGER = {"correlation_bootstrap", "social_correlations", "moran_global_p", "moran_local_p"}
+EAGER = {"published_years", "ingested_log", "correlation_bootstrap", "social_correlations", "moran_global_p", "moran_local_p"}
 
 
 def test_every_query_has_sql():

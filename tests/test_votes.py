@@ -300,3 +300,28 @@ def test_distinct_draws_are_uniform_subsets(spark):
     assert df.filter(F.size(F.array_distinct("d")) != 3).count() == 0
     share = df.select(F.explode("d").alias("x")).groupBy("x").count().collect()
     assert len(share) == 5 and all(abs(r["count"] / 3000 - 0.6) < 0.05 for r in share)
+
+
+def test_nearly_equal_shares_keep_their_digits(frame):
+    from fractions import Fraction
+
+    electors = [10**9 + 7, 2 * 10**9 + 11, 3 * 10**9 + 1, 10**9]
+    data = [(1, i, e // 10 + (3 if i == 0 else 0), e, e) for i, e in enumerate(electors)]
+    got = rows(spatial.concentration(frame(data, "sq_candidato int, cd_mun_ibge int, votos bigint, aptos bigint, validos bigint")))[0]
+    v, a = sum(d[2] for d in data), sum(electors)
+    exact = sum((Fraction(d[2], v) - Fraction(d[3], a)) ** 2 for d in data)
+    assert 0 < exact < Fraction(1, 10**16)
+    assert got["indice_g"] == pytest.approx(float(exact), rel=1e-9)
+    assert got["hhi"] == pytest.approx(float(sum(Fraction(d[2], v) ** 2 for d in data)), rel=1e-14)
+
+
+def test_concentration_of_fractions_and_of_totals_beyond_the_exact_range(frame):
+    kind = "sq_candidato int, cd_mun_ibge int, votos {0}, aptos {0}, validos {0}"
+    small = [(1, 1, 5, 10, 9), (1, 2, 1, 30, 20)]
+    a = rows(spatial.concentration(frame(small, kind.format("bigint"))))[0]
+    b = rows(spatial.concentration(frame([(c, u, *map(float, x)) for c, u, *x in small], kind.format("double"))))[0]
+    scaled = [(c, u, *(k * 10**8 for k in x)) for c, u, *x in small] + [(1, 3 + i, 2 * 10**9, 2 * 10**9, 2 * 10**9) for i in range(50)]
+    big = rows(spatial.concentration(frame(scaled, kind.format("bigint"))))[0]
+    assert b["indice_g"] == near(a["indice_g"]) == near((5 / 6 - 0.25) ** 2 + (1 / 6 - 0.75) ** 2)
+    v, e = sum(r[2] for r in scaled), sum(r[3] for r in scaled)
+    assert big["indice_g"] == pytest.approx(sum((r[2] / v - r[3] / e) ** 2 for r in scaled), rel=1e-6)
