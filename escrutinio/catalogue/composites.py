@@ -45,8 +45,8 @@ def _list_inputs(spark, d):
         F.when(k % 11 == 0, "BR").otherwise(F.col("sg_uf")).alias("sg_uf"), "nr_partido",
         "ds_situacao_candidatura", "ds_sit_tot_turno", (k % 13 != 0).alias("foi_as_urnas"),
     )
-    # Votes and electorate share one shuffled aggregate of the year.
-    base = counted(spark, d, "ano", "sq_candidato", "sg_uf", "cd_mun_ibge", "nr_zona").filter(F.col("ano") == 1997)
+    # One election of all the rows; votes and electorate share one shuffled aggregate.
+    base = counted(spark, d, "sq_candidato", "sg_uf", "cd_mun_ibge", "nr_zona").withColumn("ano", F.lit(1997))
     v = base.select("ano", "sq_candidato", "sg_uf", "cd_mun_ibge", "nr_zona", F.col("validos").alias("votos"))
     e = (
         base.groupBy("ano", "sg_uf", F.lit("DEPUTADO FEDERAL").alias("ds_cargo"), "cd_mun_ibge", "nr_zona")
@@ -111,9 +111,17 @@ def municipality_summary(spark, d):
     return rounded(lists.municipality_summary(c, membership, v, e, mun))
 
 
+def _side_members(spark, d):
+    """The candidacies a map shows: those of some parties."""
+    return candidates(spark, d).filter(F.col("nr_partido").between(2, 12)).select("sq_candidato")
+
+
+MAP_MEMBERS = "sq_candidato IN (SELECT s_suppkey FROM supplier WHERE s_nationkey BETWEEN 2 AND 12)"
+
+
 def _map_inputs(spark, d, *unit):
     rows = ballots(spark, d)
-    v = rows.filter((F.col("sq_candidato") % 6 == 2) & (F.col("nr_zona") != 3)).groupBy(*unit).agg(
+    v = rows.join(_side_members(spark, d), "sq_candidato", "left_semi").groupBy(*unit).agg(
         F.sum("qt_votos_nominais_validos").alias("votos")
     )
     b = rows.filter(F.col("cd_mun_ibge") != 24).groupBy(*unit).agg(
@@ -142,7 +150,7 @@ def map_common_breaks(spark, d):
 
     def one(year):
         r = rows.filter(F.col("ano") == year)
-        v = r.filter(F.col("sq_candidato") % 3 == 1).groupBy(*unit).agg(F.sum("qt_votos_nominais_validos").alias("votos"))
+        v = r.join(_side_members(spark, d), "sq_candidato", "left_semi").groupBy(*unit).agg(F.sum("qt_votos_nominais_validos").alias("votos"))
         b = r.groupBy(*unit).agg(F.sum("qt_votos_nominais").alias("aptos"), F.sum("qt_votos_nominais_validos").alias("validos"))
         return maps.map_values(v, b, unit)
 
@@ -327,14 +335,14 @@ LISTED = (
     + """, lista AS (SELECT sq_candidato, nm_urna, CASE WHEN sq_candidato % 11 = 0 THEN 'BR' ELSE sg_uf END AS sg_uf, nr_partido,
   CASE WHEN ds_situacao_candidatura IS NULL AND sq_candidato % 13 = 0 THEN 'Não foi às urnas' ELSE ds_situacao_candidatura END AS situacao,
   sq_candidato % 13 <> 0 AS urnas FROM candidatos),
-v97 AS (SELECT * FROM votacao WHERE ano = 1997),
+v97 AS (SELECT * FROM votacao),
 bases AS (SELECT sg_uf, CAST(sum(qt) AS BIGINT) AS aptos, CAST(sum(CASE WHEN flag = 'N' THEN qt ELSE 0 END) AS BIGINT) AS validos FROM v97 GROUP BY ALL
   UNION ALL SELECT 'BR', CAST(sum(qt) AS BIGINT), CAST(sum(CASE WHEN flag = 'N' THEN qt ELSE 0 END) AS BIGINT) FROM v97)
 """
 )
 
 
-def _map_sql(keys: str, year: str = "true", cand: str = "sq_candidato % 6 = 2 AND nr_zona <> 3", base: str = "cd_mun_ibge <> 24") -> str:
+def _map_sql(keys: str, year: str = "true", cand: str = MAP_MEMBERS, base: str = "cd_mun_ibge <> 24") -> str:
     return f"""(SELECT {keys}, CAST(sum(CASE WHEN flag = 'N' AND {cand} THEN qt ELSE 0 END) AS BIGINT) AS votos,
       CAST(sum(CASE WHEN {base} THEN qt ELSE 0 END) AS BIGINT) AS aptos,
       CAST(sum(CASE WHEN {base} AND flag = 'N' THEN qt ELSE 0 END) AS BIGINT) AS validos FROM votacao
@@ -480,13 +488,13 @@ ORACLE = {
     "map_values_zone": _map_out("cd_mun_ibge, nr_zona"),
     "map_off": with_sql(
         BALLOTS,
-        """SELECT CAST(sum(qt) AS BIGINT) AS votos_fora_do_mapa FROM votacao WHERE flag = 'N' AND sq_candidato % 6 = 2 AND nr_zona <> 3 AND cd_mun_ibge % 3 = 0""",
+        f"""SELECT CAST(sum(qt) AS BIGINT) AS votos_fora_do_mapa FROM votacao WHERE flag = 'N' AND {MAP_MEMBERS} AND cd_mun_ibge % 3 = 0""",
     ),
     "map_common_breaks": with_sql(
         BALLOTS
         + ", m AS ("
         + " UNION ALL ".join(
-            f"SELECT *, {y} AS ano FROM {_map_sql('cd_mun_ibge, nr_zona', f'ano = {y}', 'sq_candidato % 3 = 1', 'true')}"
+            f"SELECT *, {y} AS ano FROM {_map_sql('cd_mun_ibge, nr_zona', f'ano = {y}', MAP_MEMBERS, 'true')}"
             for y in (YEAR_BEFORE, YEAR_AFTER)
         )
         + """), w AS (SELECT *, sum(votos) OVER p::DOUBLE / sum(aptos) OVER p AS r FROM m WINDOW p AS (PARTITION BY ano)),
