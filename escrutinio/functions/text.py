@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+LATIN_END = "\u0250"  # letters below it are told from their folding by a short table
 HANGUL = range(0xAC00, 0xD7A4)  # composed by rule; such syllables stay as they are
 OPEN, CLOSE = "\u0001", "\u0002"  # around entries of the table of longer replacements
 
@@ -41,9 +43,15 @@ def _decompositions(form: str) -> tuple[str, str, str]:
 def strip_accents(text: Column, form: str = "NFD") -> Column:
     """Letters without marks; form NFKD also folds compatibility characters (`2º` becomes `2o`)."""
     source, target, longer = _decompositions(form)
+    # Nearly all labels hold European letters alone: a short table does for them, and no marks occur.
+    short = [(s, t) for s, t in zip(source, target, strict=True) if s < LATIN_END]
+    long_entries = [e for e in longer[1:].split(OPEN) if e]
+    near = "".join(re.escape(e[0]) for e in long_entries if e[0] < LATIN_END)
+    beyond = text.rlike(rf"[^\x00-\u024F{'' if not near else ']|['}{near}]")
+    simple = F.translate(text, "".join(s for s, _ in short), "".join(t for _, t in short))
     plain = F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
     if not longer:
-        return plain
+        return F.when(beyond, plain).otherwise(simple)
     table = F.lit(longer)
 
     def unfolded(char: Column) -> Column:
@@ -52,10 +60,11 @@ def strip_accents(text: Column, form: str = "NFD") -> Column:
         entry = F.call_function("substring_index", after, F.lit(CLOSE), F.lit(1))
         return F.when(F.contains(table, key), entry).otherwise(char)
 
-    # Few texts hold a character outside the blocks of European letters; only they are taken apart.
-    near = "".join(c for c in [entry[0] for entry in longer[1:].split(OPEN)] if c < "\u0250" or "\u1e00" <= c < "\u1f00")
-    rare = plain.rlike(rf"[^\x00-\u024F\u1E00-\u1EFF]|[{near}]")
-    return F.when(rare, F.array_join(F.transform(F.split(plain, ""), unfolded), "")).otherwise(plain)
+    # Few texts hold a character that folds to several; only they are taken apart.
+    known = "".join(e[0] for e in long_entries if "\u1e00" <= e[0] < "\u1f00") + near
+    rare = plain.rlike(rf"[^\x00-\u024F\u1E00-\u1EFF]|[{known}]")
+    whole = F.when(rare, F.array_join(F.transform(F.split(plain, ""), unfolded), "")).otherwise(plain)
+    return F.when(beyond, whole).otherwise(simple)
 
 
 def collapse_spaces(text: Column) -> Column:

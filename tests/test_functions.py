@@ -186,3 +186,14 @@ def test_normalisation_covers_the_character_set(spark):
         for r in df.select("t", text.strip_accents(F.col("t"), form).alias("s")).collect():
             want = "".join(c for c in unicodedata.normalize(form, r.t) if unicodedata.category(c)[0] != "M")
             assert r.s == want
+
+
+@pytest.mark.parametrize("form", ["NFD", "NFKD"])
+def test_folding_of_every_character(spark, form):
+    import unicodedata
+
+    codes = [c for c in [*range(0x20, 0x600), *range(0x1E00, 0x2100), *range(0xFB00, 0xFB07)] if unicodedata.category(chr(c))[0] not in "CM"]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b", chr(c)) for c in codes], "k int, inside string, alone string")
+    for r in df.select("k", text.strip_accents(F.col("inside"), form).alias("i"), text.strip_accents(F.col("alone"), form).alias("a")).collect():
+        bare = "".join(c for c in unicodedata.normalize(form, chr(r.k)) if unicodedata.category(c)[0] != "M")
+        assert (r.i, r.a) == (f"a{bare}b", bare), hex(r.k)
