@@ -294,8 +294,7 @@ def geography(spark, d):
 
 
 def profile_reasons(spark, d):
-    out = _profiles(spark, d).select(F.explode("motivos").alias("campo", "motivo"))
-    return out.groupBy("campo", "motivo").agg(F.count(F.lit(1)).alias("n"))
+    return _profiles(spark, d).select("sq_candidato", F.explode("motivos").alias("campo", "motivo"))
 
 
 def reference_medians(spark, d):
@@ -600,12 +599,12 @@ ORACLE = {
     "profile_reasons": with_sql(
         PROFILE_SQL,
         f""", m AS (SELECT unnest(['custo_voto_pago', 'receita_total', 'receita_por_voto', 'pct_publico', 'pct_pessoa_fisica', 'pct_autofinanciamento']) AS campo, perfil.* FROM perfil),
-        x AS (SELECT campo, CASE WHEN NOT contas THEN '{references.NO_ACCOUNTS}'
+        x AS (SELECT sq_candidato, campo, CASE WHEN NOT contas THEN '{references.NO_ACCOUNTS}'
           WHEN campo = 'custo_voto_pago' AND (despesa_paga IS NULL OR vca = 0) THEN CASE WHEN votos = 0 THEN '{references.NO_VOTES}' ELSE '{references.NO_EXPENSE}' END
           WHEN campo <> 'custo_voto_pago' AND receita IS NULL THEN '{references.NO_REVENUE}'
           WHEN campo = 'receita_por_voto' AND vca = 0 THEN '{references.ZERO_REVENUE}' END AS motivo FROM m
-          UNION ALL SELECT unnest(['pct_maiores', 'hhi', 'n_efetivo_municipios']), CASE WHEN hhi IS NULL THEN '{references.NO_UNITS}' END FROM perfil)
-        SELECT campo, motivo, count(*) AS n FROM x WHERE motivo IS NOT NULL GROUP BY ALL""",
+          UNION ALL SELECT sq_candidato, unnest(['pct_maiores', 'hhi', 'n_efetivo_municipios']), CASE WHEN hhi IS NULL THEN '{references.NO_UNITS}' END FROM perfil)
+        SELECT sq_candidato, campo, motivo FROM x WHERE motivo IS NOT NULL""",
     ),
     "reference_medians": with_sql(
         PROFILE_SQL,

@@ -194,7 +194,7 @@ def movement_filter(spark, d):
             "vr_receita": F.when(F.col("sq_candidato") % 4 == 0, 0.0).otherwise(F.col("vr_receita")),
         }
     )
-    return catalog.revenue_view(rows).groupBy("ano").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(catalog.revenue_view(rows).select("ano", "sq_candidato", "vr_receita"), 2)
 
 
 def price_index(spark, d):
@@ -417,8 +417,9 @@ ORACLE = {
         round(coalesce(c.v, 0), 2) + 0.0 AS vr_despesa_contratada, round(coalesce(p.v, 0), 2) + 0.0 AS vr_despesa_paga
         FROM c FULL JOIN p ON c.ano = p.ano AND c.sq_candidato = p.sq_candidato AND c.o IS NOT DISTINCT FROM p.o""",
     ),
-    "movement_filter": """SELECT CAST(year(o_orderdate) AS INTEGER) AS ano, count(*) AS n FROM orders
-        WHERE NOT (o_custkey % 6 = 0 AND (o_custkey % 4 = 0 OR o_totalprice = 0)) GROUP BY 1""",
+    "movement_filter": """SELECT CAST(year(o_orderdate) AS INTEGER) AS ano, o_custkey AS sq_candidato,
+        CASE WHEN o_custkey % 4 = 0 THEN 0.0::DOUBLE ELSE round(o_totalprice, 2) + 0.0 END AS vr_receita FROM orders
+        WHERE NOT (o_custkey % 6 = 0 AND (o_custkey % 4 = 0 OR o_totalprice = 0))""",
     "price_index": with_sql(
         PRICES,
         """SELECT mes, round(variacao, 6) + 0.0 AS variacao,

@@ -44,13 +44,7 @@ def _sections(spark, d):
 
 def coordinate_cleaning(spark, d):
     out = pl.clean_coordinates(_sections(spark, d))
-    return rounded(
-        out.groupBy("sg_uf").agg(
-            F.count(F.lit(1)).alias("n"), F.count("nr_latitude").alias("com_lat"),
-            F.count("nr_longitude").alias("com_lon"), F.sum("nr_latitude").alias("soma_lat"),
-        ),
-        3,
-    )
+    return rounded(out.select("sg_uf", "cd_mun_ibge", "nr_zona", "nr_latitude", "nr_longitude"))
 
 
 def suspicious_places(spark, d):
@@ -294,7 +288,7 @@ MORAN = (
 ORACLE = {
     "coordinate_cleaning": with_sql(
         SECTIONS,
-        """SELECT sg_uf, count(*) AS n, count(lat) AS com_lat, count(lon) AS com_lon, round(sum(lat), 3) + 0.0 AS soma_lat FROM limpas GROUP BY ALL""",
+        "SELECT sg_uf, cd_mun_ibge, nr_zona, round(lat, 6) + 0.0 AS nr_latitude, round(lon, 6) + 0.0 AS nr_longitude FROM limpas",
     ),
     "suspicious_places": with_sql(
         SECTIONS,

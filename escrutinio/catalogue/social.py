@@ -48,7 +48,7 @@ def renamed_accounts(spark, d):
         .distinct().withColumn("username_atual", F.regexp_replace("username_tse", "b$", "a"))
     )
     out = so.rename_accounts(profiles(spark, d), renames)
-    return out.groupBy("username").agg(F.count(F.lit(1)).alias("n"), F.max("followers_count").alias("maximo"))
+    return out.select("username", "coletado_em", "followers_count")
 
 
 def analysed_account(spark, d):
@@ -108,9 +108,7 @@ def log_residual(spark, d):
 
 def expected_class(spark, d):
     fit = st.log_residual(_pairs(spark, d))
-    return fit.groupBy("cd_cargo", st.expected_class(F.col("razao_obs_esperado")).alias("classe")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return fit.select("sq_candidato", "cd_cargo", st.expected_class(F.col("razao_obs_esperado")).alias("classe"))
 
 
 def _pairs(spark, d):
@@ -152,9 +150,7 @@ def social_overview(spark, d):
     out = networks.social_overview(
         declared_accounts(spark, d), profiles(spark, d), posts(spark, d), social_votes(spark, d), periods=PERIODS
     )
-    return out.groupBy("status", "classe_esperado").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("votos").alias("votos"), F.sum("seguidores").alias("seguidores")
-    )
+    return out.select("sq_candidato", "status", "classe_esperado", "votos", "seguidores")
 
 
 def profiles_of_candidates(spark, d):
@@ -383,7 +379,7 @@ ORACLE = {
     ),
     "renamed_accounts": with_sql(
         PROFILES,
-        "SELECT regexp_replace(username, 'b$', 'a') AS username, count(*) AS n, max(followers_count) AS maximo FROM perfis GROUP BY 1",
+        "SELECT regexp_replace(username, 'b$', 'a') AS username, coletado_em, followers_count FROM perfis",
     ),
     "analysed_account": with_sql(ANALYSED, "SELECT * FROM analisada"),
     "posts_deduplicated": with_sql(POSTS, "SELECT * FROM posts"),
@@ -446,8 +442,7 @@ ORACLE = {
     ),
     "expected_class": with_sql(
         PAIRS + FIT,
-        """SELECT cd_cargo, CASE WHEN razao_obs_esperado >= 1.5 THEN 'acima' WHEN razao_obs_esperado <= 1 / 1.5 THEN 'abaixo' ELSE 'neutro' END AS classe,
-        count(*) AS n FROM residuo GROUP BY ALL""",
+        """SELECT sq_candidato, cd_cargo, CASE WHEN razao_obs_esperado >= 1.5 THEN 'acima' WHEN razao_obs_esperado <= 1 / 1.5 THEN 'abaixo' ELSE 'neutro' END AS classe FROM residuo""",
     ),
     "correlation": with_sql(
         PAIRS,
@@ -460,10 +455,10 @@ ORACLE = {
     ),
     "social_overview": with_sql(
         SUMMARY + ", base AS (SELECT sq_candidato, cd_cargo, votos, seguidores FROM resumo)" + FIT + DECLARED,
-        """SELECT CASE WHEN r.username IS NULL AND r.sq_candidato IN (SELECT sq_candidato FROM declaradas) THEN 'nao_coletado' ELSE r.status END AS status,
+        """SELECT r.sq_candidato, CASE WHEN r.username IS NULL AND r.sq_candidato IN (SELECT sq_candidato FROM declaradas) THEN 'nao_coletado' ELSE r.status END AS status,
         CASE WHEN x.razao_obs_esperado >= 1.5 THEN 'acima' WHEN x.razao_obs_esperado <= 1 / 1.5 THEN 'abaixo' ELSE 'neutro' END AS classe_esperado,
-        count(*) AS n, CAST(sum(r.votos) AS BIGINT) AS votos, CAST(sum(r.seguidores) AS BIGINT) AS seguidores
-        FROM resumo r JOIN residuo x USING (sq_candidato) GROUP BY ALL""",
+        r.votos, r.seguidores
+        FROM resumo r JOIN residuo x USING (sq_candidato)""",
     ),
     "profiles_of_candidates": with_sql(
         ANALYSED + DECLARED,
