@@ -37,6 +37,8 @@ BITS = 25
 # Bytes of text a task counts at a time.
 HELD_BYTES = 2_000_000
 TOP = 2000
+# Parts a language is ranked in before its first phrases meet.
+PARTS = 256
 COVERED = 80
 UNKNOWN = "und"
 
@@ -268,7 +270,7 @@ def _part(first: int, n: int) -> Column:
 
 
 def scored(found: DataFrame, covered: int = COVERED) -> DataFrame:
-    """(lang, k, phrase, a, l, r, n, score) of the phrases of two to four words that no longer one covers.
+    """(lang, k, phrase, a, l, r, score) of the phrases of two to four words that no longer one covers.
 
     A phrase is cut where it scores least, at the first such cut. One is covered when a longer phrase
     that contains its words has at least `covered` percent of its occurrences.
@@ -306,21 +308,26 @@ def scored(found: DataFrame, covered: int = COVERED) -> DataFrame:
         for c in range(1, LONGEST)
     ]
     best = pairs.withColumn("_best", F.array_min(F.filter(F.array(*choices), lambda s: s.isNotNull())))
-    totals = found.where("k = 0").select(F.col("lang").alias("_lang"), F.col("n").alias("_n"))
-    out = best.join(totals, F.col("lang") == F.col("_lang"))
-    return out.select("lang", "k", "phrase", "a", F.col("_best.l").alias("l"), F.col("_best.r").alias("r"), F.col("_n").alias("n"), F.col("_best.score").alias("score"))
+    return best.select("lang", "k", "phrase", "a", F.col("_best.l").alias("l"), F.col("_best.r").alias("r"), F.col("_best.score").alias("score"))
 
 
-def top_phrases(scores: DataFrame, top: int = TOP) -> DataFrame:
-    """The first phrases of each language by score, occurrences and text, with their rank from 1."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+def top_phrases(found: DataFrame, top: int = TOP, covered: int = COVERED) -> DataFrame:
+    """The first phrases of each language by score, occurrences and text, with their rank from 1 and all words `n`.
+
+    A language is ranked in parts first, and only the first of each part are ranked together; only
+    then do the phrases meet the totals. So no task sorts all phrases of a language.
+    """
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    parts = scored(found, covered).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    first = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    totals = found.where("k = 0").select(F.col("lang").alias("_lang"), "n")
+    out = ranked.join(totals, F.col("lang") == F.col("_lang"))
+    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_toivonen_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    found = frequent_phrases(table(spark, folder, "documents"))
-    return top_phrases(scored(found))
+    return top_phrases(frequent_phrases(table(spark, folder, "documents")))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -81,8 +81,8 @@ def test_scores_and_ranks(spark):
     found = brute(rows, 4)
     df = spark.createDataFrame(sorted(found), "lang string, k int, phrase string, n long")
     names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-    assert as_set(top_phrases(scored(df)), *names) == brute_scores(found)
-    assert as_set(top_phrases(scored(df, 30), 7), *names) == brute_scores(found, 30, 7)
+    assert as_set(top_phrases(df), *names) == brute_scores(found)
+    assert as_set(top_phrases(df, 7, 30), *names) == brute_scores(found, 30, 7)
 
 
 def test_products_beyond_64_bits(spark):
@@ -144,11 +144,21 @@ def test_as_sql(spark, folder):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
     want = con.execute(f"select {', '.join(names)} from ({ORACLE['op12_toivonen_phrases']})").fetchall()
-    assert want and as_set(top_phrases(scored(found)), *names) == set(want)
+    assert want and as_set(top_phrases(found), *names) == set(want)
+
+
+def test_the_ranking_is_cut_in_parts(spark, monkeypatch):
+    import llm.phrases as module
+
+    found = brute(corpus(5, 120), 4)
+    df = spark.createDataFrame(sorted(found), "lang string, k int, phrase string, n long")
+    for parts in (1, 3, 1000):
+        monkeypatch.setattr(module, "PARTS", parts)
+        assert as_set(top_phrases(df, 5), "lang", "rank", "phrase", "a", "l", "r", "n", "score") == brute_scores(found, top=5)
 
 
 def test_odd_rows(documents, nothing):
     rows = [(r.lang, r.text) for r in documents.collect()]
     assert as_set(frequent_phrases(documents, least=2), "lang", "k", "phrase", "n") == brute(rows, 2)
     empty = frequent_phrases(nothing)
-    assert empty.count() == 0 and top_phrases(scored(empty)).count() == 0
+    assert empty.count() == 0 and top_phrases(empty).count() == 0
