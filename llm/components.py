@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from llm.common import staged
@@ -10,9 +10,13 @@ from llm.common import staged
 MAX_ROUNDS = 60
 
 
-def _print(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.hash("v", "u").cast("decimal(20,0)")).alias("g")).first()
-    return r.n, r.h, r.g
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The links written, with their number and sums of their hashes, taken while they are written."""
+    seen = Observation()
+    sums = [F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.hash("v", "u").cast("long")).alias("g")]
+    out = staged(edges.observe(seen, *sums), label)
+    got = seen.get
+    return out, (got["n"], got["h"], got["g"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +27,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node that has very many. Links with a null end and loops are left out; nodes of loops alone are
     not listed.
     """
-    edges = staged(
+    edges, before = _written(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
     )
-    before = _print(edges)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
@@ -36,8 +39,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = staged(large.distinct(), "large")
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         small = large.join(least, large["u"] == least["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
-        after = _print(edges)
+        edges, after = _written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
         if after == before:
             break
         before = after

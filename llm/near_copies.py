@@ -6,6 +6,12 @@ members go to one child per picked position, named by their token there; 1 / thr
 average, so similar sets keep about one common node at every depth. Nodes small enough are compared
 exhaustively by sketches, larger ones branch on. What sketches join is confirmed on the full sets
 of the texts, skipping pairs that confirmed links already connect.
+
+A group of very many near copies shares its tokens and would be carried whole down every tree. So the
+members of large nodes are first compared in blocks that share a few representatives, and confirmed:
+that connects most of such a group in time linear in it. Pairs inside a component that is known need no
+comparison, so a node of one component is done, and in a node whose largest component leaves few other
+members, those are compared with each other and with it, and nothing branches on.
 """
 
 from __future__ import annotations
@@ -19,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import free_name, over_slices, staged, table, utf8, values
+from llm.common import emptied, free_name, over_slices, staged, table, utf8, values
 from llm.components import components
 
 SIGNATURE = 128
 TREES = 10
 # Members a node or group may have when it is compared exhaustively.
 NODE = 512
+# Members of a large node that all its blocks share.
+REPRESENTATIVES = 4
 DEPTH = 8
 # Sketches let a pair pass from so many standard deviations below the threshold: of pairs at the
 # threshold, about one in 30,000 is missed.
@@ -123,9 +131,34 @@ def _deeper(batch: pa.RecordBatch, branch: float) -> dict:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of nodes with at least two members, with the number of members."""
-    rows = staged(rows.distinct(), "nodes")
+    # A class comes to a node by one path alone, so no row repeats.
+    rows = staged(rows, "nodes")
     counts = staged(rows.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    return staged(rows.join(counts, F.col("node") == F.col("_node")).select("node", "rep", "c"), "nodes")
+    out = staged(rows.join(counts, F.col("node") == F.col("_node")).select("node", "rep", "c"), "nodes")
+    emptied(rows)
+    return out
+
+
+def _sorted_out(level: DataFrame, known: DataFrame | None, node: int) -> DataFrame:
+    """Rows of the nodes whose members are not all of one known component, as (node, rep, c, rest, other).
+
+    `rest` is the number of members outside the largest component of the node, and `other` is true
+    for them. In a node of at most `node` members all are others, and so they are if nothing is known.
+    """
+    if known is None:
+        return level.select("node", "rep", "c", F.col("c").alias("rest"), F.lit(True).alias("other"))
+    named = level.join(known.select(F.col("node").alias("_n"), "component"), F.col("rep") == F.col("_n"), "left")
+    named = staged(named.select("node", "rep", "c", F.coalesce("component", "rep").alias("component")), "named")
+    sizes = named.groupBy("node", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy(F.col("node").alias("_node")).agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts"))
+    largest = staged(largest.where("_parts > 1").select("_node", "_top.m", F.col("_top.component").alias("_core")), "largest")
+    small = F.col("c") <= node
+    out = named.join(largest, F.col("node") == F.col("_node")).select(
+        "node", "rep", "c", F.when(small, F.col("c")).otherwise(F.col("c") - F.col("m")).alias("rest"), (small | (F.col("component") != F.col("_core"))).alias("other")
+    )
+    out = staged(out, "open")
+    emptied(named)
+    return out
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[dict]:
@@ -180,9 +213,9 @@ def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
     return (sketch[i + 1 :] == sketch[i]).mean(axis=1)
 
 
-def close_pairs(sketch: np.ndarray, n: np.ndarray, threshold: float, cut: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each member, the later ones whose sketch and size allow the threshold, with the agreement."""
-    for i in range(len(n) - 1):
+def close_pairs(sketch: np.ndarray, n: np.ndarray, threshold: float, cut: float, first: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member, or each of the `first`, the later ones whose sketch and size allow the threshold, with the agreement."""
+    for i in range(len(n) - 1 if first is None else min(first, len(n) - 1)):
         same = _agreement(sketch, i)
         sizes = n[i + 1 :]
         ok = (same >= cut) & (np.minimum(sizes, n[i]) >= threshold * np.maximum(sizes, n[i]) - 1e-9)
@@ -214,12 +247,17 @@ def _sketches(group: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _clusters(threshold: float, cut: float):
-    """Groups of a node's members that sketches connect: one row per member but the first."""
+    """Groups of a node's members that sketches connect: one row per member but the first.
+
+    Members that are not `other` are of one component and are not compared among themselves.
+    """
 
     def make(group: dict) -> list[tuple]:
+        order = sorted(range(len(group["rep"])), key=lambda i: not group["other"][i])
+        group = {c: [x[i] for i in order] for c, x in group.items()}
         sketch, n = _sketches(group)
         union = Union(len(n))
-        for i, others, _ in close_pairs(sketch, n, threshold, cut):
+        for i, others, _ in close_pairs(sketch, n, threshold, cut, sum(group["other"])):
             for j in others.tolist():
                 union.join(i, j)
         reps, out = group["rep"], []
@@ -233,7 +271,10 @@ def _clusters(threshold: float, cut: float):
 
 
 def _confirmed(threshold: int, words: int, cut: float):
-    """Links of a group that hold on the full sets; pairs already connected by such links are skipped."""
+    """What links that hold on the full sets connect in a group: one row per member but the first.
+
+    Pairs that such links already connect are skipped.
+    """
 
     def make(group: dict) -> list[tuple]:
         sets, keep = [], []
@@ -248,14 +289,14 @@ def _confirmed(threshold: int, words: int, cut: float):
         reps = [group["rep"][i] for i in keep]
         pairs = [(-a, i, j) for i, others, same in close_pairs(sketch, n, threshold / 100, cut) for j, a in zip(others.tolist(), same.tolist(), strict=True)]
         pairs.sort()
-        union, out = Union(len(keep)), []
+        union = Union(len(keep))
         for _, i, j in pairs:
             if union.root(i) != union.root(j):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                     union.join(i, j)
-                    out.append((reps[i], reps[j]))
-        return out
+        roots = [union.root(i) for i in range(len(keep))]
+        return [(reps[r], reps[i]) for i, r in enumerate(roots) if r != i]
 
     return make
 
@@ -263,14 +304,33 @@ def _confirmed(threshold: int, words: int, cut: float):
 def _blocked(rows: DataFrame, node: int) -> DataFrame:
     """Add the pair of blocks (i, j): (0, 0) in a small node; larger ones meet block by block.
 
-    A node that stays larger than `node` at the last depth is cut into blocks by hash, and a member
-    goes to the pairs its block is part of, so every two members still meet.
+    The others of a large node are cut into blocks by hash, numbered first, and the members of its
+    largest component into further blocks. An other goes to all pairs its block is part of; a member of the
+    component only meets the blocks of others.
     """
-    blocks = F.ceil(F.col("c") / node).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_own", own)
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return rows.select("node", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "rep").distinct()
+    others = F.greatest(F.ceil(F.col("rest") / node).cast("int"), F.lit(1))
+    cores = F.ceil((F.col("c") - F.col("rest")) / node).cast("int")
+    rows = rows.withColumn("_others", others).withColumn("_cores", cores)
+    own = F.when(F.col("other"), F.pmod(F.xxhash64("rep"), F.col("_others"))).otherwise(F.col("_others") + F.pmod(F.xxhash64("rep"), F.greatest("_cores", F.lit(1))))
+    met = F.when(F.col("other"), F.col("_others") + F.col("_cores")).otherwise(F.col("_others"))
+    rows = rows.withColumn("_own", own.cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), met - 1)))
+    return rows.select("node", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "rep", "other").distinct()
+
+
+def _star_blocks(level: DataFrame, node: int) -> DataFrame:
+    """(g, rep): the members of large nodes in blocks of about `node`, each with the node's representatives.
+
+    A class that is in large nodes of several trees goes to the largest of them alone.
+    """
+    once = level.where(F.col("c") > node).groupBy("rep").agg(F.max(F.struct("c", "node")).alias("_l")).select("rep", F.col("_l.node").alias("node"))
+    once = staged(once, "large")
+    # Minima under a few hashes: one row per node, whatever its size.
+    least = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"_r{k}") for k in range(REPRESENTATIVES)]
+    heads = staged(once.groupBy(F.col("node").alias("_node")).agg(F.ceil(F.count("*") / node).cast("int").alias("_blocks"), *least), "heads")
+    block = F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.col("_blocks").cast("long")))
+    own = once.join(heads, F.col("node") == F.col("_node")).select(block.alias("g"), "rep")
+    spread = heads.select(F.col("_node").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)).alias("_b"), F.array(*[f"_r{k}" for k in range(REPRESENTATIVES)]).alias("_r"))
+    return own.unionByName(spread.select(F.xxhash64("node", "_b").alias("g"), F.explode("_r").alias("rep"))).distinct()
 
 
 def near_components(
@@ -290,37 +350,57 @@ def near_components(
     reps = own.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = staged(reps, "classes")
 
+    low = lambda b: {"_rep": values(b, "rep"), "n": values(b, "n"), "k": values(b, "k"), "sketch": [x.tobytes() for x in _signatures(b).astype(np.uint8)]}
+    sketches = staged(over_slices(reps.select("rep", "n", "k", "sig"), low, "_rep long, n long, k binary, sketch binary", rows=2048), "sketches")
+
+    def confirmed(members: DataFrame) -> DataFrame:
+        """Links that hold on the full sets inside the groups (g, rep)."""
+        members = staged(members.join(sketches, F.col("rep") == F.col("_rep")).drop("_rep"), "members")
+        wanted = staged(members.select(F.col("rep").alias("_rep")).distinct(), "wanted")
+        texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
+        found = texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi")
+        # Rows that repeat an id and its text are one; rows of another text are known by their digest.
+        found = found.groupBy("_id", F.md5(F.col("text").cast("binary"))).agg(F.first("text").alias("text")).select("_id", "text")
+        full = members.join(found, F.col("rep") == F.col("_id")).select("g", "rep", "n", "k", "sketch", "text")
+        out = staged(over_groups(full, ("g",), _confirmed(threshold, words, cut), "a long, b long"), "confirmed")
+        emptied(members)
+        return out
+
     level = _shared(over_slices(reps.select("rep", "sig"), lambda b: _roots(b, trees, branch), "node long, rep long", rows=2048))
-    leaves = level.where(F.col("c") <= node)
-    for _ in range(depth - 1):
-        large = level.where(F.col("c") > node)
-        if large.isEmpty():
+    stars = known = leaves = None
+    if not level.where(F.col("c") > node).isEmpty():
+        stars = confirmed(_star_blocks(level, node))
+        known = staged(components(stars), "known")
+    opened = []
+    for step in range(depth):
+        rows = _sorted_out(level, known, node)
+        opened.append(rows if known is not None else level)
+        if known is not None:
+            emptied(level)
+        # The last level is compared as it is; before, nodes with many others branch on.
+        on = F.lit(False) if known is None or step == depth - 1 else F.col("rest") > node
+        done = rows.where(~on)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        large = rows.where(on)
+        if known is None or step == depth - 1 or large.isEmpty():
             break
         with_sig = large.select("node", "rep").join(reps.select(F.col("rep").alias("_rep"), "sig"), F.col("rep") == F.col("_rep"))
         level = _shared(over_slices(with_sig.select("node", "rep", "sig"), lambda b: _deeper(b, branch), "node long, rep long", rows=2048))
-        leaves = leaves.unionByName(level.where(F.col("c") <= node))
-    leaves = leaves.unionByName(level.where(F.col("c") > node))
 
-    low = lambda b: {"_rep": values(b, "rep"), "n": values(b, "n"), "k": values(b, "k"), "sketch": [x.tobytes() for x in _signatures(b).astype(np.uint8)]}
-    sketches = staged(over_slices(reps.select("rep", "n", "k", "sig"), low, "_rep long, n long, k binary, sketch binary", rows=2048), "sketches")
     placed = _blocked(leaves, node).join(sketches.drop("k"), F.col("rep") == F.col("_rep")).drop("_rep")
     alike = staged(over_groups(placed, ("node", "i", "j"), _clusters(share, cut), "node long, i int, j int, a long, b long"), "alike")
+    for rows in opened:
+        emptied(rows)
 
     # Candidates: whole components of what sketches join, or the clusters of nodes where one is too large.
     candidate = staged(components(alike), "candidates")
-    sizes = candidate.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("size"))
-    small = staged(sizes, "sizes")
+    small = staged(candidate.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("size")), "sizes")
     sized = candidate.join(small, F.col("component") == F.col("_c"))
     whole = sized.where(F.col("size") <= node).select(F.xxhash64("component").alias("g"), F.col("node").alias("rep"))
     big = sized.where(F.col("size") > node).select(F.col("node").alias("_n"))
     parts = alike.join(big, F.col("a") == F.col("_n")).select(F.xxhash64("node", "i", "j", "a").alias("g"), "a", "b")
-    members = whole.unionByName(parts.select("g", F.explode(F.array("a", "b")).alias("rep")).distinct())
-    members = staged(members.join(sketches, F.col("rep") == F.col("_rep")).drop("_rep"), "members")
-    wanted = staged(members.select(F.col("rep").alias("_rep")).distinct(), "wanted")
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
-    found = texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi")
-    full = members.join(found, F.col("rep") == F.col("_id")).select("g", "rep", "n", "k", "sketch", "text")
-    links = staged(over_groups(full, ("g",), _confirmed(threshold, words, cut), "a long, b long"), "confirmed")
+    links = confirmed(whole.unionByName(parts.select("g", F.explode(F.array("a", "b")).alias("rep")).distinct()))
+    links = links if stars is None else links.unionByName(stars)
 
     final = staged(components(links), "components")
     classes = reps.select(F.col("k").alias("_k"), "rep").join(final, F.col("rep") == F.col("node"), "left")
@@ -351,9 +431,13 @@ def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     found = near_components(numbered, row, text, **options).select(F.col("doc_id").alias("_number"), F.col("component_id").alias("_group"))
     ids = numbered.select(F.col(row).alias("_r"), F.col(f"`{key}`").alias("_id"))
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_r"))
-    chosen = found.join(ids, F.col("_number") == F.col("_r")).groupBy("_group").agg(F.min_by("_r", order).alias("_chosen"))
-    kept = staged(chosen.select("_chosen"), "chosen")
-    return numbered.join(kept, F.col(f"`{row}`") == F.col("_chosen"), "left_semi").drop(row)
+    found = staged(found, "groups")
+    several = found.groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_group").alias("_g"))
+    members = staged(found.join(several, F.col("_group") == F.col("_g")).select("_number", "_g"), "several")
+    chosen = members.join(ids, F.col("_number") == F.col("_r")).groupBy(F.col("_g").alias("_c")).agg(F.min_by("_r", order).alias("_chosen"))
+    # The rows that go are few beside those that stay, and numbers alone.
+    gone = members.join(chosen, F.col("_g") == F.col("_c")).where(F.col("_number") != F.col("_chosen")).select(F.col("_number").alias("_gone"))
+    return numbered.join(staged(gone, "gone"), F.col(f"`{row}`") == F.col("_gone"), "left_anti").drop(row)
 
 
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:

@@ -76,6 +76,39 @@ def test_against_brute_force(spark, family, words, threshold, node):
     same(near_components(docs, words=words, threshold=threshold, node=node, depth=4).collect(), family, words, threshold)
 
 
+def test_a_large_group_does_not_grow_down_the_trees(spark, monkeypatch):
+    """A dense group of many nodes' size with texts near its rim: whole result, and rows in proportion."""
+    import llm.near_copies as module
+
+    base = prose(150, 5)
+    texts = {i: edited(base, 0.004, i) for i in range(600)}
+    for i in range(12):
+        rim = edited(base, 0.03 + 0.005 * i, 5000 + i)
+        texts |= {1000 + 10 * i + k: edited(rim, 0.01, 7000 + 10 * i + k) for k in range(3)}
+    texts |= {2000 + i: prose(60, 900 + i) for i in range(20)}
+    sizes = {}
+    real = module.staged
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "staged", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    same(near_components(docs, words=3, threshold=85, node=64).collect(), texts, 3, 85)
+    # Ten trees of 1 / 0.85 children, and no level beyond the first carries the group.
+    assert sizes["nodes"] <= 12 * len(texts) and sizes["open"] <= 12 * len(texts)
+
+
+def test_repeated_rows_of_an_id_are_compared_once(spark):
+    near, far = prose(100, 8), prose(100, 9)
+    rows = [(1, near)] * 700 + [(2, near + " end")] * 700 + [(3, far)] * 5 + [(1, far)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_components(docs, node=64).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_query(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     same(op10_chosen_path(spark, folder).collect(), texts, 3, 85)
