@@ -15,11 +15,6 @@ from llm.packing import pack_texts
 from llm.personal_data import redact
 from llm.quality import keep_good
 
-# Members of a node that are compared exhaustively. Shingles of five words fall apart sooner than
-# those of three, so a group branches fewer times before its nodes are this small.
-NODE = 1024
-
-
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier does not reject."""
     return keep_good(docs, table(spark, folder, "labels"))
@@ -27,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group alike in shingles of five words at a similarity of 0.8 or more."""
-    return keep_one_row(docs, words=5, threshold=80, node=NODE)
+    return keep_one_row(docs, words=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
