@@ -53,7 +53,7 @@ def location_quotient(spark, d):
 
 
 def low_count(spark, d):
-    t = performance.sparse_low_count(votes(spark, d), electorate(spark, d))
+    t = performance.unit_indicators(votes(spark, d), electorate(spark, d))
     return rounded(t.select("sq_candidato", "cd_mun_ibge", "votos", "taxa_referencia", "esperado", "n_baixo"))
 
 
@@ -318,9 +318,8 @@ ORACLE = {
     ),
     "low_count": with_sql(
         INDICATORS,
-        """SELECT sq_candidato, cd_mun_ibge, i.votos, round(i.taxa_referencia, 6) + 0.0 AS taxa_referencia,
-        round(i.esperado, 6) + 0.0 AS esperado, i.n_baixo
-        FROM ind i JOIN votos USING (sq_candidato, cd_mun_ibge)""",
+        """SELECT sq_candidato, cd_mun_ibge, votos, round(taxa_referencia, 6) + 0.0 AS taxa_referencia,
+        round(esperado, 6) + 0.0 AS esperado, n_baixo FROM ind""",
     ),
     "low_count_by_state": with_sql(
         VOTES,

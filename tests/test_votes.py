@@ -325,3 +325,14 @@ def test_concentration_of_fractions_and_of_totals_beyond_the_exact_range(frame):
     assert b["indice_g"] == near(a["indice_g"]) == near((5 / 6 - 0.25) ** 2 + (1 / 6 - 0.75) ** 2)
     v, e = sum(r[2] for r in scaled), sum(r[3] for r in scaled)
     assert big["indice_g"] == pytest.approx(sum((r[2] / v - r[3] / e) ** 2 for r in scaled), rel=1e-6)
+
+
+def test_low_count_query_has_every_unit_of_every_entity(spark):
+    from escrutinio.catalogue import votes as catalogue
+
+    folder = "/root/testdata/sf0.001"
+    all_rows = catalogue.low_count(spark, folder)
+    entities, units = catalogue.votes(spark, folder).select("sq_candidato").distinct().count(), catalogue.electorate(spark, folder).count()
+    assert all_rows.count() == entities * units
+    wanted = catalogue.dense_zeros(spark, folder).agg(F.sum("sem_voto")).first()[0]
+    assert all_rows.filter("votos = 0").count() == wanted
