@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Planner settings every job here relies on. None of them fixes a partition count: AQE sizes
-# shuffles at run time, splits skewed join partitions and switches to a broadcast join only when
-# the measured size of a side is below the threshold.
+# Planner settings every job here relies on. AQE sizes shuffles at run time, to few bytes a task:
+# sorts and hash tables of a join and an aggregate of nearly distinct keys hold many times the bytes
+# they read. Shuffles start in 200 pieces, the most that a task writes without sorting them in memory,
+# and small ones are put together. AQE also splits skewed join partitions and switches to a broadcast join only when the
+# measured size of a side is below the threshold.
 PLANNER_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

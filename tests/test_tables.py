@@ -355,3 +355,11 @@ def test_two_writers_do_not_lose_each_other(spark, frame, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         numbers = list(pool.map(lambda y: versions.commit(spark, root, {f"ano={y}": f"ano={y}/versao=x"}), range(2000, 2008)))
     assert sorted(numbers) == list(range(1, 9)) and len(versions.state(spark, root)[1]) == 8
+
+
+def test_tasks_of_a_shuffle_stay_small(spark):
+    from escrutinio.session import apply_defaults
+
+    conf = apply_defaults(spark).conf
+    assert conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    assert conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "200"
