@@ -236,22 +236,27 @@ def declared_handles(declarations: DataFrame, network: str = "instagram") -> Dat
 
 def handle_counts(declarations: DataFrame, members: DataFrame) -> DataFrame:
     """QRY-20. One row: members, with and without a handle, profiles, several, rejected texts."""
-    handles = declared_handles(declarations)
-    per = handles.groupBy("sq_candidato").agg(F.count(F.lit(1)).alias("n"))
-    rejected = declarations.agg(
-        F.count_if(cites_network(F.col("url_tse")) & profile_handle(F.col("url_tse")).isNull()).alias("r")
-    ).scalar()
-    return (
-        members.select("sq_candidato").distinct().join(per, "sq_candidato", "left")
-        .agg(
-            F.count(F.lit(1)).alias("candidatos_no_grupo"),
-            F.count("n").alias("com_instagram"),
-            F.count_if(F.col("n").isNull()).alias("sem_instagram"),
-            F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("perfis"),
-            F.count_if(F.col("n") > 1).alias("com_mais_de_um_perfil"),
-        )
-        .withColumn("urls_instagram_rejeitadas", rejected)
-    )
+    url = F.col("url_tse")
+    # Dealt by candidacy first: texts are short and costly to read, and a small file is one task.
+    read = declarations.select("sq_candidato", "url_tse").repartition("sq_candidato").select(
+        "sq_candidato", profile_handle(url).alias("username"), cites_network(url).alias("_cited")
+    )
+    per = (
+        read.groupBy("sq_candidato", "username")
+        .agg(F.count_if(F.col("_cited") & F.col("username").isNull()).alias("_r"))
+        .groupBy("sq_candidato")
+        .agg(F.nullif(F.count("username"), F.lit(0)).alias("n"), F.sum("_r").alias("_r"))
+    )
+    known = members.select("sq_candidato").distinct().withColumn("_m", F.lit(True))
+    mine, zero = F.col("_m").isNotNull(), F.lit(0).cast("bigint")
+    return known.join(per, "sq_candidato", "full_outer").agg(
+        F.count("_m").alias("candidatos_no_grupo"),
+        F.count_if(mine & F.col("n").isNotNull()).alias("com_instagram"),
+        F.count_if(mine & F.col("n").isNull()).alias("sem_instagram"),
+        F.coalesce(F.sum(F.when(mine, F.col("n"))), zero).alias("perfis"),
+        F.count_if(mine & (F.col("n") > 1)).alias("com_mais_de_um_perfil"),
+        F.coalesce(F.sum("_r"), zero).alias("urls_instagram_rejeitadas"),
+    )
 
 
 def compare_handles(declared: DataFrame, site: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

@@ -363,3 +363,18 @@ def test_tasks_of_a_shuffle_stay_small(spark):
     conf = apply_defaults(spark).conf
     assert conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
     assert conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "200"
+
+
+def test_handle_counts_reads_every_text_once(frame):
+    from escrutinio.operators import people
+
+    texts = [
+        (1, 1, "@ana"), (1, 2, "instagram.com/ana/"), (1, 3, "instagram.com/bia"), (2, 1, "instagram.com/p/x"),
+        (3, 1, "facebook.com/c"), (5, 1, "meu instagram e lindo"), (None, 1, "@ninguem dois"), (6, 1, None), (7, 1, "@so"),
+    ]
+    d = frame(texts, "sq_candidato int, nr_ordem int, url_tse string")
+    got = people.handle_counts(d, frame([(1,), (1,), (2,), (3,), (4,), (5,), (6,)], "sq_candidato int"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("url_decode") <= 1
+    assert rows(got) == [
+        {"candidatos_no_grupo": 6, "com_instagram": 1, "sem_instagram": 5, "perfis": 2, "com_mais_de_um_perfil": 1, "urls_instagram_rejeitadas": 3}
+    ]
