@@ -9,6 +9,7 @@ from escrutinio.catalogue.roles import BALLOTS, CANDIDATES, ballots, candidates,
 from escrutinio.functions.identity import salt_fingerprint
 from escrutinio.operators import reconcile as rc
 from escrutinio.plans import catalog
+from escrutinio.session import cut_lineage
 from escrutinio.sources.contracts import Column, Contract, contract_findings
 from escrutinio.sources.text_files import (
     attach_unit,
@@ -191,6 +192,8 @@ def _rebuilt_inputs(spark, d):
     listed = F.col("nm_tipo_destinacao_votos") == "Válido (legenda)"
     code = F.when(zone == 0, 95).when(zone == 1, 96).when(listed, 10 + k % 7).otherwise(1000 + k)
     section = rows.select("sg_uf", "cd_cargo", code.alias("nr_votavel"), F.when(code >= 1000, k).alias("sq_candidato"), q.alias("qt_votos"))
+    # Turnout, published tables and the operator all read the sections: written once, summed by ballot.
+    section = cut_lineage(section.groupBy("sg_uf", "cd_cargo", "nr_votavel", "sq_candidato").agg(F.sum("qt_votos").alias("qt_votos")))
     v, nominal = F.col("qt_votos"), F.col("nr_votavel") >= 1000
     party = F.col("nr_votavel") < 95
     left_out = (nominal & (F.col("sq_candidato") % 10 == 3)) | (party & (F.col("nr_votavel") == 16))
@@ -304,7 +307,8 @@ def _documents(spark, d):
         ).alias("v"),
         F.array(office).alias("carg"),
     )
-    return parse_results(p.select(F.to_json(doc).alias("doc")), "doc")
+    # Dealt by part: a small file of parts is one task, their documents are not.
+    return parse_results(p.repartition("p_partkey").select(F.to_json(doc).alias("doc")), "doc")
 
 
 def results_totals(spark, d):
@@ -320,7 +324,7 @@ def results_parties(spark, d):
 
 
 def published_blocks(spark, d):
-    docs = _documents(spark, d)
+    docs = cut_lineage(_documents(spark, d))  # five blocks of two sides read them: parsed once
     scope = ["sg_uf", "cd_cargo"]
     t = result_totals(docs).groupBy(*scope).agg(
         *[F.sum(c).alias(c) for c in ("aptos", "votos_validos", "votos_legenda")]

@@ -357,6 +357,15 @@ def test_two_writers_do_not_lose_each_other(spark, frame, tmp_path):
     assert sorted(numbers) == list(range(1, 9)) and len(versions.state(spark, root)[1]) == 8
 
 
+def test_blocks_read_their_input_once(spark):
+    """Ten sides read the result documents, eight the sections: neither is read anew for each."""
+    from escrutinio.catalogue import audit
+
+    for query, name in ((audit.published_blocks, "part.parquet"), (audit.rebuilt_blocks, "lineitem.parquet")):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "p_partkey" not in plan and "l_orderkey" not in plan, name
+
+
 def test_tasks_of_a_shuffle_stay_small(spark):
     from escrutinio.session import apply_defaults
 
