@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,12 @@ class WordIds(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The memory of words of a worker process, which the tasks it runs one after the other share."""
+    return WordIds(path)
+
+
 class Packer:
     """Places pieces (row, start, length, loss per token or none) into sequences of one task."""
 
@@ -121,33 +129,40 @@ class Packer:
 
     def pack(self, final: bool = False) -> Iterator[tuple]:
         """Sequences out of the pool; unless final, the last, partly filled ones stay in it."""
-        pool, self.rows = self.rows, []
-        pool.sort(key=lambda p: -p[2])
-        demand = np.array([[p[2], 1, p[2] if p[3] else 0] for p in pool], np.float64).reshape(-1, 3) / self.limits
-        alive = np.ones(len(pool), bool)
-        waiting = int(alive.sum())
+        # Of pieces alike in bearing loss, the dot product is largest for the longest that fits: sorted
+        # by length, the earliest last among equals, it is found by bisection.
+        sides: dict[bool, list[tuple]] = {True: [], False: []}
+        for i, (row, start, length, loss) in enumerate(sorted(self.rows, key=lambda p: -p[2])):
+            sides[bool(loss)].append((length, -i, row, start))
+        for side in sides.values():
+            side.sort()
+        waiting, self.rows = len(self.rows), []
+        most, segments, bearing = (int(x) for x in self.limits)
         while waiting:
-            left, members = np.ones(3), []
-            while waiting:
-                fits = alive & (demand <= left + 1e-9).all(axis=1)
-                if fits.any():
-                    best = int(np.where(fits, demand @ left, -1.0).argmax())
-                    members.append(pool[best])
-                    left -= demand[best]
-                    alive[best] = False
+            left, places, lossy, members = most, segments, bearing, []
+            while waiting and places:
+                best = None
+                for loss, side in sides.items():
+                    at = bisect_left(side, (min(left, lossy) + 1 if loss else left + 1,)) - 1
+                    if at >= 0:
+                        length, order = side[at][:2]
+                        dot = length / most * (left / most) + places / segments / segments + (length / bearing * (lossy / bearing) if loss else 0.0)
+                        if best is None or (dot, order) > best[:2]:
+                            best = (dot, order, loss, at)
+                if best is not None:
+                    loss, (length, _, row, start) = best[2], sides[best[2]].pop(best[3])
                     waiting -= 1
+                    members.append([row, start, length, loss])
+                    left, places, lossy = left - length, places - 1, lossy - (length if loss else 0)
                     continue
-                gap = round(left[0] * self.limits[0])
-                if gap >= self.cut_gap and left[1] * self.limits[1] >= 0.5:
-                    for i in np.flatnonzero(alive):
-                        part = min(gap, round(left[2] * self.limits[2])) if pool[i][3] else gap
-                        if part >= self.cut_gap and part < pool[i][2]:
-                            row, start, length, loss = pool[i]
-                            members.append([row, start, part, loss])
-                            pool[i] = [row, start + part, length - part, loss]
-                            demand[i] = np.array([length - part, 1, length - part if loss else 0]) / self.limits
-                            left -= np.array([part, 1, part if loss else 0]) / self.limits
-                            break
+                # Nothing fits: the longest piece that can be cut fills the gap.
+                for length, order, loss in sorted(((side[-1][0], side[-1][1], loss) for loss, side in sides.items() if side), reverse=True):
+                    part = min(left, lossy) if loss else left
+                    if left >= self.cut_gap and self.cut_gap <= part < length:
+                        _, _, row, start = sides[loss].pop()
+                        insort(sides[loss], (length - part, order, row, start + part))
+                        members.append([row, start, part, loss])
+                        break
                 break
             used = sum(m[2] for m in members)
             if used >= self.capacity - self.cut_gap or not members:
@@ -200,7 +215,7 @@ def pack_texts(
         raise ValueError("capacities must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(path), Packer(capacity, max_segments, loss_limit, cut_gap)
+        words, packer = word_ids(path), Packer(capacity, max_segments, loss_limit, cut_gap)
         first = TaskContext.get().partitionId() << 40
         held: dict[int, tuple] = {}
         out: list[tuple] = []

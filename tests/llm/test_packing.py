@@ -81,3 +81,34 @@ def test_the_largest_dot_product_goes_first():
     for row, n in enumerate([6, 5, 4, 3, 2]):
         list(p.add(row, n))
     assert [x[:4] for x in p.pack(final=True)][:2] == [(0, 0, 6, 0), (2, 0, 4, 0)]
+
+
+def test_pool_is_searched_by_length_and_words_are_shared_by_tasks():
+    import random
+    import time
+
+    from llm.packing import word_ids
+
+    assert word_ids(tokenizer_path()) is word_ids(tokenizer_path())
+    r, p, out = random.Random(3), Packer(), []
+    sizes = [r.choice([r.randrange(1, 60), r.randrange(1, 4000)]) for _ in range(60_000)]
+    began = time.process_time()
+    for i, n in enumerate(sizes):
+        out += p.add(i, n, i % 3 > 0)
+        if len(p.rows) >= 4096:
+            out += p.pack()
+    out += p.pack(final=True)
+    assert time.process_time() - began < 8  # comparing each sequence with the whole pool took some 15 s
+    placed, used = {}, {}
+    for row, start, length, seq, offset, _ in out:
+        placed.setdefault(row, []).append((start, length))
+        assert offset == used.get(seq, 0)
+        used[seq] = offset + length
+    for i, n in enumerate(sizes):
+        end = 0
+        for start, length in sorted(placed[i]):
+            assert start == end
+            end += length
+        assert end == n
+    short = [n for n in used.values() if n < 2048 - 8]
+    assert max(used.values()) <= 2048 and all(n & (n - 1) == 0 for n in short) and len(short) <= 64
