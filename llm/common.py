@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Rows a Python worker turns into objects at a time: whole texts, so a batch of long ones stays small.
 SLICE_ROWS = 512
+# Rows of two numbers a shuffle partition takes where their number is known, and the fewest partitions.
+PARTITION_ROWS, MIN_PARTITIONS = 20_000, 8
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +44,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of tables of about so many short rows get that many partitions, at most the session's.
+
+    For loops of many small jobs, whose time is otherwise that of empty tasks.
+    """
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, min(int(usual), max(MIN_PARTITIONS, -(-rows // PARTITION_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def emptied(df: DataFrame) -> None:
     """Free the files of a staged table that nothing reads any more: an empty table takes its place."""
     df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.staged_path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import emptied, free_name, over_slices, staged, table, utf8, values
+from llm.common import emptied, free_name, over_slices, shuffles_for, staged, table, utf8, values
 from llm.components import components
 
 SIGNATURE = 128
@@ -133,8 +133,9 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows of nodes with at least two members, with the number of members."""
     # A class comes to a node by one path alone, so no row repeats.
     rows = staged(rows, "nodes")
-    counts = staged(rows.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    out = staged(rows.join(counts, F.col("node") == F.col("_node")).select("node", "rep", "c"), "nodes")
+    with shuffles_for(rows.sparkSession, rows.count()):
+        counts = staged(rows.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        out = staged(rows.join(counts, F.col("node") == F.col("_node")).select("node", "rep", "c"), "nodes")
     emptied(rows)
     return out
 
@@ -147,16 +148,17 @@ def _sorted_out(level: DataFrame, known: DataFrame | None, node: int) -> DataFra
     """
     if known is None:
         return level.select("node", "rep", "c", F.col("c").alias("rest"), F.lit(True).alias("other"))
-    named = level.join(known.select(F.col("node").alias("_n"), "component"), F.col("rep") == F.col("_n"), "left")
-    named = staged(named.select("node", "rep", "c", F.coalesce("component", "rep").alias("component")), "named")
-    sizes = named.groupBy("node", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy(F.col("node").alias("_node")).agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts"))
-    largest = staged(largest.where("_parts > 1").select("_node", "_top.m", F.col("_top.component").alias("_core")), "largest")
-    small = F.col("c") <= node
-    out = named.join(largest, F.col("node") == F.col("_node")).select(
-        "node", "rep", "c", F.when(small, F.col("c")).otherwise(F.col("c") - F.col("m")).alias("rest"), (small | (F.col("component") != F.col("_core"))).alias("other")
-    )
-    out = staged(out, "open")
+    with shuffles_for(level.sparkSession, level.count()):
+        named = level.join(known.select(F.col("node").alias("_n"), "component"), F.col("rep") == F.col("_n"), "left")
+        named = staged(named.select("node", "rep", "c", F.coalesce("component", "rep").alias("component")), "named")
+        sizes = named.groupBy("node", "component").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy(F.col("node").alias("_node")).agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts"))
+        largest = staged(largest.where("_parts > 1").select("_node", "_top.m", F.col("_top.component").alias("_core")), "largest")
+        small = F.col("c") <= node
+        out = named.join(largest, F.col("node") == F.col("_node")).select(
+            "node", "rep", "c", F.when(small, F.col("c")).otherwise(F.col("c") - F.col("m")).alias("rest"), (small | (F.col("component") != F.col("_core"))).alias("other")
+        )
+        out = staged(out, "open")
     emptied(named)
     return out
 
@@ -356,7 +358,8 @@ def near_components(
     def confirmed(members: DataFrame) -> DataFrame:
         """Links that hold on the full sets inside the groups (g, rep)."""
         members = staged(members.join(sketches, F.col("rep") == F.col("_rep")).drop("_rep"), "members")
-        wanted = staged(members.select(F.col("rep").alias("_rep")).distinct(), "wanted")
+        with shuffles_for(members.sparkSession, members.count()):
+            wanted = staged(members.select(F.col("rep").alias("_rep")).distinct(), "wanted")
         texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
         found = texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi")
         # Rows that repeat an id and its text are one; rows of another text are known by their digest.
@@ -370,7 +373,7 @@ def near_components(
     stars = known = leaves = None
     if not level.where(F.col("c") > node).isEmpty():
         stars = confirmed(_star_blocks(level, node))
-        known = staged(components(stars), "known")
+        known = components(stars)
     opened = []
     for step in range(depth):
         rows = _sorted_out(level, known, node)
@@ -393,8 +396,9 @@ def near_components(
         emptied(rows)
 
     # Candidates: whole components of what sketches join, or the clusters of nodes where one is too large.
-    candidate = staged(components(alike), "candidates")
-    small = staged(candidate.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("size")), "sizes")
+    candidate = components(alike)
+    with shuffles_for(candidate.sparkSession, candidate.count()):
+        small = staged(candidate.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("size")), "sizes")
     sized = candidate.join(small, F.col("component") == F.col("_c"))
     whole = sized.where(F.col("size") <= node).select(F.xxhash64("component").alias("g"), F.col("node").alias("rep"))
     big = sized.where(F.col("size") > node).select(F.col("node").alias("_n"))
@@ -402,7 +406,7 @@ def near_components(
     links = confirmed(whole.unionByName(parts.select("g", F.explode(F.array("a", "b")).alias("rep")).distinct()))
     links = links if stars is None else links.unionByName(stars)
 
-    final = staged(components(links), "components")
+    final = components(links)
     classes = reps.select(F.col("k").alias("_k"), "rep").join(final, F.col("rep") == F.col("node"), "left")
     classes = staged(classes.select("_k", F.coalesce("component", "rep").alias("component")), "classes")
     joined = base.select("doc_id", "n", "k").join(classes, F.col("k") == F.col("_k"), "left")

@@ -255,7 +255,7 @@ def near_vectors(
         found = found.unionByName(staged(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
     links = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    named = staged(components(links), "components")
+    named = components(links)
     sizes = staged(named.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("size")), "sizes")
     sized = named.join(sizes, F.col("component") == F.col("_c")).withColumn("_n", F.ceil(F.col("size") / block).cast("int"))
     sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

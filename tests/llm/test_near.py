@@ -137,3 +137,26 @@ def test_components(spark):
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == smallest({x for p in real for x in p}, real)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_shuffle_to_as_many_partitions_as_the_links_fill(spark):
+    from llm.components import components
+
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = spark.sparkContext.statusTracker()
+        group = "rounds"
+        spark.sparkContext.setJobGroup(group, "components")
+        links = spark.createDataFrame([(i, i + 1) for i in range(20)] * 2 + [(50, 51), (51, 51), (None, 3)], "a long, b long")
+        got = {r.node: r.component for r in components(links).collect()}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "211"
+        stages = [i for j in before.getJobIdsForGroup(group) for i in before.getJobInfo(j).stageIds]
+        tasks = [before.getStageInfo(i).numTasks for i in stages if before.getStageInfo(i)]
+        assert tasks and max(tasks) < 211
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50}
