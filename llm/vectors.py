@@ -1,40 +1,39 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Equal vectors of a label are one class. Each pass hashes a class to the signs of its projections on
-random directions, taken from the centre of its label and read as one long key, sorts by label and
-key, and compares every class with the next few in that order. The number of passes of a label
-follows from its size and from how a sample of it lies; labels for which comparing all classes is
-cheaper are compared wholly. Verified pairs are united to components; inside a component every two
-classes are then compared, block by block, so its links are complete.
+"""Near-duplicate vectors by sorted projections with exact windows.
+
+Equal vectors of a label are one class. Two unit vectors at cosine c lie sqrt(2 - 2c) apart, and no
+projection on a unit direction takes them further apart. Classes are therefore ordered by label and
+projection, the order is cut into blocks of about WHOLE classes, and only blocks within that reach of
+each other meet. Inside a pair of blocks a class is compared with those in its window, the stretch of
+the order within reach; projections on further directions leave out most of them, and cosines decide.
+No link is missed, whatever the size of a label or the way it is cut. Links found are united to
+components; inside a component every two classes are then compared, block by block, so its links are
+counted completely.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import over_slices, staged, table, values
 from llm.components import components
 from llm.near_copies import over_groups
 
-# Share of pairs at the threshold that all passes of a label together may miss, by its plan.
-MISS = 1e-6
-WINDOW = 32
-# Labels of at most so many classes are compared wholly, in blocks of WHOLE; larger ones if their
-# passes would cost more. A class costs in a pass about as much as PASS_COST comparisons in a block.
-EXACT = 16384
-WHOLE = 8192
-PASS_COST = 4096
-# Classes of a label that are expected in the sample its plan is made from.
-SAMPLE = 1024
-MOST_BITS = 512
-# Passes whose shuffles exist at a time.
-AT_ONCE = 8
+# Rows of the order that are compared with their joint window at a time.
+WINDOW = 256
+# Most classes of a block of the order, and most bytes of their vectors.
+WHOLE = 16384
+BYTES = 8 << 20
+# Steps of the first projection, from -1 to 1, at which the order of a label may be cut.
+STEPS = 4096
+# Directions on which classes are projected, the first of which orders them.
+DIRECTIONS = 16
+# Pieces of one step that holds more than a block.
+PIECES = 1 << 20
 # Classes of a component that one task compares with as many others at a time.
 BLOCK = 1024
 
@@ -49,7 +48,23 @@ def _described(batch: pa.RecordBatch) -> dict:
                 x = None
         raw.append(None if x is None else x.tobytes())
         digests.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-    return {"vec_id": ids, "label": values(batch, "label"), "k": digests, "v": raw}
+    return {"vec_id": ids, "label": values(batch, "label"), "k": digests, "v": raw, "step": _steps(raw)}
+
+
+def directions(size: int) -> np.ndarray:
+    """Orthonormal directions of vectors of `size` components, as columns; the same in every task."""
+    return np.linalg.qr(np.random.default_rng(size).standard_normal((size, min(size, DIRECTIONS))))[0]
+
+
+def _steps(raw: list[bytes | None]) -> list[int | None]:
+    """Step of the first projection of each vector."""
+    out: list[int | None] = [None] * len(raw)
+    for size in {len(r) for r in raw if r is not None}:
+        at = [i for i, r in enumerate(raw) if r is not None and len(r) == size]
+        first = unit([raw[i] for i in at]) @ directions(size // 8)[:, 0]
+        for i, step in zip(at, np.clip((first + 1) * (STEPS / 2), 0, STEPS - 1).astype(int), strict=True):
+            out[i] = int(step)
+    return out
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -59,121 +74,46 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-
-
-def chances(x: np.ndarray, centre: np.ndarray, n: int, threshold: float, window: int) -> tuple[np.ndarray, int]:
-    """For each sampled vector of a label with n: the chance that one pass meets a twin at the threshold; bits of the key.
-
-    A pass meets the twin at least if both agree in the first k signs and at most `window` others do
-    too. Two vectors agree in a sign by their angle at the centre; Markov's inequality bounds the
-    others, counted by the sample, and the best k is taken. Others linked with the vector itself do
-    not count: the twin meets them in its place.
-    """
-    u = np.random.default_rng(len(x)).standard_normal(x.shape)
-    u = _scaled(u - (u * x).sum(axis=1, keepdims=True) * x)
-    c, twin = _scaled(x - centre), _scaled(threshold * x + np.sqrt(1 - threshold * threshold) * u - centre)
-    same = 1 - np.arccos(np.clip((c * twin).sum(axis=1), -1, 1)) / np.pi
-    agree = np.where(x @ x.T >= threshold, 0, 1 - np.arccos(np.clip(c @ c.T, -1, 1)) / np.pi)
-    best, bits, others, met = np.zeros(len(x)), 0, (x @ x.T < threshold).astype(np.float64), np.ones(len(x))
-    for k in range(MOST_BITS + 1):
-        chance = met * np.maximum(0, 1 - n * others.mean(axis=1) / window)
-        if (chance > best).any():
-            best, bits = np.maximum(best, chance), k
-        elif (met <= best).all():
-            break
-        others *= agree
-        met = met * same
-    return best, bits
-
-
-def _planned(threshold: float, window: int, miss: float, pass_cost: int):
-    """Centre, passes and bits of one label, from its sample; no passes where all pairs cost less."""
-
-    def make(group: dict) -> list[tuple]:
-        x, n = unit(group["v"]), group["n"][0]
-        centre = x.mean(axis=0)
-        chance, bits = chances(x, centre, n, threshold, window)
-        chance = chance * (1 - 1 / 128)  # borders of partitions
-        missed, most = (lambda p: ((1 - chance) ** p).mean()), n // pass_cost
-        passes = next((p for p in range(1, most + 1) if missed(p) <= miss), 0)
-        return [(group["label"][0], group["size"][0], centre.tobytes(), passes, max(8, -(-bits // 8)), n)]
-
-    return make
+def reach(threshold: float) -> float:
+    """The most that unit vectors at the threshold lie apart, with room for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
 
-def _key(raw: list[bytes], centre: list[bytes], width: list[int], number: int) -> list[bytes]:
-    """Signs of the projections of pass `number` from the centre, as `width` bytes in order."""
-    out: list[bytes] = [b""] * len(raw)
-    for size in {len(r) for r in raw}:
-        at = [i for i, r in enumerate(raw) if len(r) == size]
-        # One direction after the other, so that the first ones are the same for every width.
-        planes = np.random.default_rng([number, size]).standard_normal((8 * max(width[i] for i in at), size // 8))
-        around = np.frombuffer(b"".join([centre[i] for i in at]), np.float64).reshape(len(at), -1)
-        signs = np.packbits((unit([raw[i] for i in at]) - around) @ planes.T > 0, axis=1)
-        for i, s in zip(at, signs, strict=True):
-            out[i] = s[: width[i]].tobytes()
-    return out
+def _near(left: np.ndarray, right: np.ndarray, most: float) -> np.ndarray:
+    """Which rows of projections lie at most about `most` apart; in single precision, so with some room."""
+    a = np.column_stack([-2 * left, (left * left).sum(axis=1), np.ones(len(left))]).astype(np.float32)
+    b = np.column_stack([right, np.ones(len(right)), (right * right).sum(axis=1)]).astype(np.float32)
+    return a @ b.T <= most * most + 1e-4
 
 
-def _windows(threshold: float, window: int):
-    """Pairs of a sorted stream at most `window` apart that reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"label": [], "rep": [], "v": []}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                old = len(held["rep"])
-                for c in held:
-                    held[c] += values(part, c)
-                a, b = _near(held, old, threshold, window)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                held = {c: x[-window:] for c, x in held.items()}
-
-    return run
-
-
-def _near(rows: dict, old: int, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose later member is at `old` or after."""
-    n, reps = len(rows["rep"]), np.array(rows["rep"], np.int64)
-    names = {x: i for i, x in enumerate(dict.fromkeys(zip(rows["label"], map(len, rows["v"]), strict=True)))}
-    group = np.array([names[x] for x in zip(rows["label"], map(len, rows["v"]), strict=True)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for g in range(len(names)):
-        at = np.flatnonzero(group == g)  # consecutive: the stream is sorted by label and size
-        x = unit([rows["v"][i] for i in at])
-        for d in range(1, min(window, len(at) - 1) + 1):
-            hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold) & (at[d:] >= old))
-            a.append(reps[at[hit]])
-            b.append(reps[at[hit + d]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _spanning(threshold: float):
+def _spanning(threshold: float, window: int):
     """Of one block, or of a pair of blocks: links that connect all that its links connect."""
+    most = reach(threshold)
 
     def make(group: dict) -> list[tuple]:
-        x, reps = unit(group["v"]), group["rep"]
         own, (i, j) = np.array(group["own"]), (group["i"][0], group["j"][0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if not len(left) or not len(right):
+        if not (own == i).any() or not (own == j).any():
             return []
-        part, out, y = np.arange(len(x)), [], x[right].T
-        for start in range(0, len(left), 512):
-            some = left[start : start + 512]
-            near = x[some] @ y
-            hit = near >= threshold
-            # Next to the threshold the sum is taken as everywhere else.
-            a, b = np.nonzero(np.abs(near - threshold) < 1e-9)
-            hit[a, b] = np.einsum("ij,ij->i", x[some[a]], x[right[b]]) >= threshold
-            for p, row in zip(some, hit, strict=True):
-                others = right[row]
-                names, first = np.unique(part[others], return_index=True)
-                new = names != part[p]
-                if new.any():
-                    out += [(reps[p], reps[q]) for q in others[first[new]]]
+        x, reps = unit(group["v"]), group["rep"]
+        shadow = x @ directions(x.shape[1])
+        order = np.argsort(shadow[:, 0], kind="stable")
+        left, right = order[own[order] == i], order[own[order] == j]
+        at, part, out = shadow[right, 0], np.arange(len(x)), []
+        for start in range(0, len(left), window):
+            some = left[start : start + window]
+            ends = shadow[some[[0, -1]], 0] + (-most, most)
+            first, last = np.searchsorted(at, ends[0]), np.searchsorted(at, ends[1], "right")
+            if i == j:
+                first = start
+            others = right[first:last]
+            close = _near(shadow[some], shadow[others], most)
+            for n in np.flatnonzero(close.sum(axis=1) > (i == j)):  # more than itself
+                p, near = some[n], others[close[n]]
+                near = near[part[near] != part[p]]
+                hit = near[np.einsum("ij,ij->i", x[np.full(len(near), p)], x[near]) >= threshold]
+                names, seen = np.unique(part[hit], return_index=True)
+                if len(names):
+                    out += [(reps[p], reps[q]) for q in hit[seen]]
                     part[np.isin(part, names)] = part[p]
         return out
 
@@ -198,15 +138,46 @@ def _counted(threshold: float):
     return make
 
 
+def _blocks(classes: DataFrame, whole: int) -> DataFrame:
+    """(_l, _s, _step, block, pieces, low, high): stretches of about `whole` classes in the order of a label.
+
+    A stretch ends between two steps; one that a crowded step makes larger is dealt into pieces.
+    """
+    steps = classes.groupBy(F.col("label").alias("_l"), F.col("size").alias("_s"), F.col("step").alias("_step")).agg(F.count("*").alias("n"))
+    # At most STEPS rows of a label and size.
+    before = F.sum("n").over(Window.partitionBy("_l", "_s").orderBy("_step")) - F.col("n")
+    most = F.greatest(F.lit(1), F.least(F.lit(whole), F.floor(F.lit(BYTES) / F.col("_s"))))
+    cut = steps.withColumn("block", F.floor(before / most).cast("long"))
+    of_block = Window.partitionBy("_l", "_s", "block")
+    return cut.select(
+        "_l", "_s", "_step", "block", F.ceil(F.sum("n").over(of_block) / most).cast("long").alias("pieces"),
+        F.min("_step").over(of_block).alias("low"), F.max("_step").over(of_block).alias("high"),
+    )
+
+
+def _meetings(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(_l, _s, piece, i, j): the pairs of pieces whose steps lie within reach, once for each of the two."""
+    pieces = blocks.select("_l", "_s", "block", "pieces", "low", "high").distinct()
+    first = F.col("block") * PIECES
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(first, first + F.col("pieces") - 1)))
+    one = pieces.select("_l", "_s", F.col("piece").alias("i"), F.col("high").alias("_h"))
+    two = pieces.select("_l", "_s", F.col("piece").alias("j"), F.col("low").alias("_w"))
+    # A step more than the reach, as a projection is rounded where steps meet.
+    room = int(np.ceil(reach(threshold) * STEPS / 2)) + 2
+    pairs = one.join(two, ["_l", "_s"]).where((F.col("i") <= F.col("j")) & (F.col("_w") - F.col("_h") <= room))
+    sides = F.array_distinct(F.array("i", "j"))
+    return pairs.select("_l", "_s", F.explode(sides).alias("piece"), "i", "j")
+
+
 def near_vectors(
-    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, miss: float = MISS, window: int = WINDOW, block: int = BLOCK, exact: int = EXACT, whole: int = WHOLE, pass_cost: int = PASS_COST
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, window: int = WINDOW, block: int = BLOCK, whole: int = WHOLE, exact: int | None = None, pass_cost: int | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row; links join equal labels at `threshold` or above.
 
-    Labels of at most `exact` classes, and those whose passes would cost more than all comparisons,
-    miss no link. In other ones the passes are planned to miss at
-    most `miss` of the pairs at the threshold that nothing else connects. The plan is an estimate
-    from a sample: it doesn't see a dense spot that holds less than about one in SAMPLE of a label.
+    Every label goes the same way, and no link is missed: `window`, `whole` and `block` say how much
+    is compared at a time and change no result. The work of a label grows with the pairs within reach
+    in the order, up to all its pairs. `exact` and `pass_cost` chose a way by the size of a label;
+    they are still taken and have no effect.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null
     label, link with nothing. Vectors of different lengths never link. Equal vectors link with each
@@ -215,44 +186,18 @@ def near_vectors(
     """
     kind = vectors.schema[label].dataType.simpleString()
     chosen = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    rows = staged(over_slices(chosen, _described, f"vec_id long, label {kind}, k binary, v binary", rows=2048), "vectors")
+    rows = staged(over_slices(chosen, _described, f"vec_id long, label {kind}, k binary, v binary, step int", rows=2048), "vectors")
     valid = rows.where(F.col("k").isNotNull() & F.col("vec_id").isNotNull())
-    classes = valid.groupBy("label", "k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c"), F.first("v").alias("v"))
+    classes = valid.groupBy("label", "k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c"), F.first("v").alias("v"), F.min("step").alias("step"))
     classes = staged(classes.withColumn("size", F.length("v")), "classes")
 
-    counts = staged(classes.groupBy(F.col("label").alias("_l"), F.col("size").alias("_s")).agg(F.count("*").alias("n")), "counts")
-    of_label = (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s"))
-    sample = classes.join(counts.where(F.col("n") > exact), of_label).where(F.pmod(F.xxhash64("rep"), F.col("n")) < SAMPLE)
-    plan = over_groups(sample.select("label", "size", "n", "rep", "v"), ("label", "size"), _planned(threshold, window, miss, pass_cost), f"_l {kind}, _s int, centre binary, passes int, width int, n long")
-    plan = staged(plan, "plan")
-    by_passes = {r.passes: r.n for r in plan.groupBy("passes").agg(F.sum("n").alias("n")).collect()}
-
-    # Labels without passes, block by block.
-    rest = counts.where("n > 1").join(plan.where("passes > 0").select("_l", "_s"), ["_l", "_s"], "left_anti")
-    cut = classes.select("label", "size", "rep", "v").join(rest, of_label).withColumn("_n", F.ceil(F.col("n") / whole).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    cut = cut.select("label", "size", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "rep", "v", "own")
-    found = over_groups(cut, ("label", "size", "i", "j"), _spanning(threshold), "a long, b long")
-
-    most = max(by_passes, default=0)
-    if most:
-        placed = classes.join(plan.where("passes > 0").drop("n"), of_label)
-        placed = staged(placed.select("label", "rep", "v", "centre", "width", "passes"), "placed")
-    for start in range(0, most, AT_ONCE):
-        some = None
-        for number in range(start, min(start + AT_ONCE, most)):
-            keyed = over_slices(
-                placed.where(F.col("passes") > number).drop("passes"),
-                lambda b, n=number: {"label": values(b, "label"), "rep": values(b, "rep"), "v": values(b, "v"), "z": _key(values(b, "v"), values(b, "centre"), values(b, "width"), n)},
-                f"label {kind}, rep long, v binary, z binary", rows=2048,
-            )
-            order = ["label", F.length("v"), "z", "rep"]
-            # So many rows a partition that few windows are cut by its borders.
-            parts = sum(n for p, n in by_passes.items() if p > number) // (128 * window)
-            parts = max(1, min(parts, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-            pairs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold, window), "a long, b long")
-            some = pairs if some is None else some.unionByName(pairs)
-        found = found.unionByName(staged(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    blocks = staged(_blocks(classes, whole), "blocks")
+    in_step = (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s")) & (F.col("step") == F.col("_step"))
+    own = F.col("block") * PIECES + F.pmod(F.xxhash64("rep"), F.col("pieces"))
+    dealt = classes.join(blocks, in_step).select("label", "size", "rep", "v", own.alias("own"))
+    meet = (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s")) & (F.col("own") == F.col("piece"))
+    dealt = dealt.join(_meetings(blocks, threshold), meet).select("label", "size", "i", "j", "rep", "v", "own")
+    found = over_groups(dealt, ("label", "size", "i", "j"), _spanning(threshold, window), "a long, b long")
     links = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     named = components(links)
