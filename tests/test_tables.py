@@ -387,3 +387,15 @@ def test_handle_counts_reads_every_text_once(frame):
     assert rows(got) == [
         {"candidatos_no_grupo": 6, "com_instagram": 1, "sem_instagram": 5, "perfis": 2, "com_mais_de_um_perfil": 1, "urls_instagram_rejeitadas": 3}
     ]
+
+
+@pytest.mark.parametrize("query", ["municipality_summary"])
+def test_join_of_line_items_starts_in_many_pieces(spark, query):
+    """The session shuffles to 4 partitions; the large join must not, as its tasks would grow with the input."""
+    import re
+
+    from escrutinio import catalogue
+
+    plan = catalogue.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    pieces = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^()]*, (\d+)\)", plan)]
+    assert pieces and min(pieces) >= 200
