@@ -389,7 +389,7 @@ def test_handle_counts_reads_every_text_once(frame):
     ]
 
 
-@pytest.mark.parametrize("query", ["municipality_summary", "top_units", "votes_by_state"])
+@pytest.mark.parametrize("query", ["municipality_summary", "top_units", "votes_by_state", "vote_totals"])
 def test_join_of_line_items_starts_in_many_pieces(spark, query):
     """The session shuffles to 4 partitions; the large join must not, as its tasks would grow with the input."""
     import re
